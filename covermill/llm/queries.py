@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covermill.llm import groups, history, neardup, pairs, records, subset, terms
+from covermill.llm import encode, groups, history, leaks, neardup, pairs, reading, records, subset, terms
 from covermill.session import Scratch, read_table
 
 OVERLAP = records.Threshold(17, 20)
@@ -75,8 +75,38 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("struct_id"), "group_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encoded(Scratch(spark), read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("kind = 'passage'").select("doc_id", "item_id")
+
+
+def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "level_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = _levels(spark, sf_dir).groupBy("reading_level")
+    return by.agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.avg("margin").alias("mean_margin"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p3_found, p4_subset, p5_found, p6_found)}
+    every = (p1_found, p1_frequencies, p2_found, p3_found, p4_subset, p5_found, p6_found, p7_ids, p8_found, p8_templates, p9_found, p9_profile)
+    return {f.__name__: f for f in every}
 
 
 _ENVS = r"""e as (select distinct struct_id, center_atom_index, lower(regexp_replace(env, '[\s\p{Z}\p{Cf}]+', '', 'g')) env
