@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermill.llm.records import BLANK, compared
+from covermill.functions.scalar import BLANK, compared
 
 
 def term_frequencies(df: DataFrame, record: str, value: str, unit: str) -> DataFrame:
