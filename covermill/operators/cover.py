@@ -74,7 +74,7 @@ def greedy_picks(scratch: Scratch, inc: DataFrame, finish: int = FINISH) -> Data
     picks = []
     while not is_empty(rest):
         if rest.count() <= finish:
-            picks.append(rest.groupBy(F.lit(0)).applyInPandas(_finish, f"prefer int, item {item_type}, new_gain long"))
+            picks.append(rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_finish, f"prefer int, item {item_type}, new_gain long"))
             break
         gains = rest.groupBy("item", "prefer").agg(F.count("*").alias("new_gain"))
         place = F.struct((-F.col("new_gain")).alias("g"), "prefer", "item")

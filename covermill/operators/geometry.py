@@ -15,12 +15,19 @@ from covermill.functions.scalar import angle_degrees, cell_ok, det3
 RADII = {"H": 0.31, "C": 0.76, "N": 0.71, "O": 0.66, "Si": 1.11, "Cr": 1.39, "Mn": 1.39, "Fe": 1.32, "Co": 1.26, "Ni": 1.24}
 
 
+def _one(frames: DataFrame) -> DataFrame:
+    return frames.select("frame_id", "lattice", "pbc", "atoms").where("frame_id is not null").dropDuplicates(["frame_id"])
+
+
 def atoms_of(frames: DataFrame) -> DataFrame:
-    """``frame_id, lattice, pbc, i, symbol, x, y, z`` with ``i`` from 0."""
-    one = frames.select("frame_id", "lattice", "pbc", "atoms").where("frame_id is not null").dropDuplicates(["frame_id"])
-    rows = one.select("frame_id", "lattice", "pbc", F.posexplode("atoms").alias("i", "a"))
+    """``frame_id, i, symbol, x, y, z`` with ``i`` from 0, and ``lattice``."""
+    return _exploded(_one(frames), ["lattice"])
+
+
+def _exploded(one: DataFrame, keep: list[str]) -> DataFrame:
+    rows = one.select("frame_id", *keep, F.posexplode("atoms").alias("i", "a"))
     at = [F.col("a.pos")[k].cast("double").alias(n) for k, n in enumerate("xyz")]
-    return rows.select("frame_id", "lattice", "pbc", "i", F.initcap(F.trim("a.symbol")).alias("symbol"), *at).where("x is not null and y is not null and z is not null")
+    return rows.select("frame_id", *keep, "i", F.initcap(F.trim("a.symbol")).alias("symbol"), *at).where("x is not null and y is not null and z is not null")
 
 
 def _inverse(cell: Column) -> list[Column]:
@@ -34,22 +41,23 @@ def _inverse(cell: Column) -> list[Column]:
     return [m / d for m in minors]
 
 
-def neighbours(atoms: DataFrame, cutoff: float) -> DataFrame:
+def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
     """``frame_id, i, j, symbol_i, symbol_j, distance, dx, dy, dz`` for each ordered pair within ``cutoff``.
 
     Distances are to the nearest image, found among the 27 around the wrapped difference (exact for reduced cells);
     an axis without periodicity has no images. Atoms meet in bins along the cell's axes that are no thinner than the
     cutoff, so the pairs of a large frame grow with its atoms and not with their square.
     """
-    cell = F.col("lattice")
-    valid = atoms.where(cell_ok(cell, 0.0))
-    inv = F.array(*_inverse(cell)).alias("inv")
-    rows = valid.select("*", inv)
-    frac = [F.col("x") * F.col("inv")[k] + F.col("y") * F.col("inv")[3 + k] + F.col("z") * F.col("inv")[6 + k] for k in range(3)]
+    one = _one(frames.where(cell_ok(F.col("lattice"), 0.0)))
+    # once per frame, before its atoms are spread
+    one = one.withColumn("inv", F.array(*_inverse(F.col("lattice"))))
     # the height of the cell along axis k is one over the length of column k of the inverse
-    bins = [F.greatest(F.lit(1), F.floor(1 / F.sqrt(sum((F.col("inv")[k + 3 * m] * F.col("inv")[k + 3 * m] for m in range(3)), F.lit(0.0))) / cutoff)).cast("int") for k in range(3)]
-    bins = [F.when(F.coalesce(F.col("pbc")[k], F.lit(True)), b).otherwise(1) for k, b in enumerate(bins)]
-    rows = rows.select("frame_id", "lattice", "pbc", "i", "symbol", "x", "y", "z", *[f.alias(f"f{k}") for k, f in enumerate(frac)], *[b.alias(f"n{k}") for k, b in enumerate(bins)])
+    thick = "sqrt(inv[{0}] * inv[{0}] + inv[{0} + 3] * inv[{0} + 3] + inv[{0} + 6] * inv[{0} + 6])"
+    bins = [f"if(coalesce(pbc[{k}], true), greatest(1, cast(floor(1 / {thick.format(k)} / {cutoff}D) as int)), 1)" for k in range(3)]
+    one = one.withColumn("bins", F.expr(f"array({', '.join(bins)})"))
+    rows = _exploded(one, ["lattice", "pbc", "inv", "bins"])
+    frac = [F.expr(f"x * inv[{k}] + y * inv[{3 + k}] + z * inv[{6 + k}]").alias(f"f{k}") for k in range(3)]
+    rows = rows.select("frame_id", "lattice", "pbc", "i", "symbol", *frac, *[F.col("bins")[k].alias(f"n{k}") for k in range(3)])
     rows = rows.select("*", *[F.least(F.floor((F.col(f"f{k}") - F.floor(f"f{k}")) * F.col(f"n{k}")).cast("int"), F.col(f"n{k}") - 1).alias(f"b{k}") for k in range(3)])
     beside = F.expr("flatten(flatten(transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b0 + s, n0))), p -> transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b1 + s, n1))), q -> transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b2 + s, n2))), r -> struct(p, q, r))))))")
     sent = rows.select("frame_id", F.col("i").alias("j"), F.col("symbol").alias("symbol_j"), *[F.col(f"f{k}").alias(f"g{k}") for k in range(3)], F.explode(beside).alias("to"))
@@ -75,7 +83,7 @@ def _radius(symbol: Column) -> Column:
 
 def too_close(frames: DataFrame, coeff: float = 0.8) -> DataFrame:
     """``frame_id, n_close``: frames with pairs nearer than ``(r_i + r_j) * coeff``, strictly."""
-    pairs = neighbours(atoms_of(frames), 2 * max(RADII.values()) * coeff).where("i < j")
+    pairs = neighbours(frames, 2 * max(RADII.values()) * coeff).where("i < j")
     close = pairs.where(F.col("distance") < (_radius(F.col("symbol_i")) + _radius(F.col("symbol_j"))) * coeff)
     return close.groupBy("frame_id").agg(F.count("*").alias("n_close"))
 
@@ -86,21 +94,21 @@ def physical(frames: DataFrame, coeff: float = 0.8) -> DataFrame:
     return rows.select("frame_id", F.col("n_close").isNull().alias("is_physical"), F.when(F.col("n_close").isNotNull(), "pair_distance_below_limit").alias("reason"))
 
 
-def meta_keys(frames: DataFrame, rcut: float, centers: tuple[str, ...] = ("Fe", "C")) -> DataFrame:
-    """``frame_id, i, meta, cn``: ``r<rcut>:<center>:cn<n>:<sorted neighbour symbols>``; centers alone have none.
+def environments(frames: DataFrame, rcut: float) -> DataFrame:
+    """``neighbours`` of the frames whose cell is large enough for the cutoff; others are left out for this cutoff."""
+    return neighbours(frames.where(cell_ok(F.col("lattice"), rcut)), rcut)
 
-    Frames whose cell is too small for the cutoff are left out for this cutoff.
-    """
-    fit = frames.where(cell_ok(F.col("lattice"), rcut))
-    near = neighbours(atoms_of(fit), rcut).where(F.col("symbol_i").isin(*centers))
+
+def meta_keys(near: DataFrame, rcut: float, centers: tuple[str, ...] = ("Fe", "C")) -> DataFrame:
+    """``frame_id, i, meta, cn``: ``r<rcut>:<center>:cn<n>:<sorted neighbour symbols>``; centers alone have none."""
+    near = near.where(F.col("symbol_i").isin(*centers))
     rows = near.groupBy("frame_id", "i", F.col("symbol_i").alias("center")).agg(F.count("*").alias("cn"), F.concat_ws("", F.array_sort(F.collect_list("symbol_j"))).alias("around"))
     return rows.select("frame_id", "i", F.format_string(f"r{rcut:.1f}:%s:cn%d:%s", "center", "cn", "around").alias("meta"), "cn")
 
 
-def features(frames: DataFrame, rcut: float) -> DataFrame:
+def features(near: DataFrame) -> DataFrame:
     """``frame_id, i, feature``: sorted bond lengths, then mean and population deviation of the bond angles; one
     neighbour has (90, 0), two have a deviation of 0."""
-    near = neighbours(atoms_of(frames.where(cell_ok(F.col("lattice"), rcut))), rcut)
     bonds = near.groupBy("frame_id", "i").agg(F.array_sort(F.collect_list("distance")).alias("bonds"), F.collect_list(F.struct("j", "distance", "dx", "dy", "dz")).alias("v"))
     cosine = "(p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) / (greatest(p.distance, 1e-10D) * greatest(q.distance, 1e-10D))"
     angles = f"flatten(transform(v, p -> transform(filter(v, q -> p.j < q.j), q -> degrees(acos(greatest(-1D, least(1D, {cosine})))))))"
@@ -111,21 +119,20 @@ def features(frames: DataFrame, rcut: float) -> DataFrame:
     return rows.select("frame_id", "i", F.concat("bonds", F.array("mean", deviation)).alias("feature"))
 
 
-def raw_tokens(frames: DataFrame, rcut: float, centers: tuple[str, ...] = ("Fe", "C")) -> DataFrame:
+def raw_tokens(near: DataFrame, rcut: float, centers: tuple[str, ...] = ("Fe", "C")) -> DataFrame:
     """``frame_id, i, raw, meta``: a canonical hash of the local graph, the same under rotation, shift and renumbering.
 
     Bonds are pairs within the cutoff. The hash is over the center's symbol and its neighbours' symbols, each with
     the number of its own bonds to other neighbours.
     """
-    near = neighbours(atoms_of(frames.where(cell_ok(F.col("lattice"), rcut))), rcut).select("frame_id", "i", "j", "symbol_i", "symbol_j")
     inner = near.select("frame_id", F.col("i").alias("j"), F.col("j").alias("k"))
     around = near.select("frame_id", "i", F.col("j").alias("k"))
-    linked = near.join(inner, ["frame_id", "j"]).join(around, ["frame_id", "i", "k"]).groupBy("frame_id", "i", "j").agg(F.count("*").alias("inner_bonds"))
-    rows = near.where(F.col("symbol_i").isin(*centers)).join(linked, ["frame_id", "i", "j"], "left").na.fill(0, ["inner_bonds"])
+    linked = near.select("frame_id", "i", "j").join(inner, ["frame_id", "j"]).join(around, ["frame_id", "i", "k"]).groupBy("frame_id", "i", "j").agg(F.count("*").alias("inner_bonds"))
+    rows = near.where(F.col("symbol_i").isin(*centers)).select("frame_id", "i", "j", "symbol_i", "symbol_j").join(linked, ["frame_id", "i", "j"], "left").na.fill(0, ["inner_bonds"])
     text = F.concat_ws("|", F.array_sort(F.collect_list(F.concat("symbol_j", F.lit("~"), F.col("inner_bonds").cast("string"))))).alias("graph")
     rows = rows.groupBy("frame_id", "i", F.col("symbol_i").alias("center")).agg(text)
     raw = F.concat(F.lit(f"r{rcut:.1f}:"), F.substring(F.sha1(F.concat_ws(":", "center", "graph")), 1, 16))
-    return rows.select("frame_id", "i", raw.alias("raw")).join(meta_keys(frames, rcut, centers).select("frame_id", "i", "meta"), ["frame_id", "i"])
+    return rows.select("frame_id", "i", raw.alias("raw")).join(meta_keys(near, rcut, centers).select("frame_id", "i", "meta"), ["frame_id", "i"])
 
 
 def token_dim(tokens: DataFrame, feats: DataFrame, samples: int = 5) -> DataFrame:
@@ -148,7 +155,7 @@ def examples(tokens: DataFrame, most: int = 3) -> DataFrame:
 
 def local_cluster(frames: DataFrame, rcut: float, vacuum: float = 8.0, eps: float = 1e-6) -> DataFrame:
     """``frame_id, i, n_atoms, box``: the edge of the cube around a center's neighbours, with vacuum."""
-    near = neighbours(atoms_of(frames), rcut + eps)
+    near = neighbours(frames, rcut + eps)
     span = [F.greatest(F.max(d), F.lit(0.0)) - F.least(F.min(d), F.lit(0.0)) for d in ("dx", "dy", "dz")]
     rows = near.groupBy("frame_id", "i").agg((F.count("*") + 1).alias("n_atoms"), F.greatest(*span).alias("span"))
     return rows.select("frame_id", "i", "n_atoms", F.greatest(F.col("span") + vacuum, F.lit(2 * rcut + vacuum), F.lit(vacuum)).alias("box"))

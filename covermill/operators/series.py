@@ -17,7 +17,7 @@ def radial_distribution(frames: DataFrame, longest: float, width: float) -> Data
     ``g`` is the mean over the frames that have the pair's species.
     """
     atoms = atoms_of(frames)
-    pairs = neighbours(atoms, longest).where("i < j and distance > 0")
+    pairs = neighbours(frames, longest).where("i < j and distance > 0")
     kind = F.concat_ws("-", F.greatest("symbol_i", "symbol_j"), F.least("symbol_i", "symbol_j")).alias("kind")
     at = F.floor(F.col("distance") / width).cast("int").alias("bin")
     counted = pairs.select("frame_id", kind, at).groupBy("frame_id", "kind", "bin").agg(F.count("*").alias("n"))
@@ -36,7 +36,7 @@ def radial_distribution(frames: DataFrame, longest: float, width: float) -> Data
 
 def angular_distribution(frames: DataFrame, rcut: float, width: float) -> DataFrame:
     """``kind, bin, n, share``: bond angles by species, ``share`` of all angles of the kind."""
-    rows = bond_angles(neighbours(atoms_of(frames), rcut))
+    rows = bond_angles(neighbours(frames, rcut))
     at = F.least(F.floor(F.col("angle") / width), F.lit(math.ceil(180 / width) - 1)).cast("int").alias("bin")
     binned = rows.select("kind", at).groupBy("kind", "bin").agg(F.count("*").alias("n"))
     return binned.join(binned.groupBy("kind").agg(F.sum("n").alias("all")), "kind").select("kind", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
