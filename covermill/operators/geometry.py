@@ -48,13 +48,13 @@ def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
     an axis without periodicity has no images. Atoms meet in bins along the cell's axes that are no thinner than the
     cutoff, so the pairs of a large frame grow with its atoms and not with their square.
     """
-    one = _one(frames.where(cell_ok(F.col("lattice"), 0.0)))
-    # once per frame, before its atoms are spread
+    one = frames.where("frame_id is not null").where(cell_ok(F.col("lattice"), 0.0)).select("frame_id", "lattice", "pbc", "atoms")
+    # taken once per frame: below the aggregation that drops repeated frames, so it is not inlined into each pair
     one = one.withColumn("inv", F.array(*_inverse(F.col("lattice"))))
     # the height of the cell along axis k is one over the length of column k of the inverse
     thick = "sqrt(inv[{0}] * inv[{0}] + inv[{0} + 3] * inv[{0} + 3] + inv[{0} + 6] * inv[{0} + 6])"
     bins = [f"if(coalesce(pbc[{k}], true), greatest(1, cast(floor(1 / {thick.format(k)} / {cutoff}D) as int)), 1)" for k in range(3)]
-    one = one.withColumn("bins", F.expr(f"array({', '.join(bins)})"))
+    one = one.withColumn("bins", F.expr(f"array({', '.join(bins)})")).dropDuplicates(["frame_id"])
     rows = _exploded(one, ["lattice", "pbc", "inv", "bins"])
     frac = [F.expr(f"x * inv[{k}] + y * inv[{3 + k}] + z * inv[{6 + k}]").alias(f"f{k}") for k in range(3)]
     rows = rows.select("frame_id", "lattice", "pbc", "i", "symbol", *frac, *[F.col("bins")[k].alias(f"n{k}") for k in range(3)])
@@ -64,16 +64,18 @@ def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
     sent = sent.select("frame_id", "j", "symbol_j", "g0", "g1", "g2", F.col("to.p").alias("b0"), F.col("to.q").alias("b1"), F.col("to.r").alias("b2"))
     met = rows.join(sent, ["frame_id", "b0", "b1", "b2"]).where("i <> j")
     on = [F.coalesce(F.col("pbc")[k], F.lit(True)) for k in range(3)]
-    diff = [F.when(on[k], F.col(f"g{k}") - F.col(f"f{k}") - F.round(F.col(f"g{k}") - F.col(f"f{k}"))).otherwise(F.col(f"g{k}") - F.col(f"f{k}")).alias(f"d{k}") for k in range(3)]
-    steps = [F.when(on[k], F.expr("array(-1, 0, 1)")).otherwise(F.expr("array(0)")).alias(f"s{k}") for k in range(3)]
-    met = met.select("frame_id", "i", "j", F.col("symbol").alias("symbol_i"), "symbol_j", "lattice", *diff, *steps)
-    part = " + ".join
-    xyz = [part(f"(d{m} + t.c{m}) * lattice[{3 * m + k}]" for m in range(3)) for k in range(3)]
-    images = "flatten(flatten(transform(s0, p -> transform(s1, q -> transform(s2, r -> struct(p as c0, q as c1, r as c2))))))"
-    vectors = f"transform({images}, t -> struct({xyz[0]} as x, {xyz[1]} as y, {xyz[2]} as z))"
-    nearest = F.expr(f"array_min(transform({vectors}, v -> struct(sqrt(v.x * v.x + v.y * v.y + v.z * v.z) as distance, v.x as dx, v.y as dy, v.z as dz)))")
-    found = met.select("frame_id", "i", "j", "symbol_i", "symbol_j", nearest.alias("v")).where(F.col("v.distance") <= cutoff)
-    return found.select("frame_id", "i", "j", "symbol_i", "symbol_j", "v.*")
+    diff = [F.when(on[k], F.col(f"g{k}") - F.col(f"f{k}") - F.rint(F.col(f"g{k}") - F.col(f"f{k}"))).otherwise(F.col(f"g{k}") - F.col(f"f{k}")).alias(f"d{k}") for k in range(3)]
+    pair = ["frame_id", "b0", "b1", "b2", "i", "j", F.col("symbol").alias("symbol_i"), "symbol_j"]
+    steps = F.array(*[F.struct(*[F.lit(c).alias(f"c{k}") for k, c in enumerate((x, y, z))]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    near = met.select(*pair, "lattice", "pbc", *diff, F.explode(steps).alias("t"))
+    for k in range(3):
+        near = near.where(on[k] | (F.col(f"t.c{k}") == 0))
+    moved = [" + ".join(f"(d{m} + t.c{m}) * lattice[{3 * m + k}]" for m in range(3)) + f" as d{n}" for k, n in enumerate("xyz")]
+    pair[6] = "symbol_i"
+    near = near.selectExpr(*pair, *moved).withColumn("distance", F.expr("sqrt(dx * dx + dy * dy + dz * dz)")).where(F.col("distance") <= cutoff)
+    # a pair's images are where its join key is, so this takes no shuffle
+    nearest = near.groupBy(*pair).agg(F.min(F.struct("distance", "dx", "dy", "dz")).alias("v"))
+    return nearest.select("frame_id", "i", "j", "symbol_i", "symbol_j", "v.*")
 
 
 def _radius(symbol: Column) -> Column:

@@ -50,7 +50,7 @@ def mean_square_displacement(points: DataFrame, part: list[str], particle: str,
     for c in coords:
         step = F.col(c) - F.lag(c).over(w)
         if boxes:
-            step = step - F.col(boxes[c]) * F.round(step / F.col(boxes[c]))
+            step = step - F.col(boxes[c]) * F.rint(step / F.col(boxes[c]))
         rows = rows.withColumn(f"step_{c}", F.coalesce(step, F.lit(0.0)))
     moved = [F.sum(f"step_{c}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in coords]
     rows = rows.withColumn("square", sum((m * m for m in moved), F.lit(0.0)))
