@@ -142,5 +142,5 @@ def match_groups(scratch: Scratch, pairs: DataFrame, left: str, right: str, scor
     least ``least`` (null and NaN link nothing). Ids without links are their own group; an empty table gives none."""
     rows = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(score).cast("double").alias("score"))
     ids = rows.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
-    linked = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= least)).select("a", "b")
+    linked = rows.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= least)).select("a", "b")
     return ids.join(connected(scratch, linked), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
