@@ -2,8 +2,8 @@
 
 In each run a record chooses every token of its set with probability ``1 / (threshold * n)``, by a hash that all
 records share, so two similar records choose a common token with a chance that depends on their overlap only. A
-token whose load is small makes a bucket at once; a frequent one is split further by a second and third chosen token,
-its path. Buckets are compared pairwise; runs are repeated until a pair at the threshold is missed with a chance of at
+token that few records have makes a bucket at once; a frequent one is split further by a second and third chosen
+token, its path. Buckets are compared pairwise; runs are repeated until a pair at the threshold is missed with a chance of at
 most ``miss``, and the groups close over what single pairs miss.
 """
 
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.groups import connected
-from covermill.llm.records import Classes, Threshold, verified
+from covermill.llm.records import MOST_LOADS, Classes, Threshold, verified
 from covermill.session import Scratch
 
-#: Expected size of a bucket above which its path is split further.
-SMALL_BUCKET = 64
+#: Records with a token above which its bucket is split by a further token. A chosen token is chosen by all its
+#: records at once, so the load itself, and not the load times the chance, is what a bucket may hold.
+SMALL_BUCKET = 256
 
 
 def runs_needed(t: Threshold, miss: float) -> int:
@@ -31,7 +32,7 @@ def runs_needed(t: Threshold, miss: float) -> int:
 def path_rows(sets: DataFrame, t: Threshold, runs: int, small: int = SMALL_BUCKET) -> DataFrame:
     """``key, id, n, parity`` of every bucket that a record is in."""
     chance = f"({t.den}D / ({t.num}D * n))"
-    large = f"* {chance} > {small}"
+    large = f"> {small}"
 
     def chosen(path: str, token: str) -> str:
         return f"(shiftrightunsigned(xxhash64({path}, {token}), 11) / 9007199254740992D < {chance})"
@@ -53,7 +54,9 @@ def path_rows(sets: DataFrame, t: Threshold, runs: int, small: int = SMALL_BUCKE
 
 def similar_classes(sets: DataFrame, t: Threshold, miss: float) -> DataFrame:
     """Pairs ``a, b, shared, n_a, n_b`` of classes found in a common bucket and verified exactly."""
-    rows = path_rows(sets, t, runs_needed(t, miss))
+    # loads are upper bounds from a table of bounded size; tokens below its average are not taken for frequent
+    average = (sets.agg(F.sum("n")).first()[0] or 0) / MOST_LOADS
+    rows = path_rows(sets, t, runs_needed(t, miss), max(SMALL_BUCKET, int(8 * average)))
     met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {t.may_pass('x', 'y')}"))
     candidates = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return verified(candidates, sets, t)
