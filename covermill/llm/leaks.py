@@ -80,8 +80,9 @@ def _prepared(rows: list[tuple[int, str]]) -> _Items:
             if token[:1].islower():
                 plain.update(plain_words(token))
     by_words.pop((), None)
-    codes: dict[str, int] = {}
-    canon = [_NAME]  # code 0: a word of no item
+    # codes 0 and 1: a name and a number of no item; units have their codes whether items have them or not
+    codes: dict[str, int] = {u: i + 2 for i, u in enumerate(sorted(UNITS))}
+    canon = [_NAME, _NUMBER] + [_UNIT] * len(UNITS)
     for words in by_words:
         for w in words:
             if w not in codes:
@@ -99,7 +100,7 @@ def _prepared(rows: list[tuple[int, str]]) -> _Items:
 def _near(item: list[int], doc: list[int]) -> bool:
     """Whether ``doc`` begins with ``item``, one word altered, added or dropped at most."""
     k = 0
-    while k < len(item) and k < len(doc) and item[k] == doc[k] and item[k]:
+    while k < len(item) and k < len(doc) and item[k] == doc[k]:
         k += 1
     if k == len(item):
         return True
@@ -138,7 +139,7 @@ def _search(items: _Items):
             docs = [(d, visible_words(t)) for d, t in zip(pdf["doc_id"], pdf["text"]) if t]
             docs = [(d, w) for d, w in docs if len(w) >= WINDOW]
             if docs and len(items.keys):
-                raw = np.array([code(w, 0) for _, ws in docs for w in ws], dtype=np.int64)
+                raw = np.array([c if (c := code(w)) is not None else 0 if w.isalpha() else 1 for _, ws in docs for w in ws], dtype=np.int64)
                 starts = np.cumsum([0, *(len(w) for _, w in docs)])
                 hashes = _hashes(raw, items.canon[raw])
                 at = np.searchsorted(items.keys, hashes)
