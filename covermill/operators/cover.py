@@ -3,14 +3,16 @@
 Greedy picks the item with the most uncovered envs, of equals the smallest. Gains only fall, and an item's gain falls
 only when an item that shares an uncovered env is picked. So an item that goes before all items it shares an uncovered
 env with is picked with its present gain whatever happens elsewhere: all such items are picked in one round, and the
-picks sorted by gain and item are exactly the greedy sequence. A sweep for redundant items runs in rounds likewise.
-No round holds more than aggregates in a task, so one large component is no obstacle.
+picks sorted by gain and item are exactly the greedy sequence. A round also takes the next picks of the sequence from
+the items with the largest gains: a bounded block of them goes through the sequential algorithm until its best item no
+longer goes before the first item outside, whose gain can only have fallen. A sweep for redundant items runs in rounds
+likewise. No round holds more than aggregates and one bounded block in a task, so a large component is no obstacle.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 
 from covermill.operators.incidence import classify, projected
 from covermill.operators.setsim import deduplicated, overlap_links, token_sets
-from covermill.session import Scratch, is_empty
+from covermill.session import Scratch
 
-#: Incidences below which the rest of a cover is finished in one task; the picks are the same either way.
-FINISH = 20_000
+#: Incidences that one task takes: of a round's block, and of the rest that ends a cover or sweep. The picks are the
+#: same at any value.
+FINISH = 100_000
+#: Most items of a round's block.
+BLOCK = 4_000
 
 
 def global_rank(scratch: Scratch, rows: DataFrame, order: list, total: str | None = None) -> DataFrame:
@@ -43,26 +48,42 @@ def global_rank(scratch: Scratch, rows: DataFrame, order: list, total: str | Non
     return ranked.drop("part", "n", "s", "r", "c")
 
 
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lazy greedy on a bounded rest."""
-    sets: dict = defaultdict(set)
-    prefer = {}
-    for p, item, env in pdf[["prefer", "item", "env"]].itertuples(index=False):
-        sets[item].add(env)
-        prefer[item] = p
-    heap = [(-len(s), prefer[k], k) for k, s in sets.items()]
-    heapq.heapify(heap)
-    done: set = set()
-    picks = []
-    while heap:
-        gain, p, k = heapq.heappop(heap)
-        now = len(sets[k] - done)
-        if now == -gain and now:
-            picks.append((p, k, now))
-            done |= sets[k]
-        elif now:
-            heapq.heappush(heap, (-now, p, k))
-    return pd.DataFrame(picks, columns=["prefer", "item", "new_gain"])
+def _lazy_greedy(bound: tuple | None = None):
+    """Lazy greedy on bounded rows, up to the first pick that does not go before ``bound`` (``-gain, prefer, item``)."""
+
+    def picks_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets: dict = defaultdict(set)
+        prefer = {}
+        for p, item, env in zip(pdf["prefer"].tolist(), pdf["item"].tolist(), pdf["env"].tolist()):
+            sets[item].add(env)
+            prefer[item] = p
+        heap = [(-len(s), prefer[k], k) for k, s in sets.items()]
+        heapq.heapify(heap)
+        done: set = set()
+        picks = []
+        while heap and (bound is None or heap[0] < bound):
+            gain, p, k = heapq.heappop(heap)
+            now = len(sets[k] - done)
+            if now == -gain and now:
+                picks.append((p, k, now))
+                done |= sets[k]
+            elif now:
+                heapq.heappush(heap, (-now, p, k))
+        return pd.DataFrame(picks, columns=["prefer", "item", "new_gain"])
+
+    return picks_of
+
+
+def _block(gains: DataFrame, finish: int) -> tuple[tuple | None, bool]:
+    """Where the block of the largest gains ends (``-gain, prefer, item`` of the first item outside), and whether it
+    holds any item. The block has at most ``finish`` incidences and ``BLOCK`` items."""
+    top = gains.orderBy(F.desc("new_gain"), "prefer", "item").limit(BLOCK + 1).collect()
+    held = 0
+    for k, row in enumerate(top):
+        held += row["new_gain"]
+        if held > finish or k == BLOCK:
+            return (-row["new_gain"], row["prefer"], row["item"]), k > 0
+    return None, bool(top)
 
 
 def greedy_picks(scratch: Scratch, inc: DataFrame, finish: int = FINISH) -> DataFrame:
@@ -72,16 +93,23 @@ def greedy_picks(scratch: Scratch, inc: DataFrame, finish: int = FINISH) -> Data
     rest = scratch.keep(inc.select("item", "env", F.col("prefer").cast("int").alias("prefer")).distinct())
     item_type = rest.schema["item"].dataType.simpleString()
     picks = []
-    while not is_empty(rest):
-        if rest.count() <= finish:
-            picks.append(rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_finish, f"prefer int, item {item_type}, new_gain long"))
+    out_type = f"prefer int, item {item_type}, new_gain long"
+    while left := rest.count():
+        if left <= finish:
+            picks.append(rest.groupBy(F.lit(0).alias("one")).applyInPandas(_lazy_greedy(), out_type))
             break
-        gains = rest.groupBy("item", "prefer").agg(F.count("*").alias("new_gain"))
+        gains = scratch.keep(rest.groupBy("item", "prefer").agg(F.count("*").alias("new_gain")))
         place = F.struct((-F.col("new_gain")).alias("g"), "prefer", "item")
         placed = rest.join(gains.select("item", "new_gain"), "item").select("item", "env", "prefer", "new_gain", place.alias("place"))
         firsts = placed.groupBy("env").agg(F.min("place").alias("first"))
         won = firsts.groupBy(F.col("first.item").alias("item"), F.col("first.prefer").alias("prefer"), (-F.col("first.g")).alias("new_gain")).agg(F.count("*").alias("wins"))
-        picked = scratch.keep(won.where("wins = new_gain").select("prefer", "item", "new_gain"))
+        won = won.where("wins = new_gain").select("prefer", "item", "new_gain")
+        bound, has_block = _block(gains, finish)
+        if has_block:
+            inside = F.lit(True) if bound is None else F.col("place") < F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(bound, ("long", "int", item_type), ("g", "prefer", "item"))])
+            block = placed.where(inside).select("prefer", "item", "env")
+            won = won.unionByName(block.groupBy(F.lit(0).alias("one")).applyInPandas(_lazy_greedy(bound), out_type)).distinct()
+        picked = scratch.keep(won)
         picks.append(picked)
         covered = rest.join(picked.select("item"), "item", "left_semi").select("env").distinct()
         rest = scratch.keep(rest.join(covered, "env", "left_anti").select("item", "env", "prefer"))
@@ -109,12 +137,32 @@ def greedy_cover(scratch: Scratch, inc: DataFrame, budget: int = 0, stop_pct: fl
     return ranked.select("rank", "item", "new_gain", F.col("covered"), (F.lit(target) - F.col("covered")).alias("uncovered"), pct.alias("coverage_pct"))
 
 
-def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+def _swept(with_partners: bool):
+    """The sweep one by one, on bounded rows ``item, turn, envs, partners``."""
+
+    def swept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn", ignore_index=True)
+        items = pdf["item"].tolist()
+        envs = [[] if e is None else list(e) for e in pdf["envs"]]
+        holders = Counter(e for es in envs for e in es)
+        gone: set = set()
+        for item, own, near in zip(items, envs, pdf["partners"]):
+            near = [] if near is None else near
+            if all(holders[e] > 1 for e in own) and (not with_partners or any(p not in gone for p in near)):
+                gone.add(item)
+                holders.subtract(own)
+        return pd.DataFrame({"item": [k for k in items if k not in gone]}, dtype=pdf["item"].dtype)
+
+    return swept
+
+
+def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
     """``item, place`` of what stays when items are looked at in the order of ``order(item, place)`` and one is
     removed if all its envs are in another remaining item (and, with ``partners(a, b)``, a partner remains).
 
     Decided at once: who alone has an env, or has no partner left, stays; an env of an item that stays binds nobody.
-    Others go where they come first among the undecided items of their binding envs and among their partners.
+    Others go where they come first among the undecided items of their binding envs and among their partners. Once at
+    most ``finish`` rows are left, one task decides them one by one, with the same result.
     """
     order = scratch.keep(order.select("item", "place"))
     rest = scratch.keep(inc.select("item", "env").join(order, "item"))
@@ -123,7 +171,15 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
         near = scratch.keep(partners.select("a", "b").unionByName(partners.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     undecided = order
     kept = order.limit(0)
-    while not is_empty(undecided):
+    while left := undecided.count():
+        if left + rest.count() + (0 if near is None else near.count()) <= finish:
+            turns = undecided.select("item", F.row_number().over(Window.orderBy("place")).alias("turn"))
+            last = turns.join(rest.groupBy("item").agg(F.collect_list("env").alias("envs")), "item", "left")
+            pairs = undecided.limit(0).select("item", F.col("item").alias("b")) if near is None else near.select(F.col("a").alias("item"), "b")
+            last = last.join(pairs.groupBy("item").agg(F.collect_list("b").alias("partners")), "item", "left")
+            item_type = order.schema["item"].dataType.simpleString()
+            stay = last.groupBy(F.lit(0).alias("one")).applyInPandas(_swept(near is not None), f"item {item_type}")
+            return kept.unionByName(undecided.join(stay, "item", "left_semi"))
         envs = rest.groupBy("env").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         seen = rest.join(envs, "env").groupBy("item").agg(F.max(F.expr("n = 1")).alias("alone"), F.min(F.expr("place = first")).alias("leads"))
         rows = undecided.join(seen, "item", "left").na.fill(False, ["alone"]).na.fill(True, ["leads"])

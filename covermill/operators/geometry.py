@@ -52,12 +52,13 @@ def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
     # taken once per frame: below the aggregation that drops repeated frames, so it is not inlined into each pair
     one = one.withColumn("inv", F.array(*_inverse(F.col("lattice"))))
     # the height of the cell along axis k is one over the length of column k of the inverse
-    thick = "sqrt(inv[{0}] * inv[{0}] + inv[{0} + 3] * inv[{0} + 3] + inv[{0} + 6] * inv[{0} + 6])"
-    bins = [f"if(coalesce(pbc[{k}], true), greatest(1, cast(floor(1 / {thick.format(k)} / {cutoff}D) as int)), 1)" for k in range(3)]
+    high = [f"1 / sqrt(inv[{k}] * inv[{k}] + inv[{k + 3}] * inv[{k + 3}] + inv[{k + 6}] * inv[{k + 6}])" for k in range(3)]
+    one = one.withColumn("high", F.expr(f"array({', '.join(high)})"))
+    bins = [f"if(coalesce(pbc[{k}], true), greatest(1, cast(floor(high[{k}] / {cutoff}D) as int)), 1)" for k in range(3)]
     one = one.withColumn("bins", F.expr(f"array({', '.join(bins)})")).dropDuplicates(["frame_id"])
-    rows = _exploded(one, ["lattice", "pbc", "inv", "bins"])
+    rows = _exploded(one, ["lattice", "high", "pbc", "inv", "bins"])
     frac = [F.expr(f"x * inv[{k}] + y * inv[{3 + k}] + z * inv[{6 + k}]").alias(f"f{k}") for k in range(3)]
-    rows = rows.select("frame_id", "lattice", "pbc", "i", "symbol", *frac, *[F.col("bins")[k].alias(f"n{k}") for k in range(3)])
+    rows = rows.select("frame_id", "lattice", "high", "pbc", "i", "symbol", *frac, *[F.col("bins")[k].alias(f"n{k}") for k in range(3)])
     rows = rows.select("*", *[F.least(F.floor((F.col(f"f{k}") - F.floor(f"f{k}")) * F.col(f"n{k}")).cast("int"), F.col(f"n{k}") - 1).alias(f"b{k}") for k in range(3)])
     beside = F.expr("flatten(flatten(transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b0 + s, n0))), p -> transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b1 + s, n1))), q -> transform(array_distinct(transform(sequence(-1, 1), s -> pmod(b2 + s, n2))), r -> struct(p, q, r))))))")
     sent = rows.select("frame_id", F.col("i").alias("j"), F.col("symbol").alias("symbol_j"), *[F.col(f"f{k}").alias(f"g{k}") for k in range(3)], F.explode(beside).alias("to"))
@@ -67,11 +68,15 @@ def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
     diff = [F.when(on[k], F.col(f"g{k}") - F.col(f"f{k}") - F.rint(F.col(f"g{k}") - F.col(f"f{k}"))).otherwise(F.col(f"g{k}") - F.col(f"f{k}")).alias(f"d{k}") for k in range(3)]
     pair = ["frame_id", "b0", "b1", "b2", "i", "j", F.col("symbol").alias("symbol_i"), "symbol_j"]
     steps = F.array(*[F.struct(*[F.lit(c).alias(f"c{k}") for k, c in enumerate((x, y, z))]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    near = met.select(*pair, "lattice", "pbc", *diff, F.explode(steps).alias("t"))
+    near = met.select(*pair, "lattice", "high", "pbc", *diff)
+    pair[6] = "symbol_i"
+    # an image is no nearer than its step along any axis, so most pairs have one image to look at or none
+    near = near.where(" and ".join(f"abs(d{k}) * high[{k}] <= {cutoff}D" for k in range(3)))
+    further = F.expr(" or ".join(f"(1 - abs(d{k})) * high[{k}] <= {cutoff}D" for k in range(3)))
+    near = near.withColumn("t", F.explode(F.when(further, steps).otherwise(F.array(F.struct(*[F.lit(0).alias(f"c{k}") for k in range(3)])))))
     for k in range(3):
         near = near.where(on[k] | (F.col(f"t.c{k}") == 0))
     moved = [" + ".join(f"(d{m} + t.c{m}) * lattice[{3 * m + k}]" for m in range(3)) + f" as d{n}" for k, n in enumerate("xyz")]
-    pair[6] = "symbol_i"
     near = near.selectExpr(*pair, *moved).withColumn("distance", F.expr("sqrt(dx * dx + dy * dy + dz * dz)")).where(F.col("distance") <= cutoff)
     # a pair's images are where its join key is, so this takes no shuffle
     nearest = near.groupBy(*pair).agg(F.min(F.struct("distance", "dx", "dy", "dz")).alias("v"))
@@ -166,9 +171,11 @@ def local_cluster(frames: DataFrame, rcut: float, vacuum: float = 8.0, eps: floa
 def bond_angles(near: DataFrame) -> DataFrame:
     """``frame_id, i, j, k, kind, angle`` of each pair of neighbours ``j < k``; ``kind`` is their symbols around the
     center's, the outer two sorted."""
-    left = near.select("frame_id", "i", "j", "symbol_i", "symbol_j", "distance", "dx", "dy", "dz")
-    right = near.select("frame_id", "i", F.col("j").alias("k"), F.col("symbol_j").alias("symbol_k"), F.col("distance").alias("e"), F.col("dx").alias("ex"), F.col("dy").alias("ey"), F.col("dz").alias("ez"))
-    both = left.join(right, ["frame_id", "i"]).where("j < k")
-    cosine = (F.col("dx") * F.col("ex") + F.col("dy") * F.col("ey") + F.col("dz") * F.col("ez")) / (F.greatest("distance", F.lit(1e-10)) * F.greatest("e", F.lit(1e-10)))
-    kind = F.concat_ws("-", F.least("symbol_j", "symbol_k"), "symbol_i", F.greatest("symbol_j", "symbol_k"))
-    return both.select("frame_id", "i", "j", "k", kind.alias("kind"), angle_degrees(cosine).alias("angle"))
+    # one pass over the neighbours; a center's are few, as atoms keep apart
+    v = F.collect_list(F.struct("j", "symbol_j", "distance", "dx", "dy", "dz")).alias("v")
+    around = near.groupBy("frame_id", "i", "symbol_i").agg(v)
+    first = around.select("frame_id", "i", "symbol_i", "v", F.explode("v").alias("p"))
+    both = first.select("frame_id", "i", "symbol_i", "p", F.explode(F.expr("filter(v, q -> q.j > p.j)")).alias("q"))
+    cosine = F.expr("(p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) / (greatest(p.distance, 1e-10D) * greatest(q.distance, 1e-10D))")
+    kind = F.concat_ws("-", F.least("p.symbol_j", "q.symbol_j"), "symbol_i", F.greatest("p.symbol_j", "q.symbol_j"))
+    return both.select("frame_id", "i", F.col("p.j").alias("j"), F.col("q.j").alias("k"), kind.alias("kind"), angle_degrees(cosine).alias("angle"))

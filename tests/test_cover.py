@@ -27,7 +27,7 @@ def random_sets(seed, n=25, m=30):
     return {k: {f"e{rng.randrange(m)}" for _ in range(rng.randrange(1, 7))} for k in range(n)}
 
 
-@pytest.mark.parametrize("finish", [0, 15, 10_000])
+@pytest.mark.parametrize("finish", [0, 15, 40, 10_000])
 def test_rounds_give_the_greedy_sequence(spark, finish):
     sets = random_sets(finish + 1)
     rows = cover.greedy_cover(Scratch(spark), frame(spark, sets), finish=finish).orderBy("rank").collect()
@@ -57,18 +57,18 @@ def sequential_sweep(sets, order, partners=None):
     return set(left)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_sweep_is_the_sequential_one(spark, seed):
+@pytest.mark.parametrize("seed, finish", [(1, 0), (2, 40), (3, 10_000)])
+def test_sweep_is_the_sequential_one(spark, seed, finish):
     sets = random_sets(seed, 18, 14)
     rng = random.Random(seed)
     order = list(sets)
     rng.shuffle(order)
     places = spark.createDataFrame([(k, i) for i, k in enumerate(order)], "item long, place int")
-    got = {r["item"] for r in cover.sweep(Scratch(spark), frame(spark, sets), places).collect()}
+    got = {r["item"] for r in cover.sweep(Scratch(spark), frame(spark, sets), places, finish=finish).collect()}
     assert got == sequential_sweep(sets, order)
     links = [(a, b) for a in sets for b in sets if a < b and rng.random() < 0.2]
     partners = {k: {b for a, b in links if a == k} | {a for a, b in links if b == k} for k in sets}
-    got = {r["item"] for r in cover.sweep(Scratch(spark), frame(spark, sets), places, spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["item"] for r in cover.sweep(Scratch(spark), frame(spark, sets), places, spark.createDataFrame(links, "a long, b long"), finish).collect()}
     assert got == sequential_sweep(sets, order, partners)
 
 
