@@ -115,11 +115,13 @@ def compression_stats(dim: DataFrame) -> DataFrame:
 def distance_links(points: DataFrame, threshold: float) -> DataFrame:
     """``a, b, distance`` with ``a < b`` in one group and at most ``threshold`` apart, for ``points(group, id, x)``.
 
-    Points meet in cells of the threshold's width over their first three coordinates, and a point is sent to its
-    neighbour cells on one side only, so pairs farther apart than a cell never meet.
+    Points meet in cells of the threshold's width over their first three coordinates, and a point is sent to the cells
+    around its own, so pairs farther apart than that never meet. A null group, and points without coordinates, link
+    nothing. Where the threshold is as wide as the first three coordinates spread, as for unit vectors of many
+    dimensions, every pair of a group is compared.
     """
     dims = 3
-    cells = [F.floor(F.coalesce(F.col("x")[i].cast("double"), F.lit(0.0)) / threshold).cast("long") for i in range(dims)]
+    cells = [F.floor(F.coalesce(F.get("x", F.lit(i)).cast("double"), F.lit(0.0)) / threshold).cast("long") for i in range(dims)]
     rows = points.select("group", "id", F.col("x").cast("array<double>").alias("x"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
     shifts = F.expr("flatten(transform(sequence(-1, 1), i -> flatten(transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
     near = rows.select("group", F.col("id").alias("b"), F.col("x").alias("y"), "c0", "c1", "c2", F.explode(shifts).alias("s"))
@@ -130,9 +132,17 @@ def distance_links(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def distance_components(scratch: Scratch, points: DataFrame, threshold: float) -> DataFrame:
-    """``id, cluster``: single linkage inside each group; ``cluster`` is the smallest id of it."""
-    roots = components(scratch, distance_links(points, threshold).select("a", "b"))
-    return points.select("id").join(roots.withColumnRenamed("item", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+    """``id, cluster``: single linkage inside each group; ``cluster`` is the smallest id of it.
+
+    Equal points of a group are one before any pair is looked at. Null coordinates and ids are in no pair.
+    """
+    rows = points.select("group", "id", F.col("x").cast("array<double>").alias("x"))
+    firsts = scratch.keep(rows.groupBy("group", "x").agg(F.min("id").alias("first")))
+    roots = components(scratch, distance_links(firsts.withColumnRenamed("first", "id"), threshold).select("a", "b"))
+    firsts = firsts.join(roots.withColumnRenamed("item", "first"), "first", "left").select("group", "x", F.coalesce("root", "first").alias("cluster"))
+    same = F.expr("p.`group` <=> f.`group` and p.x <=> f.x")
+    named = rows.alias("p").join(firsts.alias("f"), same)
+    return named.select("p.id", F.when(F.col("p.x").isNull(), F.col("p.id")).otherwise(F.col("f.cluster")).alias("cluster"))
 
 
 def topology_links(names: DataFrame, threshold: float) -> DataFrame:

@@ -127,8 +127,10 @@ def greedy_cover(scratch: Scratch, inc: DataFrame, budget: int = 0, stop_pct: fl
     ``budget`` 0 is no limit. The cover ends with the first pick that reaches ``stop_pct`` (cut to 0..100), which at 0
     is none. An empty relation gives an empty manifest.
     """
-    target = inc.select("env").distinct().count()
-    ranked = global_rank(scratch, greedy_picks(scratch, inc, finish), [F.desc("new_gain"), F.asc("prefer"), F.asc("item")], "new_gain")
+    picks = scratch.keep(greedy_picks(scratch, inc, finish))
+    # a full cover has every env once
+    target = picks.agg(F.sum("new_gain")).first()[0] or 0
+    ranked = global_rank(scratch, picks, [F.desc("new_gain"), F.asc("prefer"), F.asc("item")], "new_gain")
     pct = 100.0 * F.col("covered") / max(1, target)
     stop = min(100.0, max(0.0, stop_pct))
     ranked = ranked.where(100.0 * (F.col("covered") - F.col("new_gain")) / max(1, target) < stop)

@@ -48,7 +48,7 @@ def rarity_counts(inc: DataFrame, most: int = 1) -> DataFrame:
 
 
 def trajectory(scratch: Scratch, ranked: DataFrame, inc: DataFrame, before: DataFrame, most_points: int = 0) -> DataFrame:
-    """``step, weighted_pct`` and one ``rcut_<r>_pct`` per cutoff: coverage after each pick of ``ranked(rank, item)``.
+    """``step, weighted_pct`` and one ``rcut_<r>_pct`` per cutoff (2.7 as ``2p7``): coverage after each pick of ``ranked(rank, item)``.
 
     Step 0 is what ``before(env)`` covers. With ``most_points``, steps are a stride apart; the first and last stay.
     """
@@ -64,7 +64,8 @@ def trajectory(scratch: Scratch, ranked: DataFrame, inc: DataFrame, before: Data
     parts = ["w", *(f"c{i}" for i in range(len(cutoffs)))]
     for name in parts:
         rows = global_rank(scratch, rows, [F.asc("step")], name).withColumnRenamed("covered", f"sum_{name}").drop("rank")
-    names = ["weighted_pct", *(f"rcut_{c:g}_pct" for c in cutoffs)]
+    # no dot in a name, which SQL would take for a field
+    names = ["weighted_pct", *(f"rcut_{c:g}_pct".replace(".", "p") for c in cutoffs)]
     rows = rows.select(F.col("step").cast("long").alias("step"), *[(100.0 * F.col(f"sum_{p}") / max(1, whole[p] or 0)).alias(n) for p, n in zip(parts, names)])
     if most_points > 1:
         last = ranked.count()

@@ -39,7 +39,8 @@ def angular_distribution(frames: DataFrame, rcut: float, width: float) -> DataFr
     rows = bond_angles(neighbours(frames, rcut))
     at = F.least(F.floor(F.col("angle") / width), F.lit(math.ceil(180 / width) - 1)).cast("int").alias("bin")
     binned = rows.select("kind", at).groupBy("kind", "bin").agg(F.count("*").alias("n"))
-    return binned.join(binned.groupBy("kind").agg(F.sum("n").alias("all")), "kind").select("kind", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
+    # a kind has one row per bin, so its window is small, and the neighbours are searched once
+    return binned.select("kind", "bin", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).alias("share"))
 
 
 def mean_square_displacement(points: DataFrame, part: list[str], particle: str, time: str, coords: list[str], boxes: dict[str, str] | None = None) -> DataFrame:

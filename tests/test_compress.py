@@ -57,3 +57,11 @@ def test_distance_links(spark):
     got = {(r["a"], r["b"]) for r in compress.distance_links(df, 0.9).collect()}
     want = {(a, b) for _, a, x in pts for _, b, y in pts if a < b and np.linalg.norm(np.array(x) - np.array(y)) <= 0.9}
     assert got == want
+
+
+def test_distance_components_take_copies_short_and_missing_points(spark):
+    rows = [(0, 1, [0.0, 0.0]), (0, 2, [0.0, 0.0]), (0, 3, [0.5, 0.0]), (0, 4, [3.0, 0.0]), (1, 5, [0.0, 0.0]), (0, 6, None), (0, 7, None), (0, 8, [])]
+    df = spark.createDataFrame(rows, "`group` int, id long, x array<double>")
+    got = {r["id"]: r["cluster"] for r in compress.distance_components(Scratch(spark), df, 0.6).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
+    assert compress.distance_components(Scratch(spark), df.limit(0), 0.6).count() == 0
