@@ -11,7 +11,8 @@ BLANK = r"[\s\p{Z}\p{Cf}\x1c-\x1f\x85]"
 
 def compared(value: Column) -> Column:
     """A value's compared form: lower case, without white space and zero-width characters."""
-    return F.lower(F.regexp_replace(value, BLANK + "+", ""))
+    # most values are printable ASCII without blanks, which a plain range shows much faster than Unicode's classes do
+    return F.lower(F.when(value.rlike("[^!-~]"), F.regexp_replace(value, BLANK + "+", "")).otherwise(value))
 
 
 def as_float(value: Column, default: float = float("nan")) -> Column:
