@@ -30,11 +30,15 @@ def signature(name: str, payload: Any) -> str:
 
 
 def file_state(spark: SparkSession, path: str) -> dict:
-    """Path, size and time of change by the session's file system; a missing file has its own state."""
+    """Path and, by the session's file system, number, size and last change of the files and a hash of their names,
+    sizes and times, so that a file changed inside a folder counts as well; a missing file has its own state."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return {"path": path, "missing": True}
-    status = fs.getFileStatus(at)
-    size = fs.getContentSummary(at).getLength()
-    return {"path": path, "size": size, "changed": status.getModificationTime()}
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        one = files.next()
+        found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    digest = hashlib.sha1(json.dumps(sorted(found)).encode()).hexdigest()
+    return {"path": path, "files": len(found), "size": sum(f[1] for f in found), "changed": max((f[2] for f in found), default=0), "digest": digest}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermill.functions import scalar
-from covermill.functions.signature import signature
+from covermill.functions.signature import file_state
 from covermill.operators import compress, cover, embedding, geometry, incidence, metrics, sampling, series, setsim
 from covermill.operators.components import components
 from covermill.plans import oracles, selection
@@ -594,7 +594,7 @@ def xyz_round_trip(spark, d):
 @query
 def stored_stage(spark, d):
     store = StageStore(spark, f"{shared_dir(spark)}/covermill-stages")
-    payload = {"folder": d, "config": Config(), "table": signature("struct_envs", d)}
+    payload = {"folder": d, "config": Config(), "table": file_state(spark, f"{d}/struct_envs.parquet")}
     rows = store.stage("frequency", payload, lambda: incidence.env_frequency(_structs(spark, d)))
     out = rows.groupBy("n_items").agg(F.count("*").alias("n_envs"))
     return out

@@ -2,6 +2,7 @@ import pytest
 
 from covermill.functions.signature import signature
 from covermill.operators import metrics
+from covermill.plans import queries
 from covermill.plans.stages import StageStore
 from covermill.sources import sinks, tables, xyz
 
@@ -79,3 +80,14 @@ def test_reports_and_stages(spark, tmp_path):
     assert len(made) == 2
     store.remove("x", {"map": 2})
     assert store.load("x", {"map": 2}) is None
+
+
+def test_stored_stage_follows_its_table(spark, tmp_path):
+    counts = lambda: {r["n_items"]: r["n_envs"] for r in queries.stored_stage(spark, str(tmp_path)).collect()}
+    write = lambda rows, mode: spark.createDataFrame(rows, "struct_id long, env string").coalesce(1).write.mode(mode).parquet(f"{tmp_path}/struct_envs.parquet")
+    write([(1, "a"), (2, "a"), (1, "b")], "overwrite")
+    assert counts() == {1: 1, 2: 1} == counts()
+    write([(3, "b"), (3, "c")], "append")
+    assert counts() == {1: 1, 2: 2}
+    write([(1, "d")], "overwrite")
+    assert counts() == {1: 1}
