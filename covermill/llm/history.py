@@ -57,29 +57,52 @@ def probe_index(index: DataFrame, probes: DataFrame, t: Threshold) -> DataFrame:
 class SegmentIndex:
     """The history as a written index that grows with each batch; the texts of the history are not read again.
 
-    ``path`` is a folder in shared storage. ``check`` finds the records of a batch that repeat an accepted record,
-    ``accept`` appends the others. Both take record sets (see ``record_sets``).
+    ``path`` is a folder in shared storage with a folder ``batch=N`` for each accepted batch, which counts once all of
+    its tables are written; what is accepted is read off the folder, so any session goes on where another ended.
+    ``check`` finds the records of a batch that repeat an accepted record, ``accept`` adds the others; one writer at a
+    time. Both take record sets (see ``record_sets``). A batch that is tried again gets the same ``batch`` in both:
+    it is checked against the batches before it and written over its first try.
     """
 
-    def __init__(self, spark, path: str, t: Threshold):
-        self.spark, self.path, self.t, self.filled = spark, path, t, False
-
-    def accept(self, sets: DataFrame) -> None:
-        segment_rows(sets, self.t, False).write.mode("append").parquet(f"{self.path}/short")
-        segment_rows(sets, self.t, True).write.mode("append").parquet(f"{self.path}/long")
-        sets.select("id", "n", "parity", "tokens").write.mode("append").parquet(f"{self.path}/sets")
-        self.filled = True
+    TABLES = ("short", "long", "sets")
 
-    def check(self, sets: DataFrame) -> DataFrame:
-        """``id`` of the batch records whose overlap with an accepted record reaches the threshold."""
-        if not self.filled:
+    def __init__(self, spark, path: str, t: Threshold):
+        self.spark, self.path, self.t = spark, path.rstrip("/"), t
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def batches(self) -> list[int]:
+        """The numbers of the batches that are written whole."""
+        fs, at = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = sorted(int(n[6:]) for n in names if n.startswith("batch="))
+        return [n for n in numbers if all(fs.exists(self._fs(f"{self.path}/batch={n}/{t}/_SUCCESS")[1]) for t in self.TABLES)]
+
+    def accept(self, sets: DataFrame, batch: int | None = None) -> None:
+        """Without ``batch``, the records are the batch after the last whole one."""
+        if batch is None:
+            batch = max(self.batches(), default=-1) + 1
+        folder = f"{self.path}/batch={batch}"
+        fs, at = self._fs(folder)
+        fs.delete(at, True)
+        tables = (segment_rows(sets, self.t, False), segment_rows(sets, self.t, True), sets.select("id", "n", "parity", "tokens"))
+        for name, rows in zip(self.TABLES, tables):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def check(self, sets: DataFrame, batch: int | None = None) -> DataFrame:
+        """``id`` of the batch records whose overlap with an accepted record reaches the threshold; with ``batch``,
+        with a record of the batches before it."""
+        known = [n for n in self.batches() if batch is None or n < batch]
+        if not known:
             return sets.select("id").limit(0)
-        read = self.spark.read.parquet
+        read = lambda name: self.spark.read.parquet(*[f"{self.path}/batch={n}/{name}" for n in known])
         own_long, own_short = segment_rows(sets, self.t, True), segment_rows(sets, self.t, False)
-        shorter = probe_index(read(f"{self.path}/short"), own_long, self.t).select("a", "b")
-        longer = probe_index(own_short, read(f"{self.path}/long"), self.t).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        shorter = probe_index(read("short"), own_long, self.t).select("a", "b")
+        longer = probe_index(own_short, read("long"), self.t).select(F.col("b").alias("a"), F.col("a").alias("b"))
         pairs = shorter.unionByName(longer).distinct()
-        history = read(f"{self.path}/sets").select(F.col("id").alias("a"), F.col("tokens.token").alias("tokens_a"))
+        history = read("sets").select(F.col("id").alias("a"), F.col("tokens.token").alias("tokens_a"))
         batch = sets.select(F.col("id").alias("b"), F.col("tokens.token").alias("tokens_b"))
         both = pairs.join(history, "a").join(batch, "b")
         shared = F.size(F.array_intersect("tokens_a", "tokens_b"))

@@ -128,6 +128,27 @@ def test_history_by_replay_and_by_batch(spark, tmp_path, seed):
     assert seen == want
 
 
+def test_an_index_is_read_by_another_session(spark, tmp_path):
+    recs = {1: {f"e{i}" for i in range(20)}, 2: {f"e{i}" for i in range(1, 20)}, 3: {f"f{i}" for i in range(20)}, 4: {f"f{i}" for i in range(1, 20)}}
+    sets = Scratch(spark).keep(records.record_sets(table(spark, recs), "struct_id", "env"))
+    one = lambda k: sets.where(f"id = {k}")
+    ids = lambda df: {r["id"] for r in df.collect()}
+    index = lambda: history.SegmentIndex(spark, str(tmp_path / "index"), T85)
+    assert ids(index().check(one(2))) == set()
+    index().accept(one(1))
+    assert ids(index().check(one(2))) == {2}
+    index().accept(one(3))
+    assert ids(index().check(sets)) == {2, 4}
+    # a batch that was left half-written does not count, and its next try replaces it
+    (tmp_path / "index" / "batch=1" / "sets" / "_SUCCESS").unlink()
+    assert ids(index().check(sets)) == {2}
+    assert ids(index().check(one(3), 1)) == set()
+    index().accept(one(3), 1)
+    index().accept(one(3), 1)
+    assert index().batches() == [0, 1] and ids(index().check(sets)) == {2, 4} and ids(index().check(sets, 1)) == {2}
+    assert spark.read.parquet(str(tmp_path / "index" / "batch=1" / "sets")).count() == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_groups_of_random_links(spark, seed):
     rng = random.Random(seed)
