@@ -119,15 +119,28 @@ def _holds(item: np.ndarray, doc: np.ndarray, i: int, j: int) -> bool:
     return len(before) == n and _near(before[::-1], doc[max(0, j - n - 1) : j].tolist()[::-1])
 
 
-def _slots_agree(items: _Items, i: int, hits: list[tuple[int, int]], doc: np.ndarray, texts: list[str]) -> bool:
-    """Whether windows on one diagonal put one value for each slot value of the item, and not all the item's own."""
+def _run(items: _Items, i: int, p: int, j: int, canon: list[int]) -> tuple[int, int]:
+    """The words before and after the window at ``p`` and ``j`` over which item and document agree in canonical words.
+
+    Windows that are hashed by their own words lie inside a run like any other.
+    """
+    item = items.words[i]
+    lo, hi = 0, WINDOW
+    while p - lo > 0 and j - lo > 0 and items.canon[item[p - lo - 1]] == canon[j - lo - 1]:
+        lo += 1
+    while p + hi < len(item) and j + hi < len(canon) and items.canon[item[p + hi]] == canon[j + hi]:
+        hi += 1
+    return lo, hi
+
+
+def _slots_agree(items: _Items, i: int, p: int, j: int, n: int, doc: np.ndarray, texts: list[str]) -> bool:
+    """Whether a run of ``n`` words puts one value for each slot value of the item, and not all the item's own."""
     item, mapped, differs = items.words[i], {}, False
-    for p, j in hits:
-        for k in range(WINDOW):
-            a = int(item[p + k])
-            if mapped.setdefault(a, texts[j + k]) != texts[j + k]:
-                return False
-            differs = differs or a != doc[j + k]
+    for k in range(n):
+        a = int(item[p + k])
+        if mapped.setdefault(a, texts[j + k]) != texts[j + k]:
+            return False
+        differs = differs or a != doc[j + k]
     return differs
 
 
@@ -167,10 +180,20 @@ def _passages(items: _Items, places: np.ndarray, at: np.ndarray, hashes: np.ndar
             if i not in exact and np.array_equal(items.words[i][p : p + WINDOW], doc[j : j + WINDOW]) and _holds(items.words[i], doc, p, j):
                 exact.add(i)
     out = {(int(doc_id), x, "passage") for i in exact for x in items.ids[i]}
+    canon = items.canon[doc].tolist()
     for (i, _), hits in runs.items():
-        # a passage's length of windows one after the other
-        if len(hits) > PASSAGE - WINDOW and i not in exact and hits[-1][1] - hits[0][1] == len(hits) - 1 and _slots_agree(items, i, hits, doc, texts):
-            out |= {(int(doc_id), x, "template") for x in items.ids[i]}
+        if i in exact:
+            continue
+        end = 0
+        for p, j in hits:
+            # windows inside the last run; a window of few plain words is no anchor, as it is hashed by its own words
+            if j + WINDOW <= end or sum(c > _NAME for c in canon[j : j + WINDOW]) < LEAST_PLAIN or not np.array_equal(items.canon[items.words[i][p : p + WINDOW]], canon[j : j + WINDOW]):
+                continue
+            lo, hi = _run(items, i, p, j, canon)
+            end = j + hi
+            if lo + hi >= PASSAGE and _slots_agree(items, i, p - lo, j - lo, lo + hi, doc, texts):
+                out |= {(int(doc_id), x, "template") for x in items.ids[i]}
+                break
     return out
 
 

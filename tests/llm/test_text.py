@@ -65,6 +65,25 @@ def test_leaks(spark):
     assert passages(spark, [ITEM], [(1, None)]).count() == 0
 
 
+def test_templates_by_runs(spark):
+    item = "old miller Garlo carried 12 bags over bridge Obdu before winter came and then Riob baked 40 loaves from flour that Venne bought in markets near Koltu"
+    new = item
+    for a, b in (("Garlo", "Tismi"), ("12", "15"), ("Obdu", "Koast"), ("Riob", "Pelna"), ("40", "60"), ("Venne", "Vesna"), ("Koltu", "Sarda")):
+        new = new.replace(a, b)
+    texts = [new, new.replace("winter", "summer"), new.replace("winter", "summer").replace("flour", "grain"), " ".join(new.split()[:11])]
+    rows = passages(spark, texts, [(7, item)]).collect()
+    assert {(r["doc_id"], r["kind"]) for r in rows} == {(0, "template"), (1, "template")}
+    # a stretch with few plain words lies in the middle, and one at the beginning
+    dense = "every farmer should then mix 3 kg and 5 kg of 7 g salt with the clean water"
+    other = dense.replace("3", "4").replace("5", "6").replace("7", "9")
+    first = "2 kg and 5 kg of 9 g flour make bread rise"
+    again = first.replace("2", "8").replace("5", "6").replace("9", "7")
+    rows = passages(spark, [other, again, again.removesuffix(" rise")], [(1, dense), (2, first)]).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in rows} == {(0, 1, "template"), (1, 2, "template")}
+    # one number for two values of the same slot
+    assert passages(spark, ["every farmer should then mix 4 kg and 6 kg of 9 g salt with the 8 kg clean water"], [(1, dense.replace("clean", "3 kg clean"))]).count() == 0
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_reading_levels(spark, empty):
     easy, hard = "we saw the red dog and it was big . ", "such heterogeneous asymptotics of the paramagnetic phenomenology presupposes hermeneutics . "
