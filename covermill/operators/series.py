@@ -103,11 +103,22 @@ def mean_absolute_errors(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return both.select(key, energy.alias("energy_mae"), F.expr(mean.format(diff)).alias("force_mae"), F.expr(mean.format(stress)).alias("stress_mae"))
 
 
-def compared_series(left: DataFrame, right: DataFrame, on: str, values: list[str]) -> DataFrame:
+def correlations(rows: DataFrame, part: list[str], kind: str) -> DataFrame:
+    """``*part, kind_a, kind_b, n, pearson`` of every two series ``kind_a < kind_b`` of a part of ``rows(*part, kind,
+    x, y)``: the second is taken at the points of the first."""
+    points = rows.where("x is not null and y is not null").groupBy(*part, kind, "x").agg(F.avg("y").alias("y"))
+    kinds = points.select(*part, kind).distinct()
+    pairs = kinds.withColumnRenamed(kind, "kind_a").join(kinds.withColumnRenamed(kind, "kind_b"), part).where("kind_a < kind_b")
+    left, right = (pairs.join(points.withColumnRenamed(kind, k), [*part, k]).select(*part, "kind_a", "kind_b", "x", "y") for k in ("kind_a", "kind_b"))
+    return correlation(left, right, [*part, "kind_a", "kind_b"])
+
+
+def compared_series(left: DataFrame, right: DataFrame, on: str | list[str], values: list[str]) -> DataFrame:
     """Full join on ``on`` with ``<value>_left, <value>_right, <value>_diff``."""
-    a = left.select(on, *[F.col(v).alias(f"{v}_left") for v in values])
-    b = right.select(on, *[F.col(v).alias(f"{v}_right") for v in values])
-    return a.join(b, on, "full").select(on, *[c for v in values for c in (F.col(f"{v}_left"), F.col(f"{v}_right"), (F.col(f"{v}_left") - F.col(f"{v}_right")).alias(f"{v}_diff"))])
+    keys = [on] if isinstance(on, str) else on
+    a = left.select(*keys, *[F.col(v).alias(f"{v}_left") for v in values])
+    b = right.select(*keys, *[F.col(v).alias(f"{v}_right") for v in values])
+    return a.join(b, keys, "full").select(*keys, *[c for v in values for c in (F.col(f"{v}_left"), F.col(f"{v}_right"), (F.col(f"{v}_left") - F.col(f"{v}_right")).alias(f"{v}_diff"))])
 
 
 def last_values(log: DataFrame, run: str, step: str, values: list[str]) -> DataFrame:

@@ -467,9 +467,8 @@ def user_displacement(spark, d):
 @query
 def user_correlation(spark, d):
     rows = read_table(spark, d, "events").where("value is not null").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"), F.col("value").alias("y"))
-    kinds = [r[0] for r in rows.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    left, right = (rows.where(F.col("event_type") == k).select("user_id", "x", "y") for k in (kinds * 2)[:2])
-    return series.correlation(left, right, ["user_id"]).select("user_id", "n", F.round("pearson", 6).alias("pearson"))
+    found = series.correlations(rows, ["user_id"], "event_type")
+    return found.select("user_id", "kind_a", "kind_b", "n", F.round("pearson", 6).alias("pearson"))
 
 
 @query
@@ -488,6 +487,23 @@ def run_comparison(spark, d):
     return series.compared_series(left, right, "pick_rank", ["covered"])
 
 
+@query
+def run_comparisons(spark, d):
+    """Every run's covered envs after each pick against those counted anew; run_comparison has two runs only."""
+    scratch = Scratch(spark)
+    picks = read_table(spark, d, "initial_training_manifest").where("run_id is not null and pick_rank is not null")
+    said = picks.groupBy("run_id", "pick_rank").agg(F.max("covered").alias("covered"))
+    known = read_table(spark, d, "structures").select(F.col("struct_id").alias("item"), "source", "source_idx").distinct()
+    items = picks.select("run_id", "pick_rank", "source", "source_idx").distinct().join(known, ["source", "source_idx"])
+    firsts = items.join(_structs(spark, d), "item").groupBy("run_id", "env").agg(F.min("pick_rank").alias("pick_rank"))
+    gains = firsts.groupBy("run_id", "pick_rank").agg(F.count("*").alias("gain"))
+    rows = said.select("run_id", "pick_rank").join(gains, ["run_id", "pick_rank"], "left").na.fill(0, ["gain"])
+    ranked = scratch.keep(cover.global_rank(scratch, rows, [F.asc("run_id"), F.asc("pick_rank")], "gain"))
+    before = ranked.groupBy("run_id").agg(F.min(F.col("covered") - F.col("gain")).alias("before"))
+    counted = ranked.join(before, "run_id").select("run_id", "pick_rank", (F.col("covered") - F.col("before")).alias("covered"))
+    return series.compared_series(said, counted, ["run_id", "pick_rank"], ["covered"])
+
+
 @query
 def last_of_runs(spark, d):
     rows = read_table(spark, d, "initial_training_manifest").groupBy("run_id", "pick_rank").agg(F.max("covered").alias("covered"))
