@@ -12,7 +12,7 @@ likewise. No round holds more than aggregates and one bounded block in a task, s
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -140,31 +140,45 @@ def greedy_cover(scratch: Scratch, inc: DataFrame, budget: int = 0, stop_pct: fl
 
 
 def _swept(with_partners: bool):
-    """The sweep one by one, on bounded rows ``item, turn, envs, partners``."""
+    """The sweep one by one, on bounded rows ``item, turn, envs, holders, partners``: ``item, stays``."""
 
     def swept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", ignore_index=True)
         items = pdf["item"].tolist()
         envs = [[] if e is None else list(e) for e in pdf["envs"]]
-        holders = Counter(e for es in envs for e in es)
+        holders = {e: n for es, ns in zip(envs, pdf["holders"]) for e, n in zip(es, [] if ns is None else ns)}
         gone: set = set()
         for item, own, near in zip(items, envs, pdf["partners"]):
             near = [] if near is None else near
             if all(holders[e] > 1 for e in own) and (not with_partners or any(p not in gone for p in near)):
                 gone.add(item)
-                holders.subtract(own)
-        return pd.DataFrame({"item": [k for k in items if k not in gone]}, dtype=pdf["item"].dtype)
+                for e in own:
+                    holders[e] -= 1
+        return pd.DataFrame({"item": pd.Series(items, dtype=pdf["item"].dtype), "stays": [k not in gone for k in items]})
 
     return swept
 
 
+def _one_by_one(turns: DataFrame, rest: DataFrame, near: DataFrame | None) -> DataFrame:
+    """``item, stays`` of the bounded ``turns(item, turn)``, who come before all other items of ``rest``."""
+    own = rest.join(turns, "item", "left_semi").select("item", "env")
+    counts = rest.join(own.select("env").distinct(), "env", "left_semi").groupBy("env").agg(F.count("*").alias("n"))
+    own = own.join(counts, "env").groupBy("item").agg(F.collect_list(F.struct("env", "n")).alias("s"))
+    rows = turns.join(own.select("item", F.col("s.env").alias("envs"), F.col("s.n").alias("holders")), "item", "left")
+    pairs = turns.limit(0).select("item", F.col("item").alias("b")) if near is None else near.join(turns.select(F.col("item").alias("a")), "a", "left_semi").select(F.col("a").alias("item"), "b")
+    rows = rows.join(pairs.groupBy("item").agg(F.collect_list("b").alias("partners")), "item", "left")
+    item_type = turns.schema["item"].dataType.simpleString()
+    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(_swept(near is not None), f"item {item_type}, stays boolean")
+
+
 def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
     """``item, place`` of what stays when items are looked at in the order of ``order(item, place)`` and one is
     removed if all its envs are in another remaining item (and, with ``partners(a, b)``, a partner remains).
 
     Decided at once: who alone has an env, or has no partner left, stays; an env of an item that stays binds nobody.
-    Others go where they come first among the undecided items of their binding envs and among their partners. Once at
-    most ``finish`` rows are left, one task decides them one by one, with the same result.
+    Others go where they come first among the undecided items of their binding envs and among their partners. A round
+    also takes the first undecided items, at most ``finish`` rows and ``BLOCK`` items, one by one in one task: who
+    comes later remains whatever is decided on them. So does the end, once at most ``finish`` rows are left.
     """
     order = scratch.keep(order.select("item", "place"))
     rest = scratch.keep(inc.select("item", "env").join(order, "item"))
@@ -176,12 +190,13 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
     while left := undecided.count():
         if left + rest.count() + (0 if near is None else near.count()) <= finish:
             turns = undecided.select("item", F.row_number().over(Window.orderBy("place")).alias("turn"))
-            last = turns.join(rest.groupBy("item").agg(F.collect_list("env").alias("envs")), "item", "left")
-            pairs = undecided.limit(0).select("item", F.col("item").alias("b")) if near is None else near.select(F.col("a").alias("item"), "b")
-            last = last.join(pairs.groupBy("item").agg(F.collect_list("b").alias("partners")), "item", "left")
-            item_type = order.schema["item"].dataType.simpleString()
-            stay = last.groupBy(F.lit(0).alias("one")).applyInPandas(_swept(near is not None), f"item {item_type}")
+            stay = _one_by_one(turns, rest, near).where("stays").select("item")
             return kept.unionByName(undecided.join(stay, "item", "left_semi"))
+        loads = rest.select("item") if near is None else rest.select("item").unionByName(near.select(F.col("a").alias("item")))
+        loads = undecided.join(loads.groupBy("item").agg(F.count("*").alias("load")), "item", "left").na.fill(0, ["load"])
+        head = loads.orderBy("place").limit(BLOCK)
+        head = head.withColumns({"turn": F.row_number().over(Window.orderBy("place")), "held": F.sum(F.col("load") + 1).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))})
+        block = scratch.keep(head.where(F.col("held") <= finish).select("item", "turn"))
         envs = rest.groupBy("env").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         seen = rest.join(envs, "env").groupBy("item").agg(F.max(F.expr("n = 1")).alias("alone"), F.min(F.expr("place = first")).alias("leads"))
         rows = undecided.join(seen, "item", "left").na.fill(False, ["alone"]).na.fill(True, ["leads"])
@@ -193,7 +208,9 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
             ahead = ahead.groupBy(F.col("a").alias("item")).agg(F.lit(True).alias("has"), F.max(F.expr("place_b is not null and place_b < place_a")).alias("waits"))
             rows = rows.join(ahead, "item", "left").na.fill(False, ["has", "waits"])
         stays = F.expr("alone or not has")
-        decided = scratch.keep(rows.where(stays | F.expr("leads and not waits")).select("item", "place", stays.alias("stays")))
+        decided = rows.where(stays | F.expr("leads and not waits")).select("item", "place", stays.alias("stays"))
+        in_block = undecided.join(_one_by_one(block, rest, near), "item").select("item", "place", "stays")
+        decided = scratch.keep(decided.join(block, "item", "left_anti").unionByName(in_block))
         stay = decided.where("stays").select("item", "place")
         kept = kept.unionByName(stay)
         safe = rest.join(stay.select("item"), "item", "left_semi").select("env").distinct()

@@ -104,6 +104,14 @@ def prune_dense_sweep(spark, d):
     return cover.sweep(scratch, inc, inc.select("item", F.col("item").alias("place")).distinct()).select(F.col("item").alias("suppkey"))
 
 
+@query
+def prune_dense_all(spark, d):
+    """The sweep over all suppliers; prune_dense_sweep has those of its SQL only."""
+    scratch = Scratch(spark)
+    inc = scratch.keep(_dense(spark, d))
+    return cover.sweep(scratch, inc, inc.select("item", F.col("item").alias("place")).distinct()).select(F.col("item").alias("suppkey"))
+
+
 @query
 def two_tier_manifest(spark, d):
     scratch = Scratch(spark)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from covermill.operators import cover, incidence, setsim
-from covermill.plans import selection
+from covermill.plans import queries, selection
 from covermill.session import Scratch
 
 
@@ -72,6 +72,25 @@ def test_sweep_is_the_sequential_one(spark, seed, finish):
     assert got == sequential_sweep(sets, order, partners)
 
 
+def test_a_sweep_of_all_suppliers(spark, tmp_path):
+    # a supplier of 30 and more is redundant as well, and a dense chain takes few rounds
+    rng = random.Random(3)
+    spark.createDataFrame([(p, f"B{p % 6}", p % 4) for p in range(48)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, rng.randrange(48)) for k in range(60) for _ in range(5)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = {k: {(p % 6, p % 4) for s, p in lines if s == k} for k in range(60)}
+    got = {r["suppkey"] for r in queries.queries()["prune_dense_all"](spark, str(tmp_path)).collect()}
+    assert got == sequential_sweep(sets, sorted(sets)) and max(got) >= 30
+
+
+def test_a_block_spares_rounds(spark):
+    sets = {k: {f"e{k % 7}", f"e{(k + 1) % 7}", f"e{(k + 3) % 7}"} for k in range(60)}
+    scratch = Scratch(spark)
+    inc = scratch.keep(frame(spark, sets))
+    got = {r["item"] for r in cover.sweep(scratch, inc, inc.selectExpr("item", "item as place").distinct(), finish=120).collect()}
+    assert got == sequential_sweep(sets, sorted(sets)) and scratch.count < 15
+
+
 def test_band_drops_a_pair_and_copies_collapse(spark):
     inc = frame(spark, {1: {f"e{i}" for i in range(7)}, 2: {f"e{i}" for i in range(10)}, 3: {f"e{i}" for i in range(10)}})
     sets = setsim.token_sets(Scratch(spark), inc)
