@@ -441,7 +441,7 @@ def token_examples(spark, d):
 @query
 def cluster_index(spark, d):
     rows = geometry.raw_tokens(_near(spark, d), 3.0).select(F.col("meta").alias("type"), "raw", F.col("frame_id").alias("source_idx"), "i")
-    return sinks.cluster_index(rows, per_type=3)
+    return sinks.cluster_index(Scratch(spark), rows)
 
 
 @query

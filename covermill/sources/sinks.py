@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from covermill.functions.scalar import center_of, rcut_of, safe_name
 from covermill.functions.signature import plain
 from covermill.operators.metrics import report
+from covermill.session import Scratch
 from covermill.sources.xyz import frame_text
 
 
@@ -69,14 +70,19 @@ def text_report(sections: dict[str, DataFrame]) -> str:
     return "\n".join(lines)
 
 
-def cluster_index(rows: DataFrame, per_type: int = 0, overall: int = 0) -> DataFrame:
+def cluster_index(scratch: Scratch, rows: DataFrame, per_type: int = 0, overall: int = 0) -> DataFrame:
     """Index of exported environments from ``rows(type, raw, source_idx, i)``, by type and raw token.
 
-    ``per_type`` and ``overall`` bound the export, 0 is no bound; the overall order runs over per-type totals, so no
-    task sorts all rows.
+    ``per_type`` and ``overall`` bound the export, 0 is no bound. Rows are range-partitioned and numbered inside their
+    partition, plus what the partitions before hold of the type, so no task sorts all rows or all of a type.
     """
-    w = Window.partitionBy("type").orderBy("raw", "source_idx", "i")
-    ranked = rows.withColumn("nth", F.row_number().over(w))
+    order = ["type", "raw", "source_idx", "i"]
+    parts = scratch.keep(rows.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("type", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("type", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    own = Window.partitionBy("type", "part").orderBy("raw", "source_idx", "i")
+    ranked = parts.withColumn("r", F.row_number().over(own)).join(sizes, ["type", "part"]).withColumn("nth", F.col("r") + F.col("offset"))
     if per_type:
         ranked = ranked.where(F.col("nth") <= per_type)
     if overall:

@@ -4,6 +4,7 @@ from covermill.functions.signature import signature
 from covermill.operators import metrics
 from covermill.plans import queries
 from covermill.plans.stages import StageStore
+from covermill.session import Scratch
 from covermill.sources import sinks, tables, xyz
 
 TEXT = """2
@@ -91,3 +92,17 @@ def test_stored_stage_follows_its_table(spark, tmp_path):
     assert counts() == {1: 1, 2: 2}
     write([(1, "d")], "overwrite")
     assert counts() == {1: 1}
+
+
+def test_cluster_index_has_every_center(spark):
+    d = "/root/testdata/sf0.001"
+    centers = {r["meta"]: r["n_centers"] for r in queries.center_metas(spark, d).collect()}
+    assert {r["effective_fp"]: r["count"] for r in queries.cluster_index(spark, d).groupBy("effective_fp").count().collect()} == centers and max(centers.values()) > 3
+    rows = spark.createDataFrame([(f"r3.0:Fe:cn{t}:", f"raw{k % 5}", k, 0) for t, n in ((1, 40), (2, 3)) for k in range(n)], "type string, raw string, source_idx long, i int")
+    got = sinks.cluster_index(Scratch(spark), rows.repartition(3)).collect()
+    want = {(t, f"raw{k % 5}", k) for t, n in (("r3.0:Fe:cn1:", 40), ("r3.0:Fe:cn2:", 3)) for k in range(n)}
+    assert {(r["effective_fp"], r["raw_fp"], r["source_idx"]) for r in got} == want
+    for t in ("r3.0:Fe:cn1:", "r3.0:Fe:cn2:"):
+        own = sorted((r["raw_fp"], r["source_idx"], r["cif_file"]) for r in got if r["effective_fp"] == t)
+        assert [int(f[-9:-4]) for _, _, f in own] == list(range(1, len(own) + 1))
+    assert sinks.cluster_index(Scratch(spark), rows, per_type=3).count() == 6 and sinks.cluster_index(Scratch(spark), rows, overall=5).count() == 5
