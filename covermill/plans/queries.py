@@ -140,6 +140,13 @@ def initial_summary(spark, d):
     return metrics.report(selection.selection_summary(inc, selection.initial_selection(scratch, inc)))
 
 
+@query
+def universe_selection(spark, d):
+    """From frames to the manifest: pair filter, tokens at each cutoff, types, selection."""
+    scratch = Scratch(spark)
+    return _manifest(selection.initial_selection(scratch, scratch.keep(selection.universe(scratch, _frames(spark, d)))), "frame_id")
+
+
 @query
 def gap_supplement(spark, d):
     scratch = Scratch(spark)

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covermill.operators import compress, geometry
 from covermill.operators.cover import FINISH, greedy_cover, manifest, sweep, two_tier_cover, without_similar
-from covermill.operators.incidence import gap, projected
+from covermill.operators.incidence import gap, incidence, projected
 from covermill.operators.metrics import coverage
 from covermill.plans.config import Config
 from covermill.session import Scratch, is_empty
 
 
+def universe(scratch: Scratch, frames: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """``item, env``: the effective types of each frame that passes the pair filter, over the tokens of all cutoffs."""
+    good = geometry.physical(frames, cfg.filter_coeff).where("is_physical").select("frame_id")
+    frames = scratch.keep(frames.join(good, "frame_id", "left_semi"))
+    tokens, dims = [], []
+    for rcut in cfg.rcuts:
+        near = scratch.keep(geometry.environments(frames, rcut))
+        tokens.append(scratch.keep(geometry.raw_tokens(near, rcut, cfg.centers)))
+        dims.append(geometry.token_dim(tokens[-1], geometry.features(near), cfg.feature_samples))
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    types = scratch.keep(compress.fit_types(union(dims), cfg.bond_tolerance, cfg.angle_tolerance, cfg.feature_share))
+    return incidence(union(tokens).select("frame_id", "raw").distinct().join(types.select("raw", "type"), "raw"), "frame_id", "type")
+
+
 def _chosen(scratch: Scratch, inc: DataFrame, target: DataFrame, universe: DataFrame, cfg: Config, budget: int, pct: float, finish: int) -> DataFrame:
     if cfg.two_tier:
         return two_tier_cover(scratch, inc, target, universe, cfg.rare_most, cfg.rare_overlap, cfg.common_overlap, cfg.size_band, cfg.common_pct, budget, finish)

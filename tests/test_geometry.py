@@ -1,6 +1,8 @@
 import math
 
 from covermill.operators import geometry, series
+from covermill.plans import selection
+from covermill.session import Scratch
 
 FRAME = "frame_id long, lattice array<double>, pbc array<boolean>, atoms array<struct<symbol:string,pos:array<double>,forces:array<double>>>, n_atoms int, step long, energy double, stress array<double>"
 CUBE = [10.0, 0, 0, 0, 10.0, 0, 0, 0, 10.0]
@@ -55,3 +57,13 @@ def test_series(spark):
     assert [(r["kind"], r["bin"], r["n_pairs"]) for r in rdf] == [("Fe-Fe", 4, 1)]
     mae = series.mean_absolute_errors(f, f, "frame_id").first()
     assert mae["energy_mae"] == 0 and mae["force_mae"] == 0 and mae["stress_mae"] is None
+
+
+def test_universe_has_all_cutoffs_and_physical_frames_only(spark):
+    atoms = lambda *xs: [("C" if k % 2 else "Fe", (x, 0, 0)) for k, x in enumerate(xs)]
+    rows = frames(spark, atoms(0, 2.0), atoms(0, 2.9), atoms(0, 1.0, 3.0), atoms(0, 2.0, 4.85))
+    inc = selection.universe(Scratch(spark), rows).collect()
+    at = lambda k: {r["env"].partition(":sim")[0] for r in inc if r["item"] == k}
+    assert at(0) == {"r2.7:fe:cn1:c", "r2.7:c:cn1:fe", "r3.0:fe:cn1:c", "r3.0:c:cn1:fe"}
+    assert at(1) == {"r3.0:fe:cn1:c", "r3.0:c:cn1:fe"} and at(2) == set()
+    assert at(3) == {"r2.7:fe:cn1:c", "r2.7:c:cn1:fe", "r3.0:fe:cn1:c", "r3.0:c:cn2:fefe"}
