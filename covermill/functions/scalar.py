@@ -27,21 +27,22 @@ def as_int(value: Column, default: int = 0) -> Column:
 
 
 def safe_name(text: Column, longest: int = 120) -> Column:
-    """A file name: other characters become ``_``; longer names are cut and end in ten digits of their sha1."""
+    """A file name of at most ``longest`` characters: others than these become ``_``; a longer name is cut and ends in
+    ten digits of the sha1 of the cleaned name."""
     clean = F.regexp_replace(text, r"[^A-Za-z0-9_.=+:-]+", "_")
-    return F.when(F.length(clean) > longest, F.concat(F.substring(clean, 1, longest), F.lit("_"), F.substring(F.sha1(text), 1, 10))).otherwise(clean)
+    return F.when(F.length(clean) > longest, F.concat(F.substring(clean, 1, longest - 11), F.lit("_"), F.substring(F.sha1(clean), 1, 10))).otherwise(clean)
 
 
 def rcut_of(key: Column, default: float = 3.0) -> Column:
-    """The cutoff of a token or type, from its prefix ``r<number>:``."""
-    found = F.regexp_extract(key, r"^r(\d+(?:\.\d+)?):", 1)
+    """The cutoff of a token or type: the first ``r<number>`` at its start or after a colon."""
+    found = F.regexp_extract(key, r"(?:^|:)r(\d+(?:\.\d+)?)", 1)
     return F.coalesce(F.when(found != "", found.cast("double")), F.lit(default))
 
 
 def center_of(key: Column) -> Column:
-    """The center symbol of a type, null if it has none."""
-    found = F.regexp_extract(key, r"^r[\d.]+:([A-Za-z]+):", 1)
-    return F.when(found != "", found)
+    """The center symbol of a type, the first ``:<symbol>:cn`` in any case of letters; ``?`` if it has none."""
+    found = F.regexp_extract(key, r"(?i):([a-z][a-z]?):cn", 1)
+    return F.when(found != "", found).when(key.isNotNull(), "?")
 
 
 def piece_tokens(text: Column) -> Column:
@@ -49,6 +50,13 @@ def piece_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z]+|\d+\.\d+|\d+|[^\sA-Za-z0-9])"), F.lit(1))))
 
 
+def type_tokens(text: Column) -> Column:
+    """The words and numbers of a type's name in their order, then the trigrams of the name without white space."""
+    # fixed values: the pattern decides which tokens there are
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z]+|cn\d+|r\d+(?:\.\d+)?|sim\d+|\d+|[A-Za-z0-9_.:-]+)"), F.lit(1))
+    return F.concat(words, trigrams(F.regexp_replace(text, r"\s+", "")))
+
+
 def trigrams(text: Column) -> Column:
     """Successive triples of characters; none for shorter texts."""
     last = F.length(text) - 2

@@ -121,15 +121,17 @@ def greedy_picks(scratch: Scratch, inc: DataFrame, finish: int = FINISH) -> Data
     return out
 
 
-def greedy_cover(scratch: Scratch, inc: DataFrame, budget: int = 0, stop_pct: float = 100.0, finish: int = FINISH) -> DataFrame:
+def greedy_cover(scratch: Scratch, inc: DataFrame, budget: int = 0, stop_pct: float = 100.0, finish: int = FINISH, target: int | None = None) -> DataFrame:
     """The manifest ``rank, item, new_gain, covered, uncovered, coverage_pct`` of a greedy cover.
 
-    ``budget`` 0 is no limit. The cover ends with the first pick that reaches ``stop_pct`` (cut to 0..100), which at 0
-    is none. An empty relation gives an empty manifest.
+    ``budget`` 0 is no limit. The cover ends with the first pick that reaches ``stop_pct`` (cut to 0..100) of the
+    ``target`` envs, which at 0 is none; without ``target``, all envs that the relation has are the target. An empty
+    relation gives an empty manifest.
     """
     picks = scratch.keep(greedy_picks(scratch, inc, finish))
-    # a full cover has every env once
-    target = picks.agg(F.sum("new_gain")).first()[0] or 0
+    if target is None:
+        # a full cover has every env once
+        target = picks.agg(F.sum("new_gain")).first()[0] or 0
     ranked = global_rank(scratch, picks, [F.desc("new_gain"), F.asc("prefer"), F.asc("item")], "new_gain")
     pct = 100.0 * F.col("covered") / max(1, target)
     stop = min(100.0, max(0.0, stop_pct))
@@ -226,7 +228,7 @@ def two_tier_cover(scratch: Scratch, inc: DataFrame, target: DataFrame, universe
 
     Rarity is taken from the whole ``universe``. The rare pass knows no budget. Common envs that its picks have are
     taken off; the second pass leaves its picks out, collapses similar items by all common envs, and covers
-    ``common_pct`` of what remains.
+    ``common_pct`` of all that remains, whether the items that stay have it or not.
     """
     tiers = scratch.keep(classify(universe, rare_most).join(target.select("env").distinct(), "env", "left_semi"))
     rare, common = tiers.where("tier = 'rare'").select("env"), tiers.where("tier = 'common'").select("env")
@@ -234,7 +236,7 @@ def two_tier_cover(scratch: Scratch, inc: DataFrame, target: DataFrame, universe
     hit = inc.join(first.select("item"), "item", "left_semi").select("env").distinct()
     left = scratch.keep(common.join(hit, "env", "left_anti"))
     pool = deduplicated(scratch, projected(inc, common, exclude=first.select("item")), common_overlap, band)
-    second = greedy_cover(scratch, projected(pool, left), budget, common_pct, finish)
+    second = greedy_cover(scratch, projected(pool, left), budget, common_pct, finish, left.count())
     passes = first.select("item", F.lit("rare").alias("pass_name"), F.col("rank").alias("r"), F.lit(1).alias("turn"))
     passes = passes.unionByName(second.select("item", F.lit("common").alias("pass_name"), F.col("rank").alias("r"), F.lit(2).alias("turn")))
     return manifest(scratch, passes, inc.join(target.select("env").distinct(), "env", "left_semi"), ["turn", "r"], ["pass_name"])

@@ -7,16 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermill.functions.scalar import hashed_slot, trigrams
+from covermill.functions.scalar import hashed_slot, type_tokens
 
 
 def hashed_vectors(types: DataFrame, dim: int = 128) -> DataFrame:
-    """``type, slot, value``: pieces and character trigrams of each type, hashed with signs, scaled to length 1.
+    """``type, slot, value``: words, numbers and trigrams of each type, hashed with signs, scaled to length 1.
 
-    Slots that cancel out are left out; a type without pieces has no row.
+    Slots that cancel out are left out; a type without tokens has no row.
     """
-    tokens = F.concat(F.regexp_extract_all("type", F.lit(r"([A-Za-z]+|\d+\.\d+|\d+|[^\sA-Za-z0-9])"), F.lit(1)), trigrams(F.col("type")))
-    rows = types.select("type").where("type is not null").distinct().select("type", F.explode(tokens).alias("token"))
+    rows = types.select("type").where("type is not null").distinct().select("type", F.explode(type_tokens(F.col("type"))).alias("token"))
     slot, sign = hashed_slot(F.col("token"), dim)
     rows = rows.groupBy("type", slot.alias("slot")).agg(F.sum(sign).alias("value")).where("value <> 0")
     norms = rows.groupBy("type").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

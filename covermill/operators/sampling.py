@@ -17,21 +17,25 @@ def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
 
 
 def systematic(scratch: Scratch, names: DataFrame, most: int) -> DataFrame:
-    """``name`` of at most ``most`` of ``names(name, priority)``: those with priority first, then the others, each
-    part sorted and strided where it is larger than what is left for it. ``most`` of 0 or less takes all."""
-    rows = names.groupBy("name").agg(F.max("priority").alias("priority"))
-    if most <= 0:
-        return rows.select("name")
+    """``name`` of at most ``most`` of ``names(name, priority)``, all if they are no more or ``most`` is 0 or less.
+
+    Names with priority are all taken and the others at a stride that fits; where the former alone are ``most`` or
+    more, they are taken at a stride and the others not at all. Null names are left out.
+    """
+    rows = names.where("name is not null").groupBy("name").agg(F.coalesce(F.max("priority"), F.lit(False)).alias("priority"))
     sizes = {r["priority"]: r["n"] for r in rows.groupBy("priority").agg(F.count("*").alias("n")).collect()}
-    out, left = None, most
-    for priority in (True, False):
-        n = sizes.get(priority, 0)
-        if n and left > 0:
-            stride = max(1, math.ceil(n / left))
-            part = global_rank(scratch, rows.where(F.col("priority") == priority), [F.asc("name")]).where((F.col("rank") - 1) % stride == 0).select("name")
-            out = part if out is None else out.unionByName(part)
-            left -= math.ceil(n / stride)
-    return out if out is not None else rows.select("name").limit(0)
+    first, others = sizes.get(True, 0), sizes.get(False, 0)
+    if most <= 0 or first + others <= most:
+        return rows.select("name")
+    if first >= most:
+        return _strided(scratch, rows.where("priority"), math.ceil(first / most))
+    rest = _strided(scratch, rows.where("not priority"), math.ceil(others / (most - first)))
+    return rows.where("priority").select("name").unionByName(rest)
+
+
+def _strided(scratch: Scratch, rows: DataFrame, stride: int) -> DataFrame:
+    ranked = global_rank(scratch, rows, [F.asc("name")])
+    return ranked.where((F.col("rank") - 1) % stride == 0).select("name")
 
 
 def curve_points(ranked: DataFrame, rank: str, most: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from covermill.plans import cover_sql as cover
+
 _ENV = r"lower(regexp_replace(env, '[\s\p{Z}\p{Cf}]+', '', 'g'))"
 _S = f"s as (select distinct struct_id item, source, {_ENV} env from struct_envs where struct_id is not null and {_ENV} <> ''), a as (select distinct item, env from s)"
 _P = "pr as (select distinct item, env from s where source = 'probe'), ph as (select distinct item, env from s where source = 'phase2')"
 _F = "f as (select env, count(*) n from a group by 1)"
 _D = "e as (select distinct l_suppkey k, lower(p_brand || ':' || p_size) env from lineitem join part on l_partkey = p_partkey)"
-_W = "w as (select distinct doc_id item, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) env from documents where text is not null), a as (select item, env from w where env <> '')"
+_W = r"w as (select distinct doc_id item, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) env from documents where text is not null), a as (select item, env from w where env <> '')"
 _GREEDY = f"""with recursive {_D}, cand as (select k, list(env) envs from e group by k), t as (select count(distinct env) n from e),
 g as (select 0 step, null::bigint k, 0::bigint gain, 0::bigint covered, (select list(distinct env) from e) unc union all
  select step + 1, k2, gain2, covered + gain2, list_filter(unc, lambda x: not list_contains(envs, x)) from (
@@ -35,14 +37,44 @@ def _near(rcut: float) -> str:
     return _NEAR.replace("{0}", str(rcut))
 
 
+def _covers() -> dict[str, str]:
+    """Covers and pipelines over structures, with envs as numbers: all, and those of each source."""
+    start = f"with recursive {_S}, {_P}, {cover.numbered('n', 'a')}, np as (select item, e env from pr join n_ids using (env)), nh as (select item, e env from ph join n_ids using (env))"
+    shown = "select item as struct_id, pass_name, rank, new_gain, covered, uncovered, coverage_pct from {0}"
+    both = "bt as (select 1000000000000 + item item, env from np union all select item, env from nh)"
+    joint = f"{both}, {cover.greedy('g', 'bt')}, gi as (select * from bt where item in (select item from g)), go as (select item, row_number() over (order by item < 1000000000000, item) turn from g), {cover.sweep('sw', 'gi', 'go')}"
+    counted = "select source, count(*) as n_in, count(*) filter (k in (select item from sw)) as n_kept from (select distinct 'probe' source, 1000000000000 + item k from np union all select distinct 'phase2', item from nh) group by 1"
+    gap = f"tgt as (select distinct env from nh where env not in (select env from np)), oi as (select * from nh where env in (select env from tgt)), {cover.two_tiers('tt', 'oi', 'nh', 'tgt')}"
+    gap += f", so as (select item, pass_name, row_number() over (order by turn, r) place from tt), {cover.not_similar('ns', 'oi', 'so')}, fin as (select item, 1 turn, place r, pass_name from so where item in (select item from ns)), {cover.manifest('m', 'fin', 'oi')}"
+    steps = f"""{cover.greedy('g', 'nh')}, w as (select e env, count(*) n, any_value(coalesce(nullif(regexp_extract(ids.env, '(?:^|:)r(\\d+(?:\\.\\d+)?)', 1), '')::double, 3.0)) rc from nh join n_ids ids on ids.e = nh.env group by 1),
+        t0 as (select env, min(rank) step from nh join g using (item) where env not in (select env from np) group by 1 union all select distinct env, 0 from np),
+        ev as (select w.*, step from w left join t0 using (env)), st as (select rank step from g union all select 0),
+        mx as (select max(rank) hi, greatest(1, ceil(max(rank) / 199.0)) stride from g)
+        select st.step, 100.0 * sum(n) filter (ev.step <= st.step) / sum(n) as weighted_pct, 100.0 * count(*) filter (ev.step <= st.step and rc = 2.7) / count(*) filter (rc = 2.7) as rcut_2p7_pct,
+         100.0 * count(*) filter (ev.step <= st.step and rc = 3) / count(*) filter (rc = 3) as rcut_3_pct from st, ev, mx where st.step % stride = 0 or st.step = hi group by st.step"""
+    return {
+        "cover_structures": f"{start}, {cover.greedy('g', 'n')}, t as (select count(distinct env) w from n) select item as struct_id, rank, new_gain, covered, w - covered as uncovered, round(100.0 * covered / w, 6) as coverage_pct from g, t",
+        "two_tier_manifest": f"{start}, tgt as (select distinct env from n), {cover.two_tiers('tt', 'n', 'n', 'tgt')}, {cover.manifest('m', 'tt', 'n')} {shown.format('m')}",
+        "similar_redundant_removed": f"{start}, so as (select distinct item, item place from nh), {cover.not_similar('ns', 'nh', 'so')} select item as struct_id from ns",
+        "initial_selection": f"{start}, {cover.initial_selection('n')} {shown.format('chosen')}",
+        "initial_summary": f"""{start}, {cover.initial_selection('n')}, c as (select count(distinct env) c from n where item in (select item from chosen)), t as (select count(distinct env) t, count(distinct item) i from n), v as (select count(*) k from chosen)
+            select 'candidate_structures_with_envs' as key, i::varchar as value from t union all select 'selected_structures', k::varchar from v union all select 'n_target', t::varchar from t union all select 'n_covered', c::varchar from c
+            union all select 'n_uncovered', (t - c)::varchar from t, c union all select 'coverage_pct', (100.0 * c / t)::double::varchar from t, c""",
+        "gap_supplement": f"{start}, {gap} {shown.format('m')}",
+        "joint_cover": f"{start}, {joint} select g.rank, case when item < 1000000000000 then 'phase2' else 'probe' end as source, item % 1000000000000 as source_idx, (select count(*) from gi where gi.item = g.item) as n_envs from g where item in (select item from sw)",
+        "joint_summary": f"{start}, {joint} {counted}",
+        "coverage_trajectory": f"{start}, {steps}",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     runs = "m as (select run_id, pick_rank, max(covered) covered from initial_training_manifest group by 1, 2)"
-    return {
+    return _covers() | {
         "cover_dense_manifest": _GREEDY,
         "cover_dense_budget": f"select * from ({_GREEDY}) where rank <= 5",
         "cover_dense_stop": f"select * from ({_GREEDY}) where 100.0 * (covered - new_gain) / (covered + uncovered) < 85",
         "cover_first_pick": f"with {_D} select k as suppkey, count(*) as gain from e group by 1 order by 2 desc, 1 limit 1",
-        "prune_dense_sweep": f"""with recursive {_D}, c as (select k, list(env) envs, row_number() over (order by k) r from e where k < 30 group by k),
+        "prune_dense_sweep": f"""with recursive {_D}, c as (select k, list(env) envs, row_number() over (order by k) r from e group by k),
             g as (select 0::bigint r, (select list(k order by k) from c) kept union all
              select g.r + 1, case when list_has_all(coalesce((select flatten(list(o.envs)) from c o where list_contains(g.kept, o.k) and o.k <> c.k), []), c.envs) then list_filter(g.kept, lambda x: x <> c.k) else g.kept end
              from g join c on c.r = g.r + 1)
@@ -56,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_envs": f"with {_S}, {_P} select distinct env from ph where env not in (select env from pr)",
         "covered_union": f"with {_S}, i as (select distinct struct_id from structures join initial_training_manifest using (source, source_idx)) select distinct env from a where item in (select struct_id from i)",
         "heavy_tail_words": f"with {_W}, f as (select env, count(*) n from a group by 1) select n as n_items, count(*) as n_words from f group by 1",
-        "types_by_cutoff": rf"with {_S} select coalesce(nullif(regexp_extract(env, '^r(\d+(?:\.\d+)?):', 1), '')::double, 3.0) as rcut, count(distinct env) as n_types, count(distinct item) as n_items from a group by 1",
+        "types_by_cutoff": rf"with {_S} select coalesce(nullif(regexp_extract(env, '(?:^|:)r(\d+(?:\.\d+)?)', 1), '')::double, 3.0) as rcut, count(distinct env) as n_types, count(distinct item) as n_items from a group by 1",
         "coverage_by_tier": f"""with {_S}, {_P}, {_F}, r as (select case when n <= 5 then 'rare' else 'common' end tier, env, env in (select env from pr) hit from f),
             u as (select tier, hit from r union all select 'total', hit from r)
             select tier, count(*) as n_target, count(*) filter (hit) as n_covered, round(100.0 * count(*) filter (hit) / count(*), 6) as coverage_pct from u group by 1""",
@@ -85,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
             b as (select x, y from l union all select y, x from l), r(item, root) as (select item, item from z union select b.y, r.root from r join b on b.x = r.item),
             m as (select item, min(root) root from r group by 1), k as (select m.*, row_number() over (partition by root order by n desc, item) rn from m join z using (item))
             select item as struct_id, root as root_id, rn = 1 as is_kept from k""",
-        "match_components": """with recursive l as (select left_id a, right_id b from match_pairs where route = 'A-rare' and jaccard >= 0.85 and not isnan(jaccard) and left_id is not null and right_id is not null),
+        "match_components": """with recursive l as (select left_id a, right_id b from match_pairs where jaccard >= 0.85 and not isnan(jaccard) and left_id is not null and right_id is not null),
             b as (select a, b from l union all select b, a from l), r(item, root) as (select a, a from b union select b.b, r.root from r join b on b.a = r.item)
             select item as struct_id, min(root) as root_id from r group by 1""",
         "frozen_map_applied": """with p as (select p_brand || ':' || p_type || ':' || p_size raw, min(p_brand || ':' || p_type) meta, max(p_size) s from part group by 1)
@@ -115,7 +147,14 @@ def oracle_sql() -> dict[str, str]:
             select kind, bin, n, round(n / sum(n) over (partition by kind), 6) as share from h""",
         "frame_errors": """with f as (select frame_id, any_value(energy) energy, any_value(stress) stress, any_value(atoms) atoms from frames where frame_id is not null group by 1)
             select frame_id, case when not isnan(energy) then round(0.5 / greatest(1, len(atoms)), 6) end as energy_mae, 0.0 as force_mae, case when stress is not null then 0.25 end as stress_mae from f""",
-        "run_comparison": f"with {runs}, r as (select distinct run_id from m order by 1 limit 2), l as (select pick_rank, covered from m where run_id = (select min(run_id) from r)), x as (select pick_rank, covered from m where run_id = (select max(run_id) from r)) select pick_rank, l.covered as covered_left, x.covered as covered_right, l.covered - x.covered as covered_diff from l full join x using (pick_rank)",
+        "run_comparison": f"with {runs}, k as (select * from m where run_id is not null and pick_rank is not null), x as (select pick_rank, avg(covered::double) c from k group by 1) select run_id, pick_rank, covered::double as covered_left, round(c, 6) as covered_right, round(covered - c, 6) as covered_diff from k join x using (pick_rank)",
+        "run_comparisons": f"""with {_S}, {runs}, k as (select run_id, pick_rank, max(covered) covered from m where run_id is not null and pick_rank is not null group by 1, 2),
+            t as (select distinct run_id, pick_rank, source, source_idx from initial_training_manifest where run_id is not null and pick_rank is not null),
+            i as (select distinct t.run_id, t.pick_rank, s.struct_id from t join structures s using (source, source_idx)),
+            f as (select run_id, env, min(pick_rank) pick_rank from i join a on a.item = i.struct_id group by 1, 2), g as (select run_id, pick_rank, count(*) n from f group by 1, 2),
+            c as (select k.*, sum(coalesce(n, 0)) over (partition by run_id order by pick_rank)::bigint counted from k left join g using (run_id, pick_rank))
+            select run_id, pick_rank, covered as covered_left, counted as covered_right, covered - counted as covered_diff from c""",
+        "prune_dense_all": f"""with recursive {_D}, i as (select k item, env from e), o as (select k item, row_number() over (order by k desc) turn from (select distinct k from e)), {cover.sweep('sw', 'i', 'o')} select item as suppkey from sw""",
         "last_of_runs": f"with {runs}, w as (select *, covered - lag(covered) over (partition by run_id order by pick_rank) ch from m where pick_rank is not null) select run_id, max(pick_rank) as last_step, arg_max(covered, pick_rank) as covered, arg_max(ch, pick_rank) as change_covered from w group by 1",
         "user_displacement": """with r as (select event_type, user_id, date_trunc('hour', ts) t, avg(value) v from events where value is not null group by 1, 2, 3),
             f as (select *, v - first_value(v) over (partition by event_type, user_id order by t) dv from r), m as (select event_type, t, avg(dv * dv) msd from f group by 1, 2)
@@ -123,8 +162,8 @@ def oracle_sql() -> dict[str, str]:
         "structure_energies": "with e as (select struct_id, max(energy) energy, max(n_atoms) n_atoms from structures where energy is not null and not isnan(energy) group by 1) select struct_id, round(energy + 300.0 * n_atoms / 1000, 6) as inner_energy, 3 * n_atoms - 3 as n_modes from e",
         "safe_casts": "select doc_id, round(coalesce(try_cast(title as double), -1.0), 6) as as_float, coalesce(n_chars, 0) as as_int, coalesce(try_cast(try_cast(lang as double) as bigint), -7) as lang_int from documents",
         "file_names": """with d as (select doc_id, regexp_replace(title, '[^A-Za-z0-9_.=+:-]+', '_', 'g') a, title, concat_ws('/', title, edit_note, editor) b from documents), e as (select *, regexp_replace(b, '[^A-Za-z0-9_.=+:-]+', '_', 'g') c from d)
-            select doc_id, case when length(a) > 120 then substr(a, 1, 120) || '_' || substr(sha1(title), 1, 10) else a end as name, case when length(c) > 20 then substr(c, 1, 20) || '_' || substr(sha1(b), 1, 10) else c end as short_name from e""",
-        "key_parts": rf"with {_S}, v as (select distinct env from a) select env, coalesce(nullif(regexp_extract(env, '^r(\d+(?:\.\d+)?):', 1), '')::double, 3.0) as rcut, nullif(regexp_extract(env, '^r[\d.]+:([A-Za-z]+):', 1), '') as center, sha1(env) as sha, substr(sha1(env), 1, 8) as short_sha from v",
+            select doc_id, case when length(a) > 120 then substr(a, 1, 109) || '_' || substr(sha1(a), 1, 10) else a end as name, case when length(c) > 20 then substr(c, 1, 9) || '_' || substr(sha1(c), 1, 10) else c end as short_name from e""",
+        "key_parts": rf"with {_S}, v as (select distinct env from a) select env, coalesce(nullif(regexp_extract(env, '(?:^|:)r(\d+(?:\.\d+)?)', 1), '')::double, 3.0) as rcut, coalesce(nullif(regexp_extract(env, ':([a-zA-Z][a-zA-Z]?):[cC][nN]', 1), ''), '?') as center, sha1(env) as sha, substr(sha1(env), 1, 8) as short_sha from v",
         "gap_states": f"with {_S}, {_P}, {_F} select case when env not in (select env from pr) and env in (select env from ph) then 'newly_covered' when env in (select env from pr) then 'covered_before' else 'still_uncovered' end as state, count(*) as n_envs from f group by 1",
         "every_tenth_frame": "select distinct frame_id, step, n_atoms from frames where frame_id is not null and step % 2000 = 0",
         "curve_points": f"with {runs}, x as (select max(pick_rank) hi, greatest(1, ceil(max(pick_rank) / 49.0)::int) stride from m) select run_id, pick_rank, covered from m, x where pick_rank % stride = 0 or pick_rank = hi",

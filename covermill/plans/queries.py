@@ -49,7 +49,7 @@ def _structs(spark: SparkSession, d: str, source: str | None = None) -> DataFram
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").where("text is not null")
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("env")
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"))).alias("env")
     return incidence.incidence(docs.select("doc_id", words), "doc_id", "env")
 
 
@@ -100,16 +100,16 @@ def cover_first_pick(spark, d):
 @query
 def prune_dense_sweep(spark, d):
     scratch = Scratch(spark)
-    inc = scratch.keep(_dense(spark, d).where("item < 30"))
+    inc = scratch.keep(_dense(spark, d))
     return cover.sweep(scratch, inc, inc.select("item", F.col("item").alias("place")).distinct()).select(F.col("item").alias("suppkey"))
 
 
 @query
 def prune_dense_all(spark, d):
-    """The sweep over all suppliers; prune_dense_sweep has those of its SQL only."""
+    """The sweep over all suppliers with the last one first; prune_dense_sweep begins with the first."""
     scratch = Scratch(spark)
     inc = scratch.keep(_dense(spark, d))
-    return cover.sweep(scratch, inc, inc.select("item", F.col("item").alias("place")).distinct()).select(F.col("item").alias("suppkey"))
+    return cover.sweep(scratch, inc, inc.select("item", (-F.col("item")).alias("place")).distinct()).select(F.col("item").alias("suppkey"))
 
 
 @query
@@ -165,8 +165,10 @@ def joint_summary(spark, d):
     scratch = Scratch(spark)
     probe, pool = scratch.keep(_structs(spark, d, "probe")), scratch.keep(_structs(spark, d, "phase2"))
     kept = selection.joint_cover(scratch, probe, pool)
-    items = probe.select("item", F.lit("probe").alias("source")).unionByName(pool.select("item", F.lit("phase2").alias("source")))
-    return metrics.source_counts(items, kept.select(F.col("source_idx").alias("item")), "source")
+    # an item is its source and number, as numbers may be in both sources
+    named = lambda df, source, number: df.select(F.concat_ws(":", source, F.col(number).cast("string")).alias("item"), source.alias("source"))
+    items = named(probe, F.lit("probe"), "item").unionByName(named(pool, F.lit("phase2"), "item"))
+    return metrics.source_counts(items, named(kept, F.col("source"), "source_idx"), "source")
 
 
 # --- frequencies, tiers, gaps
@@ -327,7 +329,7 @@ def near_documents(spark, d):
 
 @query
 def match_components(spark, d):
-    rows = read_table(spark, d, "match_pairs").where("route = 'A-rare' and jaccard >= 0.85 and not isnan(jaccard)")
+    rows = read_table(spark, d, "match_pairs").where("jaccard >= 0.85 and not isnan(jaccard)")
     found = components(Scratch(spark), rows.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     return found.select(F.col("item").alias("struct_id"), F.col("root").alias("root_id"))
 
@@ -496,15 +498,18 @@ def frame_errors(spark, d):
 
 @query
 def run_comparison(spark, d):
+    """Every run's covered envs after each pick against the mean of all runs."""
     rows = read_table(spark, d, "initial_training_manifest").groupBy("run_id", "pick_rank").agg(F.max("covered").alias("covered"))
-    names = [r[0] for r in rows.select("run_id").distinct().orderBy("run_id").limit(2).collect()]
-    left, right = (rows.where(F.col("run_id") == n).select("pick_rank", "covered") for n in (names * 2)[:2])
-    return series.compared_series(left, right, "pick_rank", ["covered"])
+    rows = rows.where("run_id is not null and pick_rank is not null").select("run_id", "pick_rank", F.col("covered").cast("double").alias("covered"))
+    mean = rows.groupBy("pick_rank").agg(F.avg("covered").alias("covered"))
+    means = rows.select("run_id", "pick_rank").join(mean, "pick_rank")
+    found = series.compared_series(rows, means, ["run_id", "pick_rank"], ["covered"])
+    return found.select("run_id", "pick_rank", *[F.round(c, 6).alias(c) for c in ("covered_left", "covered_right", "covered_diff")])
 
 
 @query
 def run_comparisons(spark, d):
-    """Every run's covered envs after each pick against those counted anew; run_comparison has two runs only."""
+    """Every run's covered envs after each pick against those counted anew."""
     scratch = Scratch(spark)
     picks = read_table(spark, d, "initial_training_manifest").where("run_id is not null and pick_rank is not null")
     said = picks.groupBy("run_id", "pick_rank").agg(F.max("covered").alias("covered"))
@@ -594,7 +599,7 @@ def gap_states(spark, d):
 def sampled_types(spark, d):
     inc = _structs(spark, d)
     names = incidence.classify(inc, 5).select(F.col("env").alias("name"), (F.col("tier") == "common").alias("priority"))
-    return sampling.systematic(Scratch(spark), names, 5000)
+    return sampling.systematic(Scratch(spark), names, 1000)
 
 
 @query

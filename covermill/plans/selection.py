@@ -11,6 +11,7 @@ from covermill.operators import compress, geometry
 from covermill.operators.cover import FINISH, greedy_cover, manifest, sweep, two_tier_cover, without_similar
 from covermill.operators.incidence import gap, incidence, projected
 from covermill.operators.metrics import coverage
+from covermill.operators.setsim import deduplicated
 from covermill.plans.config import Config
 from covermill.session import Scratch, is_empty
 
@@ -32,7 +33,8 @@ def universe(scratch: Scratch, frames: DataFrame, cfg: Config = Config()) -> Dat
 def _chosen(scratch: Scratch, inc: DataFrame, target: DataFrame, universe: DataFrame, cfg: Config, budget: int, pct: float, finish: int) -> DataFrame:
     if cfg.two_tier:
         return two_tier_cover(scratch, inc, target, universe, cfg.rare_most, cfg.rare_overlap, cfg.common_overlap, cfg.size_band, cfg.common_pct, budget, finish)
-    return greedy_cover(scratch, projected(inc, target), budget, pct, finish).withColumn("pass_name", F.lit("all"))
+    pool = deduplicated(scratch, projected(inc, target), cfg.rare_overlap, cfg.size_band)
+    return greedy_cover(scratch, pool, budget, pct, finish, target.count()).withColumn("pass_name", F.lit("all"))
 
 
 def initial_selection(scratch: Scratch, inc: DataFrame, cfg: Config = Config(), finish: int = FINISH) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,11 @@ class Scratch:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """With ``by``, rows lie in folders by these columns, so that a filter on them reads its folders only."""
         self.count += 1
         name = f"{self.root}/{self.count}"
-        df.write.parquet(name)
+        (df.write.partitionBy(*by) if by else df.write).parquet(name)
         kept = self.spark.read.schema(df.schema).parquet(name)
         kept._scratch_name = name
         return kept
@@ -60,5 +62,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that may be broadcast: of a few numbers each, some tens of MB.
+MOST_BROADCAST = 1 << 20
+
+
+def small_side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The side of a join, to be broadcast if it has at most ``most`` rows; else Spark shuffles it. Rows of a written
+    table are counted from its footers."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
