@@ -2,25 +2,26 @@
 
 In each run a record chooses every token of its set with probability ``1 / (threshold * n)``, by a hash that all
 records share, so two similar records choose a common token with a chance that depends on their overlap only. A
-token that few records have makes a bucket at once; a frequent one is split further by a second and third chosen
-token, its path. Buckets are compared pairwise; runs are repeated until a pair at the threshold is missed with a chance of at
-most ``miss``, and the groups close over what single pairs miss.
+chosen token is a bucket; a bucket of many records is split by further chosen tokens, its path, until it is small or
+all its records are known to be linked, and small buckets are compared pairwise. Runs are repeated until a pair at
+the threshold is missed with a chance of at most ``miss``; the groups close over what single pairs miss.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covermill.llm.groups import connected
-from covermill.llm.records import MOST_LOADS, Classes, Threshold, verified
-from covermill.session import Scratch
+from covermill.llm.records import Classes, Threshold, verified
+from covermill.session import Scratch, is_empty, small_side
 
-#: Records with a token above which its bucket is split by a further token. A chosen token is chosen by all its
-#: records at once, so the load itself, and not the load times the chance, is what a bucket may hold.
+#: Records of a bucket that are compared pairwise; a larger one is split.
 SMALL_BUCKET = 256
+#: Tokens of a path after which a bucket is compared pairwise, whatever its size.
+LONGEST_PATH = 10
 
 
 def runs_needed(t: Threshold, miss: float) -> int:
@@ -29,45 +30,97 @@ def runs_needed(t: Threshold, miss: float) -> int:
     return math.ceil(math.log(1 / miss) * (t.num + t.den) / (2 * t.den))
 
 
-def path_rows(sets: DataFrame, t: Threshold, runs: int, small: int = SMALL_BUCKET) -> DataFrame:
-    """``key, id, n, parity`` of every bucket that a record is in."""
-    chance = f"({t.den}D / ({t.num}D * n))"
-    large = f"> {small}"
-
-    def chosen(path: str, token: str) -> str:
-        return f"(shiftrightunsigned(xxhash64({path}, {token}), 11) / 9007199254740992D < {chance})"
-
-    run = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
-    # most tokens make a bucket at once: plain rows of tokens and runs, which is several times faster than lambdas
-    spread = sets.select("id", "n", "parity", F.explode("tokens").alias("a")).select("id", "n", "parity", "a.load", "a.token").where(f"not (load {large})")
-    at_once = spread.select("id", "n", "parity", "token", run).where(chosen("run", "token"))
-    at_once = at_once.select(F.xxhash64("run", "token").alias("key"), "id", "n", "parity")
-    third = f"transform(filter(tokens, c -> {chosen('run, a.token, b.token', 'c.token')}), c -> xxhash64(run, a.token, b.token, c.token))"
-    second = (
-        f"flatten(transform(filter(tokens, b -> {chosen('run, a.token', 'b.token')}), "
-        f"b -> if(least(a.load, b.load) {large}, {third}, array(xxhash64(run, a.token, b.token)))))"
-    )
-    frequent = sets.select("id", "n", "parity", "tokens", F.expr(f"filter(tokens, a -> a.load {large})").alias("frequent")).where("size(frequent) > 0")
-    split = frequent.select("*", run).select("id", "n", "parity", F.explode(F.expr(f"flatten(transform(filter(frequent, a -> {chosen('run', 'a.token')}), a -> {second}))")).alias("key"))
-    return at_once.unionByName(split)
-
-
-def similar_classes(sets: DataFrame, t: Threshold, miss: float) -> DataFrame:
-    """Pairs ``a, b, shared, n_a, n_b`` of classes found in a common bucket and verified exactly."""
-    # loads are upper bounds from a table of bounded size; tokens below its average are not taken for frequent
-    average = (sets.agg(F.sum("n")).first()[0] or 0) / MOST_LOADS
-    rows = path_rows(sets, t, runs_needed(t, miss), max(SMALL_BUCKET, int(8 * average)))
-    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {t.may_pass('x', 'y')}"))
-    candidates = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return verified(candidates, sets, t)
-
-
-def similar_groups(scratch: Scratch, found: Classes, t: Threshold, miss: float = 1e-6) -> DataFrame:
+def _chosen(path: str, t: Threshold) -> str:
+    return f"shiftrightunsigned(xxhash64({path}, token), 11) / 9007199254740992D < {t.den}D / ({t.num}D * n)"
+
+
+class _Buckets:
+    def __init__(self, scratch: Scratch, sets: DataFrame, t: Threshold, small: int):
+        self.scratch, self.sets, self.t, self.small = scratch, sets, t, small
+        tokens = sets.select(F.explode("tokens").alias("token"))
+        frequent = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("load")).where(F.col("load") > small).select("token"))
+        #: The tokens of more than ``small`` records; every bucket whose path has another token is small.
+        self.frequent = small_side(frequent).withColumn("is_frequent", F.lit(True))
+
+    def first(self, runs: int) -> DataFrame:
+        """``key, id, n, parity, root, is_frequent``, a row for each run and chosen token."""
+        rows = self.sets.select("id", "n", "parity", F.explode("tokens").alias("token")).join(self.frequent, "token", "left")
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).where(_chosen("run", self.t))
+        return rows.select(F.xxhash64("run", "token").alias("key"), "id", "n", "parity", F.col("id").alias("root"), "is_frequent")
+
+    def further(self, large: DataFrame) -> DataFrame:
+        """The rows of ``large`` with their paths one token longer, for each token that they choose."""
+        rows = large.select("key", "id", "root").join(self.sets.select("id", "n", "parity", "tokens"), "id")
+        rows = rows.select("key", "id", "n", "parity", "root", F.explode("tokens").alias("token")).where(_chosen("key", self.t))
+        rows = rows.join(self.frequent, "token", "left")
+        return rows.select(F.xxhash64("key", "token").alias("key"), "id", "n", "parity", "root", "is_frequent")
+
+    def sized(self, rows: DataFrame) -> DataFrame:
+        """Rows of frequent tokens with the size of their bucket, without buckets whose records are all linked."""
+        w = Window.partitionBy("key")
+        rows = rows.where("is_frequent").select("key", "id", "n", "parity", "root", F.count("*").over(w).alias("size"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"))
+        return self.scratch.keep(rows.where("lo < hi").drop("lo", "hi"))
+
+    def linked(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of each large bucket's records with one of them, its pivot, and the rows with the pivot as ``root``
+        where they are linked to it."""
+        pivots = large.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
+        pairs = large.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        links = self.scratch.keep(verified(pairs, self.sets, self.t).select("a", "b"))
+        near = links.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.lit(True).alias("near"))
+        rows = large.join(pivots, "key").join(near, ["pivot", "id"], "left")
+        root = F.when(F.col("near") | (F.col("id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("root"))
+        w = Window.partitionBy("key")
+        rows = rows.withColumn("root", root).withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
+        return links, rows.where("lo < hi").select("key", "id", "n", "parity", "root")
+
+
+def bucket_rows(scratch: Scratch, sets: DataFrame, t: Threshold, runs: int, small: int = SMALL_BUCKET, longest: int = LONGEST_PATH) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """``key, id, n, parity`` of the small buckets, the same of what is still large after the longest paths (or
+    ``None``), and links ``a, b`` met on the way."""
+    buckets = _Buckets(scratch, sets, t, small)
+    cols = ["key", "id", "n", "parity"]
+    rows = buckets.first(runs)
+    done, links = rows.where("is_frequent is null").select(cols), []
+    for depth in range(1, longest + 1):
+        # one frequent token has too many records by itself, so its bucket need not be counted
+        counted = scratch.keep(rows.where("is_frequent").drop("is_frequent")) if depth == 1 else buckets.sized(rows)
+        if depth > 1:
+            done = done.unionByName(counted.where(F.col("size") <= small).select(cols))
+            counted = counted.where(F.col("size") > small)
+        if is_empty(counted):
+            return done, None, links
+        if depth == longest:
+            return done, counted.select(cols), links
+        if depth > 1:
+            more, counted = buckets.linked(counted)
+            links.append(more)
+        rows = scratch.keep(buckets.further(counted))
+        done = done.unionByName(rows.where("is_frequent is null").select(cols))
+
+
+def similar_links(scratch: Scratch, sets: DataFrame, t: Threshold, miss: float, small: int = SMALL_BUCKET) -> DataFrame:
+    """Links ``a, b`` of classes that reach the threshold; every group that the pairs met in a bucket make is whole."""
+    done, large, links = bucket_rows(scratch, sets, t, runs_needed(t, miss), small)
+    members = done.groupBy("key").agg(F.collect_list(F.struct("id", "n", "parity")).alias("m")).where("size(m) > 1")
+    first = members.select("m", F.posexplode("m").alias("i", "x")).where("i + 1 < size(m)")
+    met = first.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).where(t.may_pass("x", "y"))
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    if large is not None:
+        met = large.alias("x").join(large.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {t.may_pass('x', 'y')}"))
+        pairs = pairs.unionByName(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    found = verified(pairs.distinct(), sets, t).select("a", "b")
+    for more in links:
+        found = found.unionByName(more)
+    return found
+
+
+def similar_groups(scratch: Scratch, found: Classes, t: Threshold, miss: float = 1e-6, small: int = SMALL_BUCKET) -> DataFrame:
     """``id, group_id`` of every record with a similar one, directly or through others; copies count as similar.
 
     ``group_id`` is the smallest id. Records alone, and records without values, have no row.
     """
-    links = scratch.keep(similar_classes(found.sets, t, miss).select("a", "b"))
+    links = scratch.keep(similar_links(scratch, found.sets, t, miss, small))
     groups = connected(scratch, links).select(F.col("id").alias("rep"), "group_id")
     alone = found.members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1").select("rep")
     named = found.members.join(groups, "rep", "left").join(alone.withColumn("copied", F.lit(True)), "rep", "left")

@@ -43,7 +43,7 @@ def _env_classes(spark: SparkSession, sf_dir: str, scratch: Scratch, counted: bo
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    found = pairs.similar_pairs(_env_classes(spark, sf_dir, scratch), OVERLAP)
+    found = pairs.similar_pairs(scratch, _env_classes(spark, sf_dir, scratch), OVERLAP)
     return found.select(F.col("a").alias("struct_a"), F.col("b").alias("struct_b"))
 
 
@@ -57,7 +57,7 @@ def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     sets = records.record_sets(read_table(spark, sf_dir, "struct_envs"), "struct_id", "env")
     systems = read_table(spark, sf_dir, "structures").groupBy(F.col("struct_id").alias("id")).agg(F.max("system_name").alias("system"))
-    rows = sets.select("id", F.col("tokens.token").alias("tokens")).join(systems, "id", "left")
+    rows = sets.select("id", "tokens").join(systems, "id", "left")
     chosen = subset.varied_subset(scratch, rows, SUBSET_SIZE)
     return chosen.select(F.col("id").alias("struct_id"), F.col("system").alias("system_name"), F.size("tokens").cast("long").alias("n_envs"))
 
@@ -65,7 +65,9 @@ def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     batches = read_table(spark, sf_dir, "structures").where("batch_no is not null").groupBy(F.col("struct_id").alias("id")).agg(F.min("batch_no").alias("batch"))
-    found = history.replay(scratch, _env_classes(spark, sf_dir, scratch), batches, OVERLAP)
+    sets = records.record_sets(read_table(spark, sf_dir, "struct_envs"), "struct_id", "env").join(batches, "id")
+    index = history.SegmentIndex(spark, f"{scratch.root}/index", OVERLAP)
+    found = history.replay(scratch, records.classes(scratch, sets, ("batch",)), index)
     return found.select(F.col("id").alias("struct_id"))
 
 

@@ -66,8 +66,8 @@ def test_terms(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs(spark, seed):
     recs = families(seed)
-    _, both = found(spark, recs)
-    got = [(r["a"], r["b"]) for r in pairs.similar_pairs(both, T85).collect()]
+    scratch, both = found(spark, recs)
+    got = [(r["a"], r["b"]) for r in pairs.similar_pairs(scratch, both, T85).collect()]
     sets = {k: Counter(set(v)) for k, v in recs.items()}
     want = {(a, b) for a in sets for b in sets if a < b and (o := overlap(sets[a], sets[b])) and 20 * o[0] >= 17 * o[1]}
     assert len(got) == len(set(got)) and set(got) == want and want
@@ -82,19 +82,34 @@ def test_near_duplicates(spark):
     roots = closed(sets, links)
     size = Counter(roots.values())
     assert got == {k: r for k, r in roots.items() if size[r] > 1}
-    # the deepest paths, as for frequent tokens, give the same groups
-    rows = neardup.path_rows(both.sets, T80, 40, small=1)
-    met = {tuple(sorted((x["id"], y["id"]))) for _, g in _by_key(rows).items() for x in g for y in g if x["id"] < y["id"]}
-    reps = {r["id"] for r in both.sets.collect()}
-    near = [p for p in links if p[0] in reps and p[1] in reps]
-    assert sum(p in met for p in near) >= 0.9 * len(near)
+    # buckets of three records at most, so that paths grow and pivots link, give the same groups
+    again = {r["id"]: r["group_id"] for r in neardup.similar_groups(scratch, both, T80, 1e-12, 3).collect()}
+    assert again == got
+
+
+def test_near_duplicates_of_frequent_tokens_only(spark):
+    """All pairs share only tokens that most records have: recall on the links is at least 0.9, groups are never wrong."""
+    rng = random.Random(11)
+    recs = {}
+    for k in range(1, 400):
+        recs[k] = rng.sample([f"e{i}" for i in range(60)], 30) if k % 2 else list(recs[k - 1])
+        if not k % 2:
+            recs[k][rng.randrange(30)] = f"x{k}"
+    scratch, both = found(spark, recs, True)
+    links = {(r["a"], r["b"]) for r in neardup.similar_links(scratch, both.sets, T80, 1e-6, 16).collect()}
+    want = {(k - 1, k) for k in range(2, 400, 2)}
+    assert links <= {p for p in links if 5 * overlap(Counter(recs[p[0]]), Counter(recs[p[1]]))[0] >= 4 * overlap(Counter(recs[p[0]]), Counter(recs[p[1]]))[1]}
+    assert len(links & want) >= 0.9 * len(want)
 
 
-def _by_key(rows):
-    out = {}
-    for r in rows.collect():
-        out.setdefault(r["key"], []).append(r)
-    return out
+def test_a_family_of_near_copies_is_linked_by_pivots(spark):
+    """Every pair of the family is similar; its bucket closes by one link a record instead of all pairs."""
+    recs = {k: [f"e{i}" for i in range(40)] + [f"x{k}"] for k in range(1, 300)}
+    scratch, both = found(spark, recs, True)
+    links = neardup.similar_links(scratch, both.sets, T80, 1e-6, 20)
+    assert links.distinct().count() < 300 * 40
+    groups_of = {r["id"]: r["group_id"] for r in neardup.similar_groups(scratch, both, T80, 1e-6, 20).collect()}
+    assert groups_of == {k: 1 for k in recs}
 
 
 def repeats(sets, batch):
@@ -108,21 +123,23 @@ def repeats(sets, batch):
 
 
 @pytest.mark.parametrize("seed", [4, 5])
-def test_history_by_replay_and_by_batch(spark, tmp_path, seed):
+def test_history_batch_by_batch(spark, tmp_path, seed):
     recs = families(seed)
     rng = random.Random(seed)
     batch = {k: rng.randrange(4) for k in recs}
     sets = {k: Counter(set(v)) for k, v in recs.items()}
     want = repeats(sets, batch)
-    scratch, both = found(spark, recs)
+    scratch = Scratch(spark)
     batches = spark.createDataFrame(list(batch.items()), "id long, batch int")
-    got = [r["id"] for r in history.replay(scratch, both, batches, T85).collect()]
+    both = records.classes(scratch, records.record_sets(table(spark, recs), "struct_id", "env").join(batches, "id"), ("batch",))
+    got = [r["id"] for r in history.replay(scratch, both, history.SegmentIndex(spark, str(tmp_path / "a"), T85)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    index, every = history.SegmentIndex(spark, str(tmp_path), T85), scratch.keep(records.record_sets(table(spark, recs), "struct_id", "env"))
+    # the sets of each batch are made when it comes, from its rows alone, and another index object takes it
     seen = set()
     for b in range(4):
-        own = scratch.keep(every.join(batches.where(f"batch = {b}").select("id"), "id", "left_semi"))
-        bad = scratch.keep(index.check(own))
+        index = history.SegmentIndex(spark, str(tmp_path / "b"), T85)
+        own = scratch.keep(records.record_sets(table(spark, {k: v for k, v in recs.items() if batch[k] == b}), "struct_id", "env"))
+        bad = scratch.keep(index.check(scratch, own))
         seen |= {r["id"] for r in bad.collect()}
         index.accept(own.join(bad, "id", "left_anti"))
     assert seen == want
@@ -130,23 +147,51 @@ def test_history_by_replay_and_by_batch(spark, tmp_path, seed):
 
 def test_an_index_is_read_by_another_session(spark, tmp_path):
     recs = {1: {f"e{i}" for i in range(20)}, 2: {f"e{i}" for i in range(1, 20)}, 3: {f"f{i}" for i in range(20)}, 4: {f"f{i}" for i in range(1, 20)}}
-    sets = Scratch(spark).keep(records.record_sets(table(spark, recs), "struct_id", "env"))
+    scratch = Scratch(spark)
+    sets = scratch.keep(records.record_sets(table(spark, recs), "struct_id", "env"))
     one = lambda k: sets.where(f"id = {k}")
     ids = lambda df: {r["id"] for r in df.collect()}
-    index = lambda: history.SegmentIndex(spark, str(tmp_path / "index"), T85)
-    assert ids(index().check(one(2))) == set()
+    index = lambda n=None: history.SegmentIndex(spark, str(tmp_path / "index"), T85, n)
+    assert ids(index(3).check(scratch, one(2))) == set()
     index().accept(one(1))
-    assert ids(index().check(one(2))) == {2}
+    assert index().buckets == 3 and ids(index().check(scratch, one(2))) == {2}
     index().accept(one(3))
-    assert ids(index().check(sets)) == {2, 4}
-    # a batch that was left half-written does not count, and its next try replaces it
-    (tmp_path / "index" / "batch=1" / "sets" / "_SUCCESS").unlink()
-    assert ids(index().check(sets)) == {2}
-    assert ids(index().check(one(3), 1)) == set()
+    assert ids(index().check(scratch, sets)) == {1, 2, 3, 4}
+    # a batch whose marker was not written does not count, and its next try replaces it
+    (tmp_path / "index" / "buckets=3" / "done" / "batch=1").rmdir()
+    assert ids(index().check(scratch, sets)) == {1, 2}
+    assert ids(index().check(scratch, one(3), 1)) == set()
     index().accept(one(3), 1)
     index().accept(one(3), 1)
-    assert index().batches() == [0, 1] and ids(index().check(sets)) == {2, 4} and ids(index().check(sets, 1)) == {2}
-    assert spark.read.parquet(str(tmp_path / "index" / "batch=1" / "sets")).count() == 1
+    assert index().batches() == [0, 1] and ids(index().check(scratch, sets)) == {1, 2, 3, 4} and ids(index().check(scratch, sets, 1)) == {1, 2}
+    assert spark.read.parquet(str(tmp_path / "index" / "buckets=3" / "sets" / "batch=1")).count() == 1
+    plan = index().check(scratch, one(2))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+
+
+def test_segments_of_long_records_and_hot_keys(spark, tmp_path, monkeypatch):
+    """Records of a thousand values: segments are few, probes are linear, and edits anywhere are found."""
+    rng = random.Random(3)
+    recs = {1: [f"a{i}" for i in range(1500)], 2: [f"b{i}" for i in range(1000)]}
+    gone, more = set(rng.sample(range(1500), 100)), [f"c{i}" for i in range(120)]
+    recs[11] = [v for i, v in enumerate(recs[1]) if i not in gone] + more
+    recs[12] = recs[2][:920] + [f"d{i}" for i in range(300)]
+    scratch = Scratch(spark)
+    sets = scratch.keep(records.record_sets(table(spark, recs), "struct_id", "env"))
+    index = history.SegmentIndex(spark, str(tmp_path / "long"), T85)
+    index.accept(sets.where("id < 10"))
+    new = sets.where("id > 10")
+    assert [r["id"] for r in index.check(scratch, new).collect()] == [11]
+    assert history.segment_rows(sets, T85).count() < 0.3 * 5000 and history.probe_rows(sets, T85).count() < 3 * 5000
+    # a family under one segment: most of it in one batch, so the key is hot
+    family = {k: [f"e{i}" for i in range(30)] + [f"x{k}_{i}" for i in range(3)] for k in range(1, 1300)}
+    family |= {2000 + k: [f"e{i}" for i in range(30)] + [f"y{k}_{i}" for i in range(2 if k % 2 else 9)] for k in range(20)}
+    rows = scratch.keep(records.record_sets(table(spark, family), "struct_id", "env"))
+    large = history.SegmentIndex(spark, str(tmp_path / "hot"), T85)
+    large.accept(rows.where("id < 2000"))
+    got = {r["id"] for r in large.check(scratch, rows.where("id >= 2000")).collect()}
+    sizes = {k: Counter(set(v)) for k, v in family.items()}
+    assert got == {k for k in family if k >= 2000 and any(20 * overlap(sizes[k], sizes[j])[0] >= 17 * overlap(sizes[k], sizes[j])[1] for j in range(1, 1300))}
 
 
 @pytest.mark.parametrize("seed", range(3))
