@@ -1,10 +1,11 @@
 """Problem 3: consolidating pairwise matches into groups.
 
-Rounds of three steps shrink the graph of links, each on tables only: vertices with one link are stripped; chains of
-vertices with two links are compressed by list ranking (pointer jumping over directed links, which finds both ends
-of every chain in a number of steps logarithmic in its length); what is left, where every vertex has three links or
-more, is contracted around each vertex's smallest neighbour. Every removed vertex remembers the vertex that it hung
-on, and labels go back along these at the end. Stars vanish in one round, long chains in a logarithmic number.
+Rounds on tables only shrink the graph of links: vertices with one link are stripped and chains of vertices with two
+links are compressed, both by one list ranking (pointer jumping over directed links, which finds both ends of every
+chain in a number of steps logarithmic in its length; a leaf is a chain that ends at once). What is left, where every
+vertex had three links or more, is contracted around each vertex's smallest neighbour if the round removed less than
+half. Every removed vertex remembers the vertex that it hung on, and labels go back along these at the end. Stars
+vanish in one round, long chains and trails in a logarithmic number of steps.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from covermill.session import Scratch, is_empty
 
+#: A vertex with more than one of so many link ends is a hub; there are fewer than this number of them.
+HUB_SHARE = 4096
+
 
 def _vertices(links: DataFrame) -> DataFrame:
     """``v, degree, lo, hi``: the number of links and the smallest and largest neighbour."""
@@ -23,39 +27,26 @@ def _vertices(links: DataFrame) -> DataFrame:
     return arcs.groupBy("v").agg(F.count("*").alias("degree"), F.min("w").alias("lo"), F.max("w").alias("hi"))
 
 
-def _without(links: DataFrame, gone: DataFrame) -> DataFrame:
-    # a join on the whole link, not on a vertex: a vertex with many links fills no task
-    return links.join(gone.select("x", "y"), ["x", "y"], "left_anti")
-
-
-def _strip(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices with one link, as ``x, y, v, p``; of a link alone its smaller end stays."""
-    ends = _vertices(links).where("degree = 1").select(F.least("v", "lo").alias("x"), F.greatest("v", "lo").alias("y"), "v")
-    ends = ends.groupBy("x", "y").agg(F.max("v").alias("v"))
-    gone = scratch.keep(ends.select("x", "y", "v", F.expr("if(v = x, y, x)").alias("p")))
-    return gone, scratch.keep(_without(links, gone))
-
+def _rank(scratch: Scratch, vertices: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """List ranking of the chains of vertices with one or two links.
 
-def _rank(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """List ranking of the chains of vertices with two links.
-
-    ``arcs``: the links out of such vertices, directed: ``u, w, x, y``. ``ends``: for each arc the chain's end in that
-    direction, the number of steps to it, or for a closed ring null and the ring's smallest vertex: ``u, w, end,
-    steps, low``.
+    ``arcs``: the links out of such vertices, directed: ``u, w, x, y``. ``ends``: for each arc the vertex outside of
+    chains at which it ends, the number of steps to it, or for a chain that ends in a leaf or is a closed ring null,
+    and the smallest vertex on the way: ``u, w, end, steps, low``. And the tables that are not needed later.
     """
-    inner = _vertices(links).where("degree = 2")
-    arcs = inner.select("v", F.explode(F.expr("array(struct(lo as w, hi as other), struct(hi as w, lo as other))")).alias("a"))
-    arcs = scratch.keep(arcs.select(F.col("v").alias("u"), "a.w", "a.other", F.expr("least(v, a.w)").alias("x"), F.expr("greatest(v, a.w)").alias("y")))
-    # the arc goes on where its link is an arc of its other end too
-    link = arcs.groupBy("x", "y").agg(F.count("*").alias("inner_ends"), F.max(F.expr("if(u = x, other, null)")).alias("at_x"), F.max(F.expr("if(u = y, other, null)")).alias("at_y"))
-    ahead = F.expr("case when inner_ends < 2 then null when w = x then at_x else at_y end")
-    state = arcs.join(link, ["x", "y"]).withColumn("ahead", ahead)
+    inner = vertices.where("degree <= 2")
+    arcs = inner.select("v", "degree", F.explode(F.expr("array_distinct(array(struct(lo as w, hi as other), struct(hi as w, lo as other)))")).alias("a"))
+    arcs = scratch.keep(arcs.select(F.col("v").alias("u"), "degree", "a.w", "a.other", F.expr("least(v, a.w)").alias("x"), F.expr("greatest(v, a.w)").alias("y")))
+    # the arc goes on where its link is an arc of its other end too and that has another link
+    at = lambda c: F.max(F.expr(f"if(u = {c}, struct(degree, other), null)")).alias(f"at_{c}")
+    state = arcs.join(arcs.groupBy("x", "y").agg(at("x"), at("y")), ["x", "y"]).withColumn("ahead", F.expr("if(w = x, at_x, at_y)"))
+    on = "ahead is not null and ahead.degree = 2"
     state = scratch.keep(
-        state.select("u", "w", F.expr("if(ahead is null, null, w)").alias("to_u"), F.col("ahead").alias("to_w"), F.expr("if(ahead is null, w, null)").alias("end"), F.lit(1).cast("long").alias("steps"), F.least("u", "w").alias("low"))
+        state.select("u", "w", F.expr(f"if({on}, w, null)").alias("to_u"), F.expr(f"if({on}, ahead.other, null)").alias("to_w"), F.expr(f"not ({on})").alias("done"), F.expr("if(ahead is null, w, null)").alias("end"), F.lit(1).cast("long").alias("steps"), F.least("u", "w").alias("low"))
     )
-    ended = [scratch.keep(state.where("end is not null"))]
-    open_arcs = state.where("end is null")
-    before = None
+    ended = [state.where("done")]
+    open_arcs = state.where("not done")
+    before, used = None, [arcs, state]
     while True:
         # both a fixed number of open arcs and fixed lowest vertices: only rings are left, and they know their lowest
         now = open_arcs.agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
@@ -63,46 +54,63 @@ def _rank(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = now
         every = reduce(DataFrame.unionByName, ended).unionByName(open_arcs)
-        target = every.select(F.col("u").alias("to_u"), F.col("w").alias("to_w"), F.col("to_u").alias("next_u"), F.col("to_w").alias("next_w"), F.col("end").alias("next_end"), F.col("steps").alias("more"), F.col("low").alias("next_low"))
+        target = every.select(F.col("u").alias("to_u"), F.col("w").alias("to_w"), F.col("to_u").alias("next_u"), F.col("to_w").alias("next_w"), F.col("done").alias("next_done"), F.col("end").alias("next_end"), F.col("steps").alias("more"), F.col("low").alias("next_low"))
         jumped = open_arcs.select("u", "w", "to_u", "to_w", "steps", "low").join(target, ["to_u", "to_w"])
-        jumped = jumped.select("u", "w", F.col("next_u").alias("to_u"), F.col("next_w").alias("to_w"), F.col("next_end").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "next_low").alias("low"))
+        jumped = jumped.select("u", "w", F.col("next_u").alias("to_u"), F.col("next_w").alias("to_w"), F.col("next_done").alias("done"), F.col("next_end").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "next_low").alias("low"))
         jumped = scratch.keep(jumped)
-        ended.append(jumped.where("end is not null"))
-        open_arcs = jumped.where("end is null")
-    rings = open_arcs.withColumn("end", F.lit(None).cast("long"))
+        used.append(jumped)
+        ended.append(jumped.where("done"))
+        open_arcs = jumped.where("not done")
     cols = ["u", "w", "end", "steps", "low"]
-    return arcs, reduce(DataFrame.unionByName, [d.select(cols) for d in [*ended, rings]])
+    return arcs, reduce(DataFrame.unionByName, [d.select(cols) for d in [*ended, open_arcs]]), used
+
 
+def _without_chains(scratch: Scratch, links: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``v, p`` of all vertices with one or two links, and the links that are left. A chain between two other vertices
+    becomes a link of these, its vertices hang on the nearer one; a chain with one such end hangs on it; one without
+    (a trail or ring by itself) on its smallest vertex."""
+    arcs, ends, used = _rank(scratch, vertices)
+    near = F.min(F.when(F.col("end").isNotNull(), F.struct("steps", "end"))).alias("near")
+    both = ends.groupBy("u").agg(F.min("end").alias("x"), F.max("end").alias("y"), F.count("end").alias("ends"), near, F.min("low").alias("low"))
+    both = scratch.keep(both.select("u", "x", "y", "ends", F.expr("if(ends = 0, low, near.end)").alias("p")))
+    # a join on the whole link, not on a vertex: a vertex with many links fills no task
+    rest = links.join(arcs.select("x", "y").distinct(), ["x", "y"], "left_anti").select("x", "y")
+    bridges = both.where("ends = 2 and x < y").select("x", "y")
+    rest = scratch.keep(rest.unionByName(bridges).distinct())
+    scratch.drop(*used)
+    return both.where("u <> p").select(F.col("u").alias("v"), "p"), rest
 
-def _compress(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chains become one link between their ends, their vertices hang on an end (of a ring, on its lowest vertex)."""
-    arcs, ends = _rank(scratch, links)
-    # the nearer end first, so that labels go back along the chain's ranks
-    both = ends.groupBy("u").agg(F.min("end").alias("x"), F.max("end").alias("y"), F.min(F.struct("steps", "end")).alias("near"), F.min("low").alias("low"))
-    both = scratch.keep(both.select("u", "x", "y", F.expr("if(x is null, low, near.end)").alias("p")))
-    hung = both.where("u <> p").select(F.col("u").alias("v"), "p")
-    rest = _without(links, arcs.select("x", "y").distinct()).select("x", "y")
-    bridges = both.where("x < y").select("x", "y")
-    return hung, scratch.keep(rest.unionByName(bridges).distinct())
+
+def _moved(links: DataFrame, end: str, roots: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Links with one end replaced by its root; those of hubs, which are few, by a broadcast."""
+    named = lambda df: df.select(F.col("v").alias(end), F.col("p").alias("to"))
+    rows = links.join(F.broadcast(named(hubs)), end, "left")
+    known = rows.where("to is not null")
+    others = rows.where("to is null").drop("to").join(named(roots), end, "left")
+    return known.unionByName(others).withColumn(end, F.coalesce("to", end)).drop("to")
 
 
 def _contract(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every vertex joins its smallest neighbour if that is smaller; the trees so made become one vertex each."""
-    trees = _vertices(links).where("lo < v").select("v", F.col("lo").alias("p"))
-    roots = _to_roots(scratch, trees)
-    far = roots.select(F.col("v").alias("y"), F.col("p").alias("to_y"))
-    near = roots.select(F.col("v").alias("x"), F.col("p").alias("to_x"))
-    moved = links.join(near, "x", "left").join(far, "y", "left").select(F.coalesce("to_x", "x").alias("a"), F.coalesce("to_y", "y").alias("b"))
-    rest = moved.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    return roots, scratch.keep(rest)
+    vertices = scratch.keep(_vertices(links))
+    most = (vertices.agg(F.sum("degree")).first()[0] or 0) // HUB_SHARE
+    roots = _to_roots(scratch, vertices.where("lo < v").select("v", F.col("lo").alias("p")))
+    hubs = vertices.where(F.col("degree") > most).select("v").join(roots, "v", "left").select("v", F.coalesce("p", "v").alias("p"))
+    moved = _moved(_moved(links, "x", roots, hubs), "y", roots, hubs)
+    rest = scratch.keep(moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    scratch.drop(vertices)
+    return roots, rest
 
 
 def _to_roots(scratch: Scratch, hung: DataFrame) -> DataFrame:
     """Pointer jumping: ``v, p`` with ``p`` the root of ``v``'s tree."""
+    last = None
     while True:
         up = hung.select(F.col("v").alias("p"), F.col("p").alias("root"))
         jumped = scratch.keep(hung.join(up, "p", "left").select("v", F.coalesce("root", "p").alias("p"), F.col("root").isNotNull().alias("moved")))
-        hung = jumped.select("v", "p")
+        if last is not None:
+            scratch.drop(last)
+        hung, last = jumped.select("v", "p"), jumped
         if is_empty(jumped.where("moved")):
             return hung
 
@@ -117,16 +125,15 @@ def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
     ids = clean.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rest = scratch.keep(clean.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
     hung: list[DataFrame] = []
-    while not is_empty(rest):
-        before = rest.count()
-        gone, rest = _strip(scratch, rest)
-        hung.append(gone.select("v", "p"))
-        if is_empty(rest):
-            break
-        chained, rest = _compress(scratch, rest)
-        hung.append(chained)
-        if not is_empty(rest) and rest.count() > before // 2:
-            merged, rest = _contract(scratch, rest)
+    while left := rest.count():
+        vertices = scratch.keep(_vertices(rest))
+        gone, fewer = _without_chains(scratch, rest, vertices)
+        scratch.drop(vertices, rest)
+        hung.append(gone)
+        rest = fewer
+        if rest.count() > left // 2:
+            merged, rest = _contract(scratch, fewer)
+            scratch.drop(fewer)
             hung.append(merged)
     if not hung:
         return ids.select("id", F.col("id").alias("group_id"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.groups import connected
@@ -20,8 +20,12 @@ from covermill.session import Scratch, is_empty, small_side
 
 #: Records of a bucket that are compared pairwise; a larger one is split.
 SMALL_BUCKET = 256
+#: Tokens of a path from which on the records of a large bucket are compared with a pivot before it is split.
+PIVOT_FROM = 4
+#: Pivots with their sets that may be broadcast.
+MOST_PIVOTS = 10_000
 #: Tokens of a path after which a bucket is compared pairwise, whatever its size.
-LONGEST_PATH = 10
+LONGEST_PATH = 12
 
 
 def runs_needed(t: Threshold, miss: float) -> int:
@@ -43,36 +47,49 @@ class _Buckets:
         self.frequent = small_side(frequent).withColumn("is_frequent", F.lit(True))
 
     def first(self, runs: int) -> DataFrame:
-        """``key, id, n, parity, root, is_frequent``, a row for each run and chosen token."""
-        rows = self.sets.select("id", "n", "parity", F.explode("tokens").alias("token")).join(self.frequent, "token", "left")
+        """``key, id, n, parity`` for each run and chosen token that is not frequent."""
+        rows = self.sets.select("id", "n", "parity", F.explode("tokens").alias("token")).join(self.frequent, "token", "left").where("is_frequent is null")
         rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).where(_chosen("run", self.t))
-        return rows.select(F.xxhash64("run", "token").alias("key"), "id", "n", "parity", F.col("id").alias("root"), "is_frequent")
+        return rows.select(F.xxhash64("run", "token").alias("key"), "id", "n", "parity")
+
+    def second(self, runs: int) -> DataFrame:
+        """``key, id, n, parity, root, is_frequent`` for each run, chosen frequent token and further chosen token; all
+        of it where the set is, without a shuffle."""
+        rows = self.sets.select("id", "n", "parity", "tokens", F.explode("tokens").alias("token")).join(self.frequent.select("token"), "token")
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).where(_chosen("run", self.t))
+        return self._longer(rows.withColumn("key", F.xxhash64("run", "token")).withColumn("root", F.col("id")).drop("token"))
 
     def further(self, large: DataFrame) -> DataFrame:
         """The rows of ``large`` with their paths one token longer, for each token that they choose."""
         rows = large.select("key", "id", "root").join(self.sets.select("id", "n", "parity", "tokens"), "id")
+        return self._longer(rows)
+
+    def _longer(self, rows: DataFrame) -> DataFrame:
         rows = rows.select("key", "id", "n", "parity", "root", F.explode("tokens").alias("token")).where(_chosen("key", self.t))
         rows = rows.join(self.frequent, "token", "left")
         return rows.select(F.xxhash64("key", "token").alias("key"), "id", "n", "parity", "root", "is_frequent")
 
-    def sized(self, rows: DataFrame) -> DataFrame:
-        """Rows of frequent tokens with the size of their bucket, without buckets whose records are all linked."""
-        w = Window.partitionBy("key")
-        rows = rows.where("is_frequent").select("key", "id", "n", "parity", "root", F.count("*").over(w).alias("size"), F.min("root").over(w).alias("lo"), F.max("root").over(w).alias("hi"))
-        return self.scratch.keep(rows.where("lo < hi").drop("lo", "hi"))
+    def sized(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of small buckets, and rows of large ones without those whose records are all linked. Sizes are counted
+        with partial sums, and only the keys of large buckets meet the rows again."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("size") > self.small)
+        sizes = self.scratch.keep(sizes)
+        few = rows.join(small_side(sizes), "key", "left_anti")
+        return few, rows.join(small_side(sizes.where("lo < hi").select("key")), "key")
 
     def linked(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of each large bucket's records with one of them, its pivot, and the rows with the pivot as ``root``
-        where they are linked to it."""
+        where they are linked to it, of buckets that have others."""
         pivots = large.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
-        pairs = large.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        links = self.scratch.keep(verified(pairs, self.sets, self.t).select("a", "b"))
-        near = links.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.lit(True).alias("near"))
-        rows = large.join(pivots, "key").join(near, ["pivot", "id"], "left")
-        root = F.when(F.col("near") | (F.col("id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("root"))
-        w = Window.partitionBy("key")
-        rows = rows.withColumn("root", root).withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
-        return links, rows.where("lo < hi").select("key", "id", "n", "parity", "root")
+        named = lambda x: self.sets.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+        pivots = small_side(self.scratch.keep(pivots.join(named("pivot"), "pivot")), MOST_PIVOTS)
+        shared = "size(array_intersect(tokens_pivot, tokens_id))"
+        near = F.expr(self.t.reached(shared, "size(tokens_pivot)", "size(tokens_id)")).alias("near")
+        rows = large.join(pivots, "key").join(named("id"), "id").select("key", "id", "n", "parity", "root", "pivot", near)
+        rows = self.scratch.keep(rows.withColumn("root", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("root"))))
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        links = rows.where("near and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        return links, rows.join(small_side(mixed), "key").select("key", "id", "n", "parity", "root")
 
 
 def bucket_rows(scratch: Scratch, sets: DataFrame, t: Threshold, runs: int, small: int = SMALL_BUCKET, longest: int = LONGEST_PATH) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
@@ -80,23 +97,19 @@ def bucket_rows(scratch: Scratch, sets: DataFrame, t: Threshold, runs: int, smal
     ``None``), and links ``a, b`` met on the way."""
     buckets = _Buckets(scratch, sets, t, small)
     cols = ["key", "id", "n", "parity"]
-    rows = buckets.first(runs)
-    done, links = rows.where("is_frequent is null").select(cols), []
-    for depth in range(1, longest + 1):
-        # one frequent token has too many records by itself, so its bucket need not be counted
-        counted = scratch.keep(rows.where("is_frequent").drop("is_frequent")) if depth == 1 else buckets.sized(rows)
-        if depth > 1:
-            done = done.unionByName(counted.where(F.col("size") <= small).select(cols))
-            counted = counted.where(F.col("size") > small)
-        if is_empty(counted):
+    rows, done, links = buckets.second(runs), buckets.first(runs), []
+    for depth in range(2, longest + 1):
+        done = done.unionByName(rows.where("is_frequent is null").select(cols))
+        few, large = buckets.sized(scratch.keep(rows.where("is_frequent").drop("is_frequent")))
+        done = done.unionByName(few.select(cols))
+        if is_empty(large):
             return done, None, links
-        if depth == longest:
-            return done, counted.select(cols), links
-        if depth > 1:
-            more, counted = buckets.linked(counted)
+        if depth >= PIVOT_FROM:
+            more, large = buckets.linked(large)
             links.append(more)
-        rows = scratch.keep(buckets.further(counted))
-        done = done.unionByName(rows.where("is_frequent is null").select(cols))
+        if depth < longest:
+            rows = scratch.keep(buckets.further(large))
+    return done, large.select(cols), links
 
 
 def similar_links(scratch: Scratch, sets: DataFrame, t: Threshold, miss: float, small: int = SMALL_BUCKET) -> DataFrame:

@@ -47,6 +47,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("a").alias("struct_a"), F.col("b").alias("struct_b"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per structure with its class of equal env sets and the class's links to other classes."""
+    scratch = Scratch(spark)
+    found = _env_classes(spark, sf_dir, scratch)
+    links = pairs.class_pairs(scratch, found.sets, OVERLAP).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    rows = found.members.join(links, "rep", "left").na.fill(0, ["n_links"])
+    return rows.select(F.col("id").alias("struct_id"), F.col("rep").alias("class_id"), "n_links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "match_pairs")
     found = groups.match_groups(Scratch(spark), rows, "left_id", "right_id", "jaccard", LINK_SCORE)
@@ -81,8 +90,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encoded(Scratch(spark), read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_joined_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids again, with every text of more than a thousand characters cut and its parts joined in a tree."""
+    return encode.encoded(Scratch(spark), read_table(spark, sf_dir, "documents"), "doc_id", "text", part_chars=1000)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(Scratch(spark), read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +120,12 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.avg("margin").alias("mean_margin"))
 
 
+def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.held_out_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "level_labels"))
+
+
 def queries() -> dict:
-    every = (p1_found, p1_frequencies, p2_found, p3_found, p4_subset, p5_found, p6_found, p7_ids, p8_found, p8_templates, p9_found, p9_profile)
+    every = (p1_found, p1_frequencies, p2_found, p2_classes, p3_found, p4_subset, p5_found, p6_found, p7_ids, p7_joined_ids, p8_found, p8_templates, p9_found, p9_profile, p9_held_out)
     return {f.__name__: f for f in every}
 
 
@@ -120,14 +138,14 @@ _SIMILAR = """o as (select a.struct_id a, b.struct_id b, count(*) k from s a joi
 p as (select o.a, o.b from o join z x on x.struct_id = o.a join z y on y.struct_id = o.b where 20 * k >= 17 * (x.n + y.n - k))"""
 
 
-def _repeats_sql() -> str:
-    parts = [f"with {_SETS}, {_SIMILAR}, b as (select struct_id, min(batch_no) batch from structures where batch_no is not null group by 1),",
-             "l as (select a x, b y from p union all select b, a from p), k as (select l.y, l.x, bx.batch bx, b.batch by_ from l join b bx on bx.struct_id = l.x join b on b.struct_id = l.y where bx.batch < b.batch),",
-             "r0 as (select cast(null as bigint) y where false)"]
-    for i in range(1, 9):
-        parts.append(f", r{i} as (select distinct y from k where by_ = {i} and x not in (select y from h{i - 1}))" if i > 1 else ", r1 as (select distinct y from k where by_ = 1)")
-        parts.append(f", h{i} as (select y from r{i}" + (f" union all select y from h{i - 1})" if i > 1 else ")"))
-    return " ".join(parts) + " select y as struct_id from h8"
+# batch after batch, whatever their number; one row without structure goes along in each
+_REPEATS = f"""with recursive {_SETS}, {_SIMILAR}, b as (select struct_id, min(batch_no) batch from structures where batch_no is not null group by 1),
+ l as (select a x, b y from p union all select b, a from p), k as (select l.y, l.x, b.batch from l join b bx on bx.struct_id = l.x join b on b.struct_id = l.y where bx.batch < b.batch),
+ n as (select batch, row_number() over (order by batch) turn from (select distinct batch from b)),
+ h(turn, y) as (select 0, null::bigint union all
+  select * from (select g.turn + 1, g.y from h g where g.turn < (select max(turn) from n)
+   union all select distinct n.turn, k.y from k join n using (batch) where n.turn = (select max(turn) from h) + 1 and k.x not in (select y from h where y is not null)))
+select distinct y as struct_id from h where y is not null"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -135,12 +153,15 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"with {_ENVS}, {_COUNTS} select env, freq_mark from m where freq_mark is not null",
         "p1_frequencies": f"with {_ENVS}, {_COUNTS} select env, n_centers, n_structures, freq_mark from m",
         "p2_found": f"with {_SETS}, {_SIMILAR} select a as struct_a, b as struct_b from p",
+        "p2_classes": f"""with {_SETS}, v as (select struct_id, list(env order by env) l from s group by 1), c as (select struct_id, min(struct_id) over (partition by l) class_id from v), {_SIMILAR},
+            k as (select a id from p where a in (select class_id from c) and b in (select class_id from c) union all select b from p where a in (select class_id from c) and b in (select class_id from c)), g as (select id, count(*) n from k group by 1)
+            select struct_id, class_id, coalesce(n, 0) as n_links from c left join g on g.id = c.class_id""",
         "p3_found": """with recursive i as (select left_id id from match_pairs where left_id is not null union select right_id from match_pairs where right_id is not null),
             l as (select left_id a, right_id b from match_pairs where left_id is not null and right_id is not null and not isnan(jaccard) and jaccard >= 0.85),
             b as (select a, b from l union select b, a from l),
             c(id, root) as (select id, id from i union select b.b, c.root from c join b on b.a = c.id)
             select id as struct_id, min(root) as group_id from c group by 1""",
-        "p5_found": _repeats_sql(),
+        "p5_found": _REPEATS,
         "p6_found": f"""with recursive {_ENVS}, s as (select struct_id, env, count(*) c from e group by 1, 2), z as (select struct_id, sum(c) n from s group by 1),
             o as (select a.struct_id a, b.struct_id b, sum(least(a.c, b.c)) k from s a join s b on a.env = b.env and a.struct_id < b.struct_id group by 1, 2),
             p as (select o.a, o.b from o join z x on x.struct_id = o.a join z y on y.struct_id = o.b where 5 * k >= 4 * (x.n + y.n - k)),

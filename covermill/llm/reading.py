@@ -1,8 +1,10 @@
 """Problem 9: reading level of each document, by smoothed unigram models per level.
 
-Terms are the words of the running English prose and the constructions between them: pairs of
-neighbours of which one at least is a function word, the other standing for itself only if it is one too. A level's model is learned from labelled documents; a document gets the level with the
-highest posterior, the mean over its terms of the log probability, with the levels' shares as prior.
+Terms are the words of the running English prose and, as words and constructions count together, the constructions
+between them: pairs of neighbours of which one at least is a function word, the other standing for itself only if it
+is one too. A level's model is a smoothed unigram model over these terms, learned from labelled documents; a document
+gets the level with the highest posterior, the sum over its terms of the log probability, with the levels' shares as
+prior.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ LEAST_WORDS = 60
 MOST_LABELLED = 20_000
 #: A term must be in so many labelled documents; names of single pages teach nothing.
 LEAST_DOCS = 3
-#: Terms of the models at most, the most frequent ones, so that they may travel to all tasks.
-MOST_TERMS = 200_000
 #: Added to each count, in shares of the level's terms.
 SMOOTHING = 0.5
 LEVELS = (1, 2, 3, 4)
@@ -61,15 +61,18 @@ def labelled_levels(labels: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").agg(F.expr("cast(percentile_disc(0.5) within group (order by reading_level) as int)").alias("level"))
 
 
-def level_models(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms, their log probabilities by level, and the levels' log shares; bounded by ``MOST_LABELLED`` documents and
-    ``MOST_TERMS`` terms."""
-    sample = labelled_levels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+def level_models(docs: DataFrame, levels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Terms, their log probabilities by level, and the levels' log shares, of ``levels(doc_id, level)``.
+
+    What is learned from is at most ``most`` documents, so the terms are bounded by what these say; no term that is in
+    ``LEAST_DOCS`` of them is left out.
+    """
+    sample = levels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
     counts = texts.mapInPandas(_counted, "doc_id long, level int, term string, times long")
     per_level = [F.sum(F.when(F.col("level") == k, F.col("times")).otherwise(0)).alias(f"level_{k}") for k in LEVELS]
     kept = counts.groupBy("term").agg(F.count("*").alias("docs"), *per_level).where(F.col("docs") >= LEAST_DOCS)
-    rows = kept.orderBy(F.desc("docs"), "term").limit(MOST_TERMS).toPandas()
+    rows = kept.toPandas().sort_values("term", ignore_index=True)
     table = rows[[f"level_{k}" for k in LEVELS]].to_numpy(dtype=float) + SMOOTHING
     logs = np.log(table / np.maximum(table.sum(axis=0), 1))
     shares = {r["level"]: r["n"] for r in sample.groupBy("level").agg(F.count("*").alias("n")).collect()}
@@ -129,12 +132,32 @@ def _scorer(models: _Models, least: int):
     return score
 
 
+def scored(docs: DataFrame, levels: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, reading_level, n_words, margin`` by models of ``levels(doc_id, level)``."""
+    models = _Models(*level_models(docs, levels))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return rows.mapInPandas(_scorer(models, least), "doc_id long, reading_level int, n_words long, margin double")
+
+
+def held_out_levels(docs: DataFrame, labels: DataFrame, parts: int = 5, least: int = LEAST_WORDS) -> DataFrame:
+    """``level, reading_level, n_docs``: labelled documents by the raters' level and that of models which were learned
+    from the other parts of the labelled documents; every labelled document is held out once."""
+    levels = labelled_levels(labels).withColumn("part", F.expr(f"pmod(xxhash64(doc_id, 'part'), {parts})"))
+    found = None
+    for part in range(parts):
+        own = levels.where(F.col("part") == part).select("doc_id", "level")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        models = _Models(*level_models(docs, levels.where(F.col("part") != part).select("doc_id", "level")))
+        rows = texts.join(own.select("doc_id"), "doc_id", "left_semi").where("text is not null")
+        named = rows.mapInPandas(_scorer(models, least), "doc_id long, reading_level int, n_words long, margin double").join(own, "doc_id")
+        found = named if found is None else found.unionByName(named)
+    return found.groupBy("level", "reading_level").agg(F.count("*").alias("n_docs"))
+
+
 def reading_levels(docs: DataFrame, labels: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, reading_level, n_words, margin`` of each document with at least ``least`` words of English prose.
 
     Null, empty and foreign texts have no row, nor have texts without any known term. Without labels there is
     nothing to learn from and no document gets a level.
     """
-    models = _Models(*level_models(docs, labels))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return rows.mapInPandas(_scorer(models, least), "doc_id long, reading_level int, n_words long, margin double")
+    return scored(docs, labelled_levels(labels), least)

@@ -44,7 +44,7 @@ def test_visible_words():
 
 def passages(spark, texts, items=((1, ITEM), (2, ITEM + "!"), (3, None), (4, " "), (5, "too short to leak"))):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, item_id int")
-    return leaks.leaks(spark, docs, spark.createDataFrame(list(items), "item_id long, text string"))
+    return leaks.leaks(Scratch(spark), docs, spark.createDataFrame(list(items), "item_id long, text string"))
 
 
 def test_leaks(spark):
@@ -60,8 +60,11 @@ def test_leaks(spark):
     moved = "In the year 999 Tismi opened 5 valleys near Venne while Koast kept 7 orchards"
     rows = passages(spark, [moved, moved.replace("Koast", "Tismi")], [(7, other)]).collect()
     assert {(r["doc_id"], r["kind"]) for r in rows} == {(0, "template"), (1, "template")}
-    blocks = leaks.leaks(spark, spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (2, other)], "item_id long, text string"), words_a_pass=5)
-    assert [tuple(r) for r in blocks.collect()] == [(1, 1, "passage")]
+    # a document that is there twice, and one window in all items and documents
+    many = [(i, f"the very long preface of every item then goes on with word{'abcdefgh'[i]} number and other things of this kind alone") for i in range(8)]
+    docs = spark.createDataFrame([(1, many[3][1]), (1, many[3][1]), (2, "the very long preface of every item then stops")], "doc_id long, text string")
+    got = leaks.leaks(Scratch(spark), docs, spark.createDataFrame(many, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["kind"] == "passage"} == {(1, i) for i in range(8)} and len(got) == 8
     assert passages(spark, [ITEM], [(1, None)]).count() == 0
 
 
@@ -91,3 +94,24 @@ def test_reading_levels(spark, empty):
     labels = [(i, r, 1 if i % 2 else 4) for i in range(20) for r in ("a", "b")] + [(1, "c", 9), (2, "c", None), (None, "a", 2)]
     rows = reading.reading_levels(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([] if empty else labels, "doc_id long, rater string, reading_level int")).collect()
     assert {r["doc_id"]: r["reading_level"] for r in rows} == ({} if empty else {i: 1 if i % 2 else 4 for i in range(40)})
+
+
+def test_every_labelled_document_is_held_out_once(spark):
+    easy, hard = "we saw the red dog and it was big . ", "such heterogeneous asymptotics of the paramagnetic phenomenology presupposes hermeneutics . "
+    docs = spark.createDataFrame([(i, (easy if i % 2 else hard) * 12) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a", 1 if i % 2 else 4) for i in range(40)], "doc_id long, rater string, reading_level int")
+    got = {(r["level"], r["reading_level"]): r["n_docs"] for r in reading.held_out_levels(docs, labels).collect()}
+    assert got == {(1, 1): 20, (4, 4): 20}
+
+
+def test_slots():
+    assert leaks._slots(["a", "5", "b"], ["a", "5", "b"]) == "own"
+    assert leaks._slots(["a", "5", "b", "5"], ["a", "6", "b", "6"]) == "other"
+    assert leaks._slots(["a", "5", "b", "5"], ["a", "6", "b", "7"]) is None
+
+
+def test_a_full_bit_map_loses_no_passage(spark, monkeypatch):
+    """With maps so small that every word counts as plain and every window goes on, passages are still found."""
+    monkeypatch.setattr(leaks, "MAP_BITS", 6)
+    rows = passages(spark, [ITEM, "nothing of the kind is in this text at all, whatever one may look for"]).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in rows} == {(0, 1, "passage"), (0, 2, "passage")}
