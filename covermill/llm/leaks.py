@@ -44,18 +44,18 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """A map of ``2**MAP_BITS`` bits with those of ``hashes(h)`` set; a row for each 64 bits goes to the driver."""
-    bit = F.expr(f"h & {(1 << MAP_BITS) - 1}L")
+def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of ``2**bits`` bits with those of ``hashes(h)`` set; a row for each 64 bits goes to the driver."""
+    bit = F.expr(f"h & {(1 << bits) - 1}L")
     rows = hashes.where("h is not null").select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         out[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
 def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64((1 << MAP_BITS) - 1)
+    at = hashes & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -70,7 +70,7 @@ class _Words:
 
     def _new(self, word: str) -> int:
         at, h = len(self.raw), _hash(word)
-        low = h & ((1 << MAP_BITS) - 1)
+        low = h & (64 * len(self.plain) - 1)
         if any(ch.isdigit() for ch in word):
             code = _NUMBER
         elif word in UNITS:
@@ -217,7 +217,7 @@ def _judge(plain: np.ndarray):
     return judge
 
 
-def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     """``doc_id, item_id, kind``: documents that hold a passage of an item (``passage``), or an item's template with
     other values in its slots (``template``); a pair that is both is a passage.
 
@@ -228,10 +228,10 @@ def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     own = scratch.keep(texts.mapInPandas(_item_words, "item_id long, words array<string>, plain array<long>").where("size(words) > 0"))
-    plain = bit_map(own.select(F.explode("plain").alias("h")))
+    plain = bit_map(own.select(F.explode("plain").alias("h")), map_bits)
     one = scratch.keep(own.groupBy("words").agg(F.min("item_id").alias("item")).select("item", "words"))
     windows = scratch.keep(one.mapInPandas(_item_windows(plain), "item long, key long, p int"))
-    keys = bit_map(windows.select(F.col("key").alias("h")))
+    keys = bit_map(windows.select(F.col("key").alias("h")), map_bits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     held = rows.mapInPandas(_document_windows(plain, keys), "doc_id long, words array<string>, keys array<long>, places array<int>")
     held = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()))

@@ -110,8 +110,8 @@ def test_slots():
     assert leaks._slots(["a", "5", "b", "5"], ["a", "6", "b", "7"]) is None
 
 
-def test_a_full_bit_map_loses_no_passage(spark, monkeypatch):
+def test_a_full_bit_map_loses_no_passage(spark):
     """With maps so small that every word counts as plain and every window goes on, passages are still found."""
-    monkeypatch.setattr(leaks, "MAP_BITS", 6)
-    rows = passages(spark, [ITEM, "nothing of the kind is in this text at all, whatever one may look for"]).collect()
+    docs = spark.createDataFrame([(0, ITEM), (1, "nothing of the kind is in this text at all, whatever one may look for")], "doc_id long, text string")
+    rows = leaks.leaks(Scratch(spark), docs, spark.createDataFrame([(1, ITEM), (2, ITEM + "!")], "item_id long, text string"), map_bits=6).collect()
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in rows} == {(0, 1, "passage"), (0, 2, "passage")}
