@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import difflib
-import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covermill.functions.scalar import piece_tokens
 from covermill.operators.components import components
+from covermill.operators.setsim import overlap_links, token_sets
 from covermill.session import Scratch
 
 
@@ -62,38 +62,42 @@ def topology_ratio(a: str, b: str) -> float:
     return 0.6 * difflib.SequenceMatcher(None, a, b).ratio() + 0.4 * overlap
 
 
-def _group_labels(bond: float, angle: float, share: float):
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("raw", ignore_index=True)
-        has = np.array([f is not None and len(f) > 2 for f in pdf["feature"]])
-        sizes = {len(f) for f, h in zip(pdf["feature"], has) if h}
-        labels = np.ones(len(pdf), dtype=np.int64)
-        if len(pdf) > 1:
-            if len(sizes) == 1 and has.mean() >= share:
-                x = np.stack([np.asarray(f, dtype=np.float32).astype(np.float64) for f in pdf["feature"][has]])
-                scale = np.full(x.shape[1], max(bond, 1e-10))
-                scale[-2:] = max(angle, 1e-10)
-                labels[has] = ward_labels(x / scale, math.sqrt(x.shape[1]))
-                labels[~has] = labels[has].max() + 1 + np.arange((~has).sum())
-            else:
-                # names that differ never reach a similarity of 1, so each is its own type
-                labels = np.arange(1, len(pdf) + 1)
-        named = [f"{m}:sim{k:05d}" for m, k in zip(pdf["meta"], labels)]
-        return pd.DataFrame({"raw": pdf["raw"], "meta": pdf["meta"], "type": named})
-
-    return label
-
-
-def fit_types(dim: DataFrame, bond: float = 0.05, angle: float = 5.0, share: float = 0.5) -> DataFrame:
+def _ward(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("raw", ignore_index=True)
+    x = np.stack([np.asarray(v) for v in pdf["x"]])
+    labels = ward_labels(x, 1.0)
+    firsts = pdf["raw"].groupby(labels).transform("first")
+    return pd.DataFrame({"raw": pdf["raw"], "meta": pdf["meta"], "first": firsts})
+
+
+def fit_types(scratch: Scratch, dim: DataFrame, bond: float = 0.05, angle: float = 5.0, share: float = 0.5, topology: float = 1.0) -> DataFrame:
     """``raw, meta, type`` for ``dim(raw, meta, feature)``: Ward clusters of the features in each group of one meta.
 
     A raw token without meta is a group of its own. Groups where less than ``share`` have a feature, or features
-    differ in length, are not clustered. A group is one chemistry of one cutoff, whose distinct tokens are bounded by
-    the resolution of the tokens, not by the number of records.
+    differ in length, are not clustered by them, nor are tokens without a feature; below a ``topology`` of 1 these are
+    clustered by the similarity of their names. Clusters are merged up to a height of one tolerance in every coordinate. Points farther apart than that height are never merged, directly or later: a cluster
+    of ``a`` points made by lower merges has a mean square spread below half of the height's square times ``1 - 1/a``,
+    so two clusters without any near pair are merged at a larger height. So each group is first taken apart into the
+    components of near points, by joins, and a task clusters one component and not a whole group.
     """
     rows = dim.groupBy("raw").agg(F.min("meta").alias("meta"), F.min("feature").alias("feature"))
-    rows = rows.select("raw", F.coalesce("meta", "raw").alias("meta"), F.col("feature").cast("array<double>").alias("feature"))
-    return rows.groupBy("meta").applyInPandas(_group_labels(bond, angle, share), "raw string, meta string, type string")
+    feature = F.col("feature").cast("array<float>").cast("array<double>")
+    rows = scratch.keep(rows.select("raw", F.coalesce("meta", "raw").alias("meta"), F.when(F.size("feature") > 2, feature).alias("feature")))
+    groups = rows.groupBy("meta").agg(F.count("*").alias("n"), F.count("feature").alias("with"), F.min(F.when(F.col("feature").isNotNull(), F.size("feature"))).alias("lo"), F.max(F.when(F.col("feature").isNotNull(), F.size("feature"))).alias("hi"))
+    groups = groups.where((F.col("lo") == F.col("hi")) & (F.col("with") >= share * F.col("n")) & (F.col("n") > 1)).select("meta", F.lit(True).alias("even"))
+    known = scratch.keep(rows.join(groups, "meta", "left"))
+    scale = f"if(i < size(feature) - 2, {max(bond, 1e-10)!r}D, {max(angle, 1e-10)!r}D) * sqrt(size(feature))"
+    points = scratch.keep(known.where("even and feature is not null").select("raw", "meta", F.expr(f"transform(feature, (v, i) -> v / ({scale}))").alias("x")))
+    near = distance_components(scratch, points.select(F.col("meta").alias("group"), F.col("raw").alias("id"), "x"), 1 + 1e-9)
+    clustered = points.join(near.withColumnRenamed("id", "raw"), "raw").groupBy("meta", "cluster").applyInPandas(_ward, "raw string, meta string, first string")
+    alone = known.where("even is null or feature is null").select("raw", "meta", F.col("raw").alias("first"))
+    if topology < 1:
+        names = scratch.keep(alone)
+        links = topology_links(scratch, names.select(F.col("meta").alias("group"), F.col("raw").alias("name")), topology)
+        alike = components(scratch, links.select("a", "b")).select(F.col("item").alias("raw"), "root")
+        alone = names.join(alike, "raw", "left").select("raw", "meta", F.coalesce("root", "raw").alias("first"))
+    turn = F.dense_rank().over(Window.partitionBy("meta").orderBy("first"))
+    return clustered.unionByName(alone).select("raw", "meta", F.format_string("%s:sim%05d", "meta", turn).alias("type"))
 
 
 def frozen_types(raws: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -145,23 +149,29 @@ def distance_components(scratch: Scratch, points: DataFrame, threshold: float) -
     return named.select("p.id", F.when(F.col("p.x").isNull(), F.col("p.id")).otherwise(F.col("f.cluster")).alias("cluster"))
 
 
-def topology_links(names: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` of ``names(group, name)`` with a similarity of at least ``threshold`` and ``a < b``; at 1 or more none.
+def topology_links(scratch: Scratch, names: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of ``names(group, name)`` with a similarity of at least ``threshold`` and ``a < b``; at 1
+    or more none.
 
-    Only names of one group that share a piece meet; below 0.6 of the sequence ratio and no common piece a pair could
-    reach at most 0.6, so ``threshold`` must be above that.
+    The sequence ratio is at most 1, so the overlap of the pieces is at least ``(threshold - 0.6) / 0.4``, which must
+    be above 0: names meet by their rarest pieces within the group, enough for that overlap. Then lengths, which bound
+    the ratio, thin the pairs before it is taken. A null group is a group; null names have no links.
     """
     if threshold >= 1:
-        return names.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+        return names.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("similarity")).limit(0)
     if threshold <= 0.6:
         raise ValueError("a threshold of 0.6 or less would have to compare every pair")
-    rows = names.select("group", "name", piece_tokens(F.col("name")).alias("pieces")).distinct()
-    spread = rows.select("group", F.col("name"), F.explode("pieces").alias("piece"))
-    met = spread.alias("x").join(spread.alias("y"), F.expr("x.`group` <=> y.`group` and x.piece = y.piece and x.name < y.name"))
-    pairs = met.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    rows = names.select(F.coalesce(F.concat(F.lit("g"), F.col("group").cast("string")), F.lit("n")).alias("g"), "name").where("name is not null").distinct()
+    spread = rows.select(F.struct("g", "name").alias("item"), F.explode(piece_tokens(F.col("name"))).alias("piece"))
+    sets = token_sets(scratch, spread.select("item", F.concat_ws("\x1f", "item.g", "piece").alias("env")))
+    pairs = overlap_links(sets, (threshold - 0.6) / 0.4, None)
+    pairs = pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), "overlap")
+    shorter, both = F.least(F.length("a"), F.length("b")), F.length("a") + F.length("b")
+    pairs = pairs.where(0.6 * 2 * shorter / both + 0.4 * F.col("overlap") >= threshold - 1e-9)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([topology_ratio(p, q) for p, q in zip(a, b)], dtype=float)
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)], dtype=float)
 
-    return pairs.where(ratio("a", "b") >= threshold).select("a", "b")
+    found = pairs.select("a", "b", (0.6 * ratio("a", "b") + 0.4 * F.col("overlap")).alias("similarity"))
+    return found.where(F.col("similarity") >= threshold - 1e-12)

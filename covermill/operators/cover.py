@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covermill.operators.incidence import classify, projected
-from covermill.operators.setsim import deduplicated, overlap_links, token_sets
+from covermill.operators.setsim import deduplicated, exact_copies, overlap_links, token_sets
 from covermill.session import Scratch
 
 #: Incidences that one task takes: of a round's block, and of the rest that ends a cover or sweep. The picks are the
@@ -42,6 +42,7 @@ def global_rank(scratch: Scratch, rows: DataFrame, order: list, total: str | Non
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
     own = Window.partitionBy("part").orderBy(*order)
     ranked = parts.withColumn("r", F.row_number().over(own)).withColumn("c", F.sum(summed).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # a row for each of the shuffle's partitions, whose number is a setting
     ranked = ranked.join(F.broadcast(sizes), "part").withColumn("rank", F.col("r") + F.col("n"))
     if total is not None:
         ranked = ranked.withColumn("covered", F.col("c") + F.col("s"))
@@ -112,7 +113,8 @@ def greedy_picks(scratch: Scratch, inc: DataFrame, finish: int = FINISH) -> Data
         picked = scratch.keep(won)
         picks.append(picked)
         covered = rest.join(picked.select("item"), "item", "left_semi").select("env").distinct()
-        rest = scratch.keep(rest.join(covered, "env", "left_anti").select("item", "env", "prefer"))
+        before, rest = rest, scratch.keep(rest.join(covered, "env", "left_anti").select("item", "env", "prefer"))
+        scratch.drop(before, gains)
     if not picks:
         return inc.select(F.col("prefer").cast("int").alias("prefer"), "item", F.lit(0).cast("long").alias("new_gain")).limit(0)
     out = picks[0]
@@ -216,10 +218,13 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
         stay = decided.where("stays").select("item", "place")
         kept = kept.unionByName(stay)
         safe = rest.join(stay.select("item"), "item", "left_semi").select("env").distinct()
+        before = [block, rest, undecided] if undecided is not order else [block, rest]
         rest = scratch.keep(rest.join(decided.select("item"), "item", "left_anti").join(safe, "env", "left_anti").select("item", "env", "place"))
         undecided = scratch.keep(undecided.join(decided.select("item"), "item", "left_anti"))
         if near is not None:
+            before.append(near)
             near = scratch.keep(near.join(decided.where("not stays").select(F.col("item").alias("b")), "b", "left_anti").select("a", "b"))
+        scratch.drop(*before)
     return kept
 
 
@@ -257,11 +262,17 @@ def without_similar(scratch: Scratch, inc: DataFrame, order: DataFrame, threshol
     """``item, place`` of what stays when redundant items go that have a remaining similar item.
 
     Items without an env of their own are looked at by size, the largest first, then in order; the size ratio of
-    similar items is at least ``1 - band``. A threshold of 0 or less changes nothing.
+    similar items is at least ``1 - band``. A threshold of 0 or less, or above 1, changes nothing; items without envs
+    have no similar ones and stay.
     """
-    if threshold <= 0:
+    if threshold <= 0 or threshold > 1:
         return order.select("item", "place")
     chosen = scratch.keep(inc.join(order.select("item"), "item", "left_semi").select("item", "env"))
+    # of equal sets all but the last in order go, whatever else happens: the last stands for their envs and partners
+    copies = exact_copies(chosen).join(order, "item").groupBy("first").agg(F.max(F.struct("place", "item")).alias("last"))
+    bare = order.select("item", "place").join(chosen.select("item"), "item", "left_anti")
+    order = scratch.keep(copies.select("last.item", "last.place"))
+    chosen = scratch.keep(chosen.join(order.select("item"), "item", "left_semi"))
     sets = token_sets(scratch, chosen)
     links = overlap_links(sets, threshold, None)
     sizes = sets.select("item", "n")
@@ -269,4 +280,4 @@ def without_similar(scratch: Scratch, inc: DataFrame, order: DataFrame, threshol
     links = links.where(F.least("na", "nb") >= (1 - band) * F.greatest("na", "nb")).select("a", "b")
     by_size = order.join(sizes, "item").select("item", F.struct((-F.col("n")).alias("size"), "place").alias("place"))
     stays = sweep(scratch, chosen, by_size, links)
-    return order.join(stays.select("item"), "item", "left_semi").select("item", "place")
+    return order.join(stays.select("item"), "item", "left_semi").select("item", "place").unionByName(bare)

@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 
 from covermill.functions.scalar import angle_degrees, cell_ok, det3
 
-# fixed values: covalent radii in angstrom
-RADII = {"H": 0.31, "C": 0.76, "N": 0.71, "O": 0.66, "Si": 1.11, "Cr": 1.39, "Mn": 1.39, "Fe": 1.32, "Co": 1.26, "Ni": 1.24}
+# fixed values: covalent radii in angstrom by symbol, hydrogen to curium
+RADII_TEXT = """
+H 0.31 He 0.28 Li 1.28 Be 0.96 B 0.84 C 0.76 N 0.71 O 0.66 F 0.57 Ne 0.58 Na 1.66 Mg 1.41 Al 1.21 Si 1.11 P 1.07 S 1.05 Cl 1.02 Ar 1.06
+K 2.03 Ca 1.76 Sc 1.70 Ti 1.60 V 1.53 Cr 1.39 Mn 1.39 Fe 1.32 Co 1.26 Ni 1.24 Cu 1.32 Zn 1.22 Ga 1.22 Ge 1.20 As 1.19 Se 1.20 Br 1.20 Kr 1.16
+Rb 2.20 Sr 1.95 Y 1.90 Zr 1.75 Nb 1.64 Mo 1.54 Tc 1.47 Ru 1.46 Rh 1.42 Pd 1.39 Ag 1.45 Cd 1.44 In 1.42 Sn 1.39 Sb 1.39 Te 1.38 I 1.39 Xe 1.40
+Cs 2.44 Ba 2.15 La 2.07 Ce 2.04 Pr 2.03 Nd 2.01 Pm 1.99 Sm 1.98 Eu 1.98 Gd 1.96 Tb 1.94 Dy 1.92 Ho 1.92 Er 1.89 Tm 1.90 Yb 1.87 Lu 1.87
+Hf 1.75 Ta 1.70 W 1.62 Re 1.51 Os 1.44 Ir 1.41 Pt 1.36 Au 1.36 Hg 1.32 Tl 1.45 Pb 1.46 Bi 1.48 Po 1.40 At 1.50 Rn 1.50
+Fr 2.60 Ra 2.21 Ac 2.15 Th 2.06 Pa 2.00 U 1.96 Np 1.90 Pu 1.87 Am 1.80 Cm 1.69
+"""
+RADII = dict(zip(RADII_TEXT.split()[::2], map(float, RADII_TEXT.split()[1::2])))
+#: Radius of a symbol that is none of these.
+OTHER_RADIUS = 0.2
 
 
 def _one(frames: DataFrame) -> DataFrame:
@@ -85,12 +95,14 @@ def neighbours(frames: DataFrame, cutoff: float) -> DataFrame:
 
 def _radius(symbol: Column) -> Column:
     pairs = [x for s, r in RADII.items() for x in (F.lit(s), F.lit(r))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), symbol), F.lit(1.0))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), symbol), F.lit(OTHER_RADIUS))
 
 
 def too_close(frames: DataFrame, coeff: float = 0.8) -> DataFrame:
     """``frame_id, n_close``: frames with pairs nearer than ``(r_i + r_j) * coeff``, strictly."""
-    pairs = neighbours(frames, 2 * max(RADII.values()) * coeff).where("i < j")
+    # the search goes as far as the largest atoms that there are; symbols are as few as elements
+    symbols = [r[0] for r in frames.select(F.explode(F.array_distinct("atoms.symbol")).alias("s")).select(F.initcap(F.trim("s")).alias("s")).where(F.col("s").isin(list(RADII))).distinct().collect()]
+    pairs = neighbours(frames, 2 * max([OTHER_RADIUS, *(RADII[s] for s in symbols)]) * coeff).where("i < j")
     close = pairs.where(F.col("distance") < (_radius(F.col("symbol_i")) + _radius(F.col("symbol_j"))) * coeff)
     return close.groupBy("frame_id").agg(F.count("*").alias("n_close"))
 
@@ -168,6 +180,18 @@ def local_cluster(frames: DataFrame, rcut: float, vacuum: float = 8.0, eps: floa
     return rows.select("frame_id", "i", "n_atoms", F.greatest(F.col("span") + vacuum, F.lit(2 * rcut + vacuum), F.lit(vacuum)).alias("box"))
 
 
+def cluster_atoms(frames: DataFrame, rcut: float, vacuum: float = 8.0) -> DataFrame:
+    """``frame_id, i, j, symbol, x, y, z, box``: a center and its neighbours in the middle of their cube; the center is
+    its own ``j``."""
+    near = neighbours(frames, rcut + 1e-6)
+    boxes = local_cluster(frames, rcut, vacuum)
+    own = near.groupBy("frame_id", "i", F.col("symbol_i").alias("symbol")).agg(F.lit(0.0).alias("dx")).select("frame_id", "i", F.col("i").alias("j"), "symbol", *[F.lit(0.0).alias(d) for d in ("dx", "dy", "dz")])
+    atoms = own.unionByName(near.select("frame_id", "i", "j", F.col("symbol_j").alias("symbol"), "dx", "dy", "dz"))
+    ends = atoms.groupBy("frame_id", "i").agg(*[((F.min(d) + F.max(d)) / 2).alias(f"m{d}") for d in ("dx", "dy", "dz")])
+    rows = atoms.join(ends, ["frame_id", "i"]).join(boxes.select("frame_id", "i", "box"), ["frame_id", "i"])
+    return rows.select("frame_id", "i", "j", "symbol", *[(F.col(f"d{n}") - F.col(f"md{n}") + F.col("box") / 2).alias(n) for n in "xyz"], "box")
+
+
 def bond_angles(near: DataFrame) -> DataFrame:
     """``frame_id, i, j, k, kind, angle`` of each pair of neighbours ``j < k``; ``kind`` is their symbols around the
     center's, the outer two sorted."""

@@ -9,12 +9,25 @@ from covermill.operators.components import components
 from covermill.session import Scratch
 
 
+#: A token in more than one of so many rows is a hot key; there are fewer than this number of them.
+HOT_SHARE = 4096
+
+
 def token_sets(scratch: Scratch, inc: DataFrame) -> DataFrame:
-    """``item, n, tokens``: the envs of each item as 64-bit hashes, the rarest first in one order for all items."""
+    """``item, n, parity, tokens``: the envs of each item as 64-bit hashes, the rarest first in one order for all items.
+
+    The fewer than ``HOT_SHARE`` hot tokens get their counts by a broadcast, the others by a shuffle. ``parity`` has bit
+    ``token % 64`` flipped once per token, so the bits in which two items differ are at most the tokens in which they do.
+    """
     rows = inc.select("item", F.xxhash64("env").alias("token"))
-    ranked = rows.join(rows.groupBy("token").agg(F.count("*").alias("load")), "token")
-    sets = ranked.groupBy("item").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("load", "token"))).alias("s"))
-    return scratch.keep(sets.select("item", "n", F.col("s.token").alias("tokens")))
+    counts = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("load")))
+    most = (counts.agg(F.sum("load")).first()[0] or 0) // HOT_SHARE
+    marked = rows.join(F.broadcast(counts.where(F.col("load") > most)), "token", "left")
+    loaded = marked.where("load is not null").select("item", "token", "load")
+    loaded = loaded.unionByName(marked.where("load is null").select("item", "token").join(counts.where(F.col("load") <= most), "token"))
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    sets = loaded.groupBy("item").agg(F.count("*").cast("int").alias("n"), F.bit_xor(bit).alias("parity"), F.array_sort(F.collect_list(F.struct("load", "token"))).alias("s"))
+    return scratch.keep(sets.select("item", "n", "parity", F.col("s.token").alias("tokens")))
 
 
 def exact_copies(inc: DataFrame) -> DataFrame:
@@ -29,14 +42,17 @@ def overlap_links(sets: DataFrame, threshold: float, band: float | None) -> Data
     ``int(smaller * (1 + band)) + 1``. The band is part of the result: at low thresholds it drops pairs.
 
     Only prefixes are joined: two sets at the threshold share one of their rarest ``n - ceil(threshold * n) + 1``
-    tokens. Copies should be collapsed before (see ``exact_copies``).
+    tokens. Sizes, the positions of the shared token and parity thin the pairs before the sets are compared. Copies
+    should be collapsed before (see ``class_links``).
     """
     prefix = F.expr(f"slice(tokens, 1, n - cast(ceil({threshold}D * n - 1e-9) as int) + 1)")
-    rows = sets.select("item", "n", F.explode(prefix).alias("token"))
+    rows = sets.select("item", "n", "parity", F.posexplode(prefix).alias("pos", "token"))
     sized = f"least(x.n, y.n) >= {threshold}D * greatest(x.n, y.n) - 1e-9"
     if band is not None:
         sized += f" and greatest(x.n, y.n) <= cast(floor(least(x.n, y.n) * {1 + band}D) as int) + 1"
-    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.item < y.item and {sized}"))
+    common = f"ceil({threshold}D * (x.n + y.n) / {1 + threshold}D - 1e-9)"
+    room = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {common} and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * {common}"
+    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.token = y.token and x.item < y.item and {sized} and {room}"))
     pairs = met.select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
     left = sets.select(F.col("item").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("item").alias("b"), F.col("tokens").alias("tb"))
@@ -45,6 +61,24 @@ def overlap_links(sets: DataFrame, threshold: float, band: float | None) -> Data
     return both.where(F.col("overlap") >= threshold - 1e-12).select("a", "b", "overlap")
 
 
+def class_links(scratch: Scratch, inc: DataFrame, threshold: float, band: float | None) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets, ``item, first``, and the links ``a, b, overlap`` of their first items. Together they
+    hold every link of ``inc``; a group of copies of any size costs one row in the joins and none in the links."""
+    copies = scratch.keep(exact_copies(inc))
+    sets = token_sets(scratch, inc.join(copies.where("item = first").select("item"), "item", "left_semi"))
+    return copies, overlap_links(sets, threshold, band)
+
+
+def links_of_items(copies: DataFrame, links: DataFrame) -> DataFrame:
+    """``item, class_id, n_copies, n_links``: one row per item with its class, the other items of it, and the items
+    of other classes that it is linked with."""
+    sizes = copies.groupBy("first").agg(F.count("*").alias("size"))
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(sizes.select(F.col("first").alias("b"), "size"), "b").groupBy(F.col("a").alias("first")).agg(F.sum("size").alias("n_links"))
+    rows = copies.join(sizes, "first").join(near, "first", "left").na.fill(0, ["n_links"])
+    return rows.select("item", F.col("first").alias("class_id"), (F.col("size") - 1).alias("n_copies"), "n_links")
+
+
 def representatives(scratch: Scratch, inc: DataFrame, threshold: float, band: float | None, largest: bool = True) -> DataFrame:
     """``item, root, is_kept``: components of similar items; of each the one with the largest set stays, of equals
     the smallest (``largest=False``: the smallest item). A threshold of 1 or more compares exact sets only."""

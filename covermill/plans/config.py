@@ -16,6 +16,7 @@ class Config:
     angle_tolerance: float = 5.0
     feature_share: float = 0.5
     feature_samples: int = 5
+    topology_similarity: float = 1.0
     rare_overlap: float = 0.85
     common_overlap: float = 0.70
     size_band: float = 0.25

@@ -37,10 +37,50 @@ def _near(rcut: float) -> str:
     return _NEAR.replace("{0}", str(rcut))
 
 
+# distinct bonds of each center: its symbol, and of each neighbour the symbol and the bonds to other neighbours
+_TOKENS = """r as (select * from n where d <= {0}), k as (select a.frame_id, a.i, a.j, count(*) m from r a join r b on a.frame_id = b.frame_id and a.i = b.i and a.j <> b.j join r c on c.frame_id = a.frame_id and c.i = a.j and c.j = b.j group by 1, 2, 3),
+    tk as (select r.frame_id, r.i, any_value(si) c, count(*) cn, string_agg(sj || '~' || coalesce(m, 0), '|' order by sj || '~' || coalesce(m, 0)) g, string_agg(sj, '' order by sj) h from r left join k using (frame_id, i, j) where si in ('Fe', 'C') group by 1, 2),
+    w as (select frame_id, i, cn, 'r{0}:' || substr(sha1(c || ':' || g), 1, 16) raw, 'r{0}:' || c || ':cn' || cn || ':' || h meta from tk)"""
+
+
+def _tokens(rcut: float) -> str:
+    return f"{_near(rcut)}, {_TOKENS.replace('{0}', str(rcut))}"
+
+
+def _centers() -> dict[str, str]:
+    first = "o as (select raw, frame_id, arg_min(meta, i) meta, arg_min(cn, i) cn from w group by 1, 2)"
+    names = "p as (select distinct p_brand || ':' || p_type as name from part)"
+    return {
+        "raw_token_counts": " union all ".join(f"select * from (with {_tokens(c)} select raw, meta, count(*) as n_centers, count(distinct frame_id) as n_frames from w group by 1, 2)" for c in (2.7, 3.0)),
+        "token_dimension": f"""with {_tokens(3.0)}, {first}, s as (select *, row_number() over (partition by raw order by frame_id) nth from o), f as (select raw, case when min(cn) = max(cn) then (min(cn) + 2)::int end n from s where nth <= 5 group by 1)
+            select raw, m.meta, f.n as n_features from (select raw, arg_max(meta, frame_id) meta from o group by 1) m join f using (raw)""",
+        "token_examples": f"with {_tokens(3.0)}, ct as (select raw, frame_id, least(3, count(*)) n from w group by 1, 2) select raw, sum(n)::bigint as n_examples from ct group by 1",
+        "cluster_index": f"""with {_tokens(3.0)}, x as (select *, row_number() over (partition by meta order by raw, frame_id, i) nth from w), y as (select *, regexp_replace(meta || '_' || format('{{:05d}}', nth), '[^A-Za-z0-9_.=+:-]+', '_', 'g') f from x)
+            select case when length(f) > 120 then substr(f, 1, 109) || '_' || substr(sha1(f), 1, 10) else f end || '.cif' as cif_file, meta as effective_fp, raw as raw_fp, frame_id as source_idx, i as center_atom_index, regexp_extract(meta, ':([A-Z][a-z]?):cn', 1) as center_symbol, 3.0 as rcut from y""",
+        "radial_distribution": f"""with {_near(0)}, pr as (select frame_id, greatest(si, sj) || '-' || least(si, sj) kind, floor(d / 0.25)::int bin from n where i < j and d > 0 and d <= 5.0),
+            ct as (select frame_id, kind, bin, count(*) n from pr group by 1, 2, 3), sy as (select frame_id, upper(trim(a.symbol)[1]) || lower(trim(a.symbol)[2:]) sym, any_value(abs({_DET})) v, count(*) n from (select frame_id, l, unnest(atoms) a from c) group by 1, 2),
+            e as (select a.frame_id, a.sym || '-' || b.sym kind, a.v, case when a.sym = b.sym then a.n * (a.n - 1) / 2 else a.n * b.n end possible from sy a join sy b on a.frame_id = b.frame_id and a.sym >= b.sym),
+            f as (select kind, count(*) n_frames from e where possible > 0 group by 1)
+            select kind, bin, round(bin * 0.25 + 0.125, 6) as r, sum(ct.n)::bigint as n_pairs, round(sum(ct.n * v / (possible * 4 * pi() / 3 * (pow(bin * 0.25 + 0.25, 3) - pow(bin * 0.25, 3)))) / any_value(n_frames), 6) as g from ct join e using (frame_id, kind) join f using (kind) where possible > 0 group by 1, 2""",
+        "user_correlation": """with p as (select user_id, event_type k, epoch_us(ts)::double x, avg(value) y from events where value is not null group by 1, 2, 3), k as (select distinct user_id, k from p),
+            q as (select a.user_id, a.k ka, b.k kb from k a join k b on a.user_id = b.user_id and a.k < b.k), l as (select q.*, p.x, p.y from q join p on p.user_id = q.user_id and p.k = q.ka),
+            lo as (select l.*, p.x x0, p.y y0 from l asof join p on p.user_id = l.user_id and p.k = l.kb and p.x <= l.x), hi as (select l.*, p.x x1, p.y y1 from l asof join p on p.user_id = l.user_id and p.k = l.kb and p.x >= l.x),
+            z as (select lo.*, case when x0 = lo.x then y0 else y0 + (y1 - y0) / (x1 - x0) * (lo.x - x0) end z from lo join hi on hi.user_id = lo.user_id and hi.ka = lo.ka and hi.kb = lo.kb and hi.x = lo.x)
+            select user_id, ka as kind_a, kb as kind_b, count(*) as n, round(case when count(*) > 1 then corr(y, z) end, 6) as pearson from z group by 1, 2, 3""",
+        "piece_sets": f"""with {names} select name, array_to_string(list_sort(list_distinct(regexp_extract_all(name, '[A-Za-z]+|\\d+\\.\\d+|\\d+|[^\\sA-Za-z0-9]'))), ' ') as pieces, array_to_string(list_transform(range(1, length(name) - 1), lambda i: name[i:i + 2]), ' ') as trigrams from p""",
+        "type_vectors": f"""with {names}, t as (select name, unnest(list_concat(regexp_extract_all(name, '[A-Za-z]+|cn\\d+|r\\d+(?:\\.\\d+)?|sim\\d+|\\d+|[A-Za-z0-9_.:-]+'), list_transform(range(1, length(regexp_replace(name, '\\s+', '', 'g')) - 1), lambda i: regexp_replace(name, '\\s+', '', 'g')[i:i + 2]))) tok from p),
+            h as (select name, ('0x' || right(sha1(tok), 4))::int h from t), v as (select name, h % 128 slot, sum(case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) value from h group by 1, 2 having sum(case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) <> 0)
+            select name as type, slot, round(value / sqrt(sum(value * value) over (partition by name)), 6) as value from v""",
+        "sampled_types": f"""with {_S}, {_F}, sz as (select count(*) filter (n > 5) pri, count(*) filter (n <= 5) rest from f), r as (select env, n > 5 p, row_number() over (partition by n > 5 order by env) - 1 nth from f)
+            select env as name from r, sz where case when pri + rest <= 1000 then true when pri >= 1000 then p and nth % ceil(pri / 1000.0) = 0 else p or nth % ceil(rest / (1000.0 - pri)) = 0 end""",
+    }
+
+
 def _covers() -> dict[str, str]:
     """Covers and pipelines over structures, with envs as numbers: all, and those of each source."""
     start = f"with recursive {_S}, {_P}, {cover.numbered('n', 'a')}, np as (select item, e env from pr join n_ids using (env)), nh as (select item, e env from ph join n_ids using (env))"
     shown = "select item as struct_id, pass_name, rank, new_gain, covered, uncovered, coverage_pct from {0}"
+    sized = "select item as {2}, pass_name, rank, new_gain, covered, uncovered, coverage_pct, (select count(*) from {1} z where z.item = {0}.item) as n_envs from {0}"
     both = "bt as (select 1000000000000 + item item, env from np union all select item, env from nh)"
     joint = f"{both}, {cover.greedy('g', 'bt')}, gi as (select * from bt where item in (select item from g)), go as (select item, row_number() over (order by item < 1000000000000, item) turn from g), {cover.sweep('sw', 'gi', 'go')}"
     counted = "select source, count(*) as n_in, count(*) filter (k in (select item from sw)) as n_kept from (select distinct 'probe' source, 1000000000000 + item k from np union all select distinct 'phase2', item from nh) group by 1"
@@ -56,11 +96,18 @@ def _covers() -> dict[str, str]:
         "cover_structures": f"{start}, {cover.greedy('g', 'n')}, t as (select count(distinct env) w from n) select item as struct_id, rank, new_gain, covered, w - covered as uncovered, round(100.0 * covered / w, 6) as coverage_pct from g, t",
         "two_tier_manifest": f"{start}, tgt as (select distinct env from n), {cover.two_tiers('tt', 'n', 'n', 'tgt')}, {cover.manifest('m', 'tt', 'n')} {shown.format('m')}",
         "similar_redundant_removed": f"{start}, so as (select distinct item, item place from nh), {cover.not_similar('ns', 'nh', 'so')} select item as struct_id from ns",
-        "initial_selection": f"{start}, {cover.initial_selection('n')} {shown.format('chosen')}",
+        "initial_selection": f"{start}, {cover.initial_selection('n')} {sized.format('chosen', 'n', 'struct_id')}",
         "initial_summary": f"""{start}, {cover.initial_selection('n')}, c as (select count(distinct env) c from n where item in (select item from chosen)), t as (select count(distinct env) t, count(distinct item) i from n), v as (select count(*) k from chosen)
             select 'candidate_structures_with_envs' as key, i::varchar as value from t union all select 'selected_structures', k::varchar from v union all select 'n_target', t::varchar from t union all select 'n_covered', c::varchar from c
             union all select 'n_uncovered', (t - c)::varchar from t, c union all select 'coverage_pct', (100.0 * c / t)::double::varchar from t, c""",
-        "gap_supplement": f"{start}, {gap} {shown.format('m')}",
+        "gap_supplement": f"{start}, {gap} {sized.format('m', 'nh', 'struct_id')}",
+        "raw_selection": f"""with recursive {_near(0)}, {_CLOSE}, rt as (select frame_id item, raw env from (with {_tokens(2.7)} select * from w) union select frame_id, raw from (with {_tokens(3.0)} select * from w)),
+            ok as (select item, env from rt where item not in (select frame_id from q)), {cover.numbered('u', 'ok')}, {cover.initial_selection('u')} {sized.format('chosen', 'u', 'frame_id')}""",
+        "tier_statistics": f"""{start}, tgt as (select distinct env from n), {cover.two_tiers('tt', 'n', 'n', 'tgt')}, h as (select distinct env from n where item in (select item from tt)),
+            r as (select (select count(*) from tt_rare) nr, (select count(*) from tt_common) nc, (select count(*) from tt_rare where env in (select env from h)) cr, (select count(*) from tt_common where env in (select env from h)) cc)
+            select nr as n_rare_target, nc as n_common_target, cr as covered_rare, cc as covered_common, (select count(distinct item) from tt_ri) as rare_candidates_before_dedup, (select count(distinct item) from n where env in (select env from tt_common)) as common_candidates_before_dedup,
+             (select count(*) from tt where turn = 1) as rare_selected, (select count(*) from tt where turn = 2) as common_selected, (select count(*) from tt) as total_selected, cr + cc as covered_total,
+             round(100.0 * cr / nr, 6) as coverage_rare_pct, round(100.0 * cc / nc, 6) as coverage_common_pct, round(100.0 * (cr + cc) / (nr + nc), 6) as coverage_total_pct from r""",
         "joint_cover": f"{start}, {joint} select g.rank, case when item < 1000000000000 then 'phase2' else 'probe' end as source, item % 1000000000000 as source_idx, (select count(*) from gi where gi.item = g.item) as n_envs from g where item in (select item from sw)",
         "joint_summary": f"{start}, {joint} {counted}",
         "coverage_trajectory": f"{start}, {steps}",
@@ -69,7 +116,7 @@ def _covers() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     runs = "m as (select run_id, pick_rank, max(covered) covered from initial_training_manifest group by 1, 2)"
-    return _covers() | {
+    return _covers() | _centers() | {
         "cover_dense_manifest": _GREEDY,
         "cover_dense_budget": f"select * from ({_GREEDY}) where rank <= 5",
         "cover_dense_stop": f"select * from ({_GREEDY}) where 100.0 * (covered - new_gain) / (covered + uncovered) < 85",
@@ -111,8 +158,11 @@ def oracle_sql() -> dict[str, str]:
             select 'n_runs' as key, n_runs as value from o union all select 'selected', selected from o union all select 'rare_most', rare_most from o union all select 'pruned', pruned from o""",
         "source_counts": "select source, count(*) as n_in, count(*) filter (struct_id in (select struct_id from struct_envs where env is not null and struct_id is not null)) as n_kept from (select distinct struct_id, source from structures where struct_id is not null) group by 1",
         "exact_copies": f"with {_S}, l as (select item, list(env order by env) v from a group by 1) select item as struct_id, min(item) over (partition by v) as first_id from l",
-        "overlap_links_band": f"with {_S}, {_PAIRS} select a as struct_a, b as struct_b, round(ov, 6) as overlap from j where ov >= 0.7 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1 and a in (select item from z) order by 1",
-        "near_documents": f"with {_W}, {_PAIRS} select a as doc_a, b as doc_b, round(ov, 6) as overlap from j where ov >= 0.85 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1",
+        "overlap_links_band": f"with {_S}, {_PAIRS}, l as (select item, list(env order by env) v from a group by 1), u as (select min(item) item from l group by v) select a as struct_a, b as struct_b, round(ov, 6) as overlap from j where ov >= 0.7 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1 and a in (select item from u) and b in (select item from u)",
+        "near_documents": f"""with {_W}, {_PAIRS}, l as (select item, list(env order by env) v from a group by 1), c as (select item, min(item) over (partition by v) first, count(*) over (partition by v) size from l),
+            k as (select a.item, count(*) n from (select a item, b other from j where ov >= 0.85 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1
+             union all select b, a from j where ov >= 0.85 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1) a join c x on x.item = a.item join c y on y.item = a.other where x.first <> y.first group by 1)
+            select item as doc_id, first as class_id, size - 1 as n_copies, coalesce(n, 0)::bigint as n_links from c left join k using (item)""",
         "representatives": f"""with recursive {_S}, {_PAIRS}, l as (select a x, b y from j where ov >= 0.85 - 1e-12 and greatest(na, nb) <= floor(least(na, nb) * 1.25::double) + 1),
             b as (select x, y from l union all select y, x from l), r(item, root) as (select item, item from z union select b.y, r.root from r join b on b.x = r.item),
             m as (select item, min(root) root from r group by 1), k as (select m.*, row_number() over (partition by root order by n desc, item) rn from m join z using (item))
@@ -165,6 +215,19 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, case when length(a) > 120 then substr(a, 1, 109) || '_' || substr(sha1(a), 1, 10) else a end as name, case when length(c) > 20 then substr(c, 1, 9) || '_' || substr(sha1(c), 1, 10) else c end as short_name from e""",
         "key_parts": rf"with {_S}, v as (select distinct env from a) select env, coalesce(nullif(regexp_extract(env, '(?:^|:)r(\d+(?:\.\d+)?)', 1), '')::double, 3.0) as rcut, coalesce(nullif(regexp_extract(env, ':([a-zA-Z][a-zA-Z]?):[cC][nN]', 1), ''), '?') as center, sha1(env) as sha, substr(sha1(env), 1, 8) as short_sha from v",
         "gap_states": f"with {_S}, {_P}, {_F} select case when env not in (select env from pr) and env in (select env from ph) then 'newly_covered' when env in (select env from pr) then 'covered_before' else 'still_uncovered' end as state, count(*) as n_envs from f group by 1",
+        "type_states": f"""with {_S}, {_P}, i as (select distinct struct_id from structures join initial_training_manifest using (source, source_idx)), y as (select distinct env from a where item in (select struct_id from i)),
+            z as (select env, env in (select env from pr) b, env in (select env from y) s from (select distinct env from a))
+            select env, b as covered_before, s as covered_by_selected, b or s as covered_after, case when s and not b then 'newly_covered' when b then 'covered_before' else 'still_uncovered' end as state from z""",
+        "frames_in_order": """with f as (select frame_id, min(energy) energy, any_value(atoms) atoms from frames where frame_id is not null and len(atoms) > 0 group by 1)
+            select row_number() over (order by coalesce(energy, 0.0), frame_id) as rank, frame_id, len(atoms)::int as n_atoms from f""",
+        "log_round_trip": "select l_linenumber::int as line, count(*) as n, sum(l_orderkey)::bigint as sum_gen, round(sum(l_quantity::double), 2) as quantity from lineitem where l_orderkey is not null group by 1",
+        "spectrum_round_trip": "select hour(ts)::double as freq, round(avg(value), 5) as dos from events where value is not null group by 1",
+        "bands_round_trip": "select count(*) as n_points, count(distinct user_id) as n_segments, round(sum(round(value, 8)), 2) as sum_y from events where value is not null",
+        "thermal_round_trip": "select year(o_orderdate)::double as temperature, round(avg(o_totalprice::double), 4) as free_energy, count(*)::double as entropy, round(min(o_totalprice::double), 4) as heat_capacity, round(max(o_totalprice::double), 4) as energy from orders where o_orderdate is not null group by 1",
+        "errors_round_trip": """with f as (select frame_id, any_value(energy) energy, any_value(len(atoms)) n from frames where frame_id is not null group by 1)
+            select count(*) as n, count(*) filter (energy is not null and not isnan(energy)) as n_energy, round(sum(0.5 / greatest(1, n)) filter (energy is not null and not isnan(energy)), 5) as sum_energy, sum(frame_id)::bigint as sum_index from f""",
+        "cluster_files": f"""with {_near(0)}, r as (select * from n where d <= 3.000001), k as (select frame_id, i, count(*) + 1 na, greatest(greatest(max(v[1]), 0) - least(min(v[1]), 0), greatest(max(v[2]), 0) - least(min(v[2]), 0), greatest(max(v[3]), 0) - least(min(v[3]), 0)) span from r group by 1, 2)
+            select frame_id, i as center, na as n_atoms, round(greatest(span + 8.0, 14.0, 8.0), 4) as box from k""",
         "every_tenth_frame": "select distinct frame_id, step, n_atoms from frames where frame_id is not null and step % 2000 = 0",
         "curve_points": f"with {runs}, x as (select max(pick_rank) hi, greatest(1, ceil(max(pick_rank) / 49.0)::int) stride from m) select run_id, pick_rank, covered from m, x where pick_rank % stride = 0 or pick_rank = hi",
         "stored_stage": f"with {_S}, {_F} select n as n_items, count(*) as n_envs from f group by 1",

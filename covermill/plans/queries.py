@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covermill.functions import scalar
@@ -13,7 +15,7 @@ from covermill.plans import oracles, selection
 from covermill.plans.config import Config
 from covermill.plans.stages import StageStore
 from covermill.session import Scratch, read_table, shared_dir
-from covermill.sources import sinks, xyz
+from covermill.sources import sinks, tables, xyz
 from covermill.streaming import intake
 
 _QUERIES: dict = {}
@@ -65,6 +67,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 def _manifest(rows: DataFrame, item: str) -> DataFrame:
     cols = [F.col(c).cast("bigint").alias(c) for c in ("rank", "new_gain", "covered", "uncovered")]
     extra = ["pass_name"] if "pass_name" in rows.columns else []
+    extra += [F.col("n_envs").cast("bigint").alias("n_envs")] if "n_envs" in rows.columns else []
     return rows.select(F.col("item").alias(item), *extra, *cols, F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
@@ -147,6 +150,23 @@ def universe_selection(spark, d):
     return _manifest(selection.initial_selection(scratch, scratch.keep(selection.universe(scratch, _frames(spark, d)))), "frame_id")
 
 
+@query
+def raw_selection(spark, d):
+    """From frames to the manifest with the raw tokens of all cutoffs as envs, without types."""
+    scratch = Scratch(spark)
+    found, _ = selection.tokens(scratch, _frames(spark, d))
+    return _manifest(selection.initial_selection(scratch, scratch.keep(incidence.incidence(found, "frame_id", "raw"))), "frame_id")
+
+
+@query
+def tier_statistics(spark, d):
+    scratch = Scratch(spark)
+    inc = scratch.keep(_structs(spark, d))
+    picks = cover.two_tier_cover(scratch, inc, inc.select("env").distinct(), inc)
+    rows = selection.tier_statistics(inc, picks)
+    return rows.select(*[F.round(c, 6).alias(c) if c.endswith("_pct") else c for c in rows.columns])
+
+
 @query
 def gap_supplement(spark, d):
     scratch = Scratch(spark)
@@ -213,12 +233,15 @@ def gap_envs(spark, d):
     return incidence.gap(_structs(spark, d, "phase2"), _structs(spark, d, "probe"))
 
 
-@query
-def covered_union(spark, d):
+def _picked(spark, d):
     picked = read_table(spark, d, "initial_training_manifest").where("source_idx is not null").select("source", "source_idx").distinct()
     known = read_table(spark, d, "structures").select("struct_id", "source", "source_idx").distinct()
-    items = known.join(picked, ["source", "source_idx"]).select(F.col("struct_id").alias("item")).distinct()
-    return incidence.covered_by(_structs(spark, d), items)
+    return known.join(picked, ["source", "source_idx"]).select(F.col("struct_id").alias("item")).distinct()
+
+
+@query
+def covered_union(spark, d):
+    return incidence.covered_by(_structs(spark, d), _picked(spark, d))
 
 
 @query
@@ -309,9 +332,10 @@ def exact_copies(spark, d):
 
 @query
 def overlap_links_band(spark, d):
-    sets = setsim.token_sets(Scratch(spark), _structs(spark, d))
-    rows = setsim.overlap_links(sets, 0.7, 0.25)
-    return rows.select(F.col("a").alias("struct_a"), F.col("b").alias("struct_b"), F.round("overlap", 6).alias("overlap"))
+    """Pairs of classes of equal sets, by their first structures; exact_copies has the classes."""
+    scratch = Scratch(spark)
+    _, links = setsim.class_links(scratch, scratch.keep(_structs(spark, d)), 0.7, 0.25)
+    return links.select(F.col("a").alias("struct_a"), F.col("b").alias("struct_b"), F.round("overlap", 6).alias("overlap"))
 
 
 @query
@@ -322,9 +346,10 @@ def representatives(spark, d):
 
 @query
 def near_documents(spark, d):
-    sets = setsim.token_sets(Scratch(spark), _words(spark, d))
-    rows = setsim.overlap_links(sets, 0.85, 0.25)
-    return rows.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("overlap", 6).alias("overlap"))
+    """One row per document with its class of equal word sets and its number of links."""
+    scratch = Scratch(spark)
+    rows = setsim.links_of_items(*setsim.class_links(scratch, scratch.keep(_words(spark, d)), 0.85, 0.25))
+    return rows.withColumnRenamed("item", "doc_id")
 
 
 @query
@@ -374,7 +399,7 @@ def probe_mapped(spark, d):
 def ward_types(spark, d):
     near = _near(spark, d)
     dim = geometry.token_dim(Scratch(spark).keep(geometry.raw_tokens(near, 3.0)), geometry.features(near))
-    return compress.fit_types(dim).select("raw", "meta", "type")
+    return compress.fit_types(Scratch(spark), dim).select("raw", "meta", "type")
 
 
 @query
@@ -387,7 +412,8 @@ def vector_clusters(spark, d):
 @query
 def topology_links(spark, d):
     part = read_table(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat_ws(":", "p_type", F.col("p_size").cast("string")).alias("name"))
-    return compress.topology_links(part.distinct(), 0.85)
+    rows = compress.topology_links(Scratch(spark), part.distinct(), 0.85)
+    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 # --- geometry
@@ -431,7 +457,10 @@ def center_features(spark, d):
 
 @query
 def raw_token_counts(spark, d):
-    rows = geometry.raw_tokens(_near(spark, d), 3.0)
+    """The tokens of both cutoffs."""
+    scratch = Scratch(spark)
+    near = [(r, scratch.keep(geometry.environments(_frames(spark, d), r))) for r in Config().rcuts]
+    rows = reduce(DataFrame.unionByName, [geometry.raw_tokens(n, r) for r, n in near])
     return rows.groupBy("raw", "meta").agg(F.count("*").alias("n_centers"), F.countDistinct("frame_id").alias("n_frames"))
 
 
@@ -595,6 +624,31 @@ def gap_states(spark, d):
     return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n_envs"))
 
 
+def _states(spark, d):
+    """``env, covered_before, covered_by_selected, covered_after`` and the state after the supplement, of each type."""
+    inc = _structs(spark, d)
+    before = _structs(spark, d, "probe").select("env").distinct().withColumn("b", F.lit(True))
+    new = incidence.covered_by(inc, _picked(spark, d)).withColumn("s", F.lit(True))
+    rows = inc.select("env").distinct().join(before, "env", "left").join(new, "env", "left").na.fill(False, ["b", "s"])
+    state = F.when(F.expr("s and not b"), "newly_covered").when(F.col("b"), "covered_before").otherwise("still_uncovered")
+    return rows.select("env", F.col("b").alias("covered_before"), F.col("s").alias("covered_by_selected"), F.expr("b or s").alias("covered_after"), state.alias("state"))
+
+
+@query
+def type_states(spark, d):
+    return _states(spark, d)
+
+
+@query
+def type_embedding(spark, d):
+    """The table behind the map of types: the axes of the hashed names and what covers each type."""
+    rows = _states(spark, d)
+    slots = embedding.hashed_vectors(rows.select(F.col("env").alias("type")))
+    dense = slots.groupBy(F.col("type").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m")).select("id", F.expr("transform(sequence(0, 127), k -> coalesce(try_element_at(m, k), 0D))").alias("x"))
+    axes = embedding.principal_axes(dense, 128).select(F.col("id").alias("env"), F.format_string("%.8g", "x").alias("x"), F.format_string("%.8g", "y").alias("y"))
+    return rows.join(axes, "env").select(F.col("env").alias("effective_type"), "x", "y", *[F.col(c).cast("int").alias(c) for c in ("covered_before", "covered_by_selected", "covered_after")], "state")
+
+
 @query
 def sampled_types(spark, d):
     inc = _structs(spark, d)
@@ -621,12 +675,86 @@ def curve_points(spark, d):
 def xyz_round_trip(spark, d):
     frames = _frames(spark, d).where("frame_id is not null and size(atoms) > 0").dropDuplicates(["frame_id"])
     texts = xyz.frame_text(frames.withColumn("step", F.col("frame_id")))
-    path = Scratch(spark).root + "-xyz"
+    path = Scratch(spark).root + "/xyz"
     texts.select("raw_text").write.text(path)
     back = xyz.read_xyz(spark, path, 1 << 20)
     return back.select(F.col("step").alias("frame_id"), "n_atoms", F.round("energy", 5).alias("energy"), F.size("stress").alias("n_stress"), F.round(F.aggregate("atoms", F.lit(0.0), lambda s, a: s + a["pos"][0]), 4).alias("sum_x"))
 
 
+@query
+def frames_in_order(spark, d):
+    """Frames of both sources written in the order of their energies and read back, with the place of each."""
+    scratch = Scratch(spark)
+    known = read_table(spark, d, "structures").where("struct_id is not null").groupBy("struct_id").agg(F.min("source").alias("source"))
+    one = _frames(spark, d).where("frame_id is not null and size(atoms) > 0").groupBy("frame_id").agg(*[F.min(c).alias(c) for c in ("struct_id", "lattice", "stress", "energy", "pbc", "atoms")])
+    frames = scratch.keep(one.join(known, "struct_id", "left").select("*", F.col("frame_id").alias("source_idx"), F.col("frame_id").alias("step")).na.fill("phase2", ["source"]))
+    places = scratch.keep(cover.global_rank(scratch, frames.select("source", "source_idx", F.coalesce("energy", F.lit(0.0)).alias("energy")), [F.asc("energy"), F.asc("source_idx")]))
+    sinks.write_mixed(frames.where("source = 'probe'"), frames.where("source = 'phase2'"), places.select("source", "source_idx", "rank"), f"{scratch.root}/mixed")
+    back = xyz.read_xyz(spark, f"{scratch.root}/mixed", 1 << 16)
+    ranked = cover.global_rank(scratch, back, [F.asc("path"), F.asc("offset")])
+    return ranked.select("rank", F.col("step").alias("frame_id"), F.size("atoms").alias("n_atoms"))
+
+
+@query
+def log_round_trip(spark, d):
+    """Lines of items as white-space tables, read back by the log reader."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = read_table(spark, d, "lineitem").where("l_orderkey is not null").select(*names)
+    path = f"{Scratch(spark).root}/log"
+    rows.select(F.concat_ws("  ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in names])).write.text(path)
+    back = tables.read_log(spark, path, len(names) - 1)
+    return back.groupBy(F.col("c3").cast("int").alias("line")).agg(F.count("*").alias("n"), F.sum(F.col("gen").cast("long")).alias("sum_gen"), F.round(F.sum("c4"), 2).alias("quantity"))
+
+
+@query
+def spectrum_round_trip(spark, d):
+    """Hourly means of the events as spectra, written and read back."""
+    rows = read_table(spark, d, "events").where("value is not null").groupBy(F.hour("ts").cast("double").alias("freq")).agg(F.avg("value").alias("dos"))
+    path = f"{Scratch(spark).root}/dos"
+    sinks.write_spectrum(rows, path)
+    return tables.read_spectrum(spark, path).select("freq", F.round("dos", 5).alias("dos"))
+
+
+@query
+def bands_round_trip(spark, d):
+    """Every user's events as a band, written and read back: lines and blank lines between bands."""
+    rows = read_table(spark, d, "events").where("value is not null").select(F.col("user_id").alias("seg"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "value")).alias("ordinal"), F.col("value").alias("y"))
+    path = f"{Scratch(spark).root}/bands"
+    sinks.write_bands(rows.withColumn("x", F.col("ordinal").cast("double")), path)
+    back = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    return back.agg(F.count_if(F.size("p") == 2).alias("n_points"), F.count_if(F.size("p") < 2).alias("n_segments"), F.round(F.sum(F.when(F.size("p") == 2, F.col("p")[1].cast("double"))), 2).alias("sum_y"))
+
+
+@query
+def thermal_round_trip(spark, d):
+    """Orders by priority and status as thermal records, written and read back; every three values are a mode."""
+    rows = read_table(spark, d, "orders").where("o_orderdate is not null").groupBy(F.year("o_orderdate").cast("double").alias("temperature")).agg(F.avg("o_totalprice").alias("free_energy"), F.count("*").cast("double").alias("entropy"), F.min("o_totalprice").cast("double").alias("heat_capacity"), F.max("o_totalprice").cast("double").alias("energy"))
+    path = f"{Scratch(spark).root}/thermal"
+    sinks.write_thermal(rows, path)
+    back = tables.read_thermal(spark, path)
+    return back.select("temperature", *[F.round(c, 4).alias(c) for c in ("free_energy", "entropy", "heat_capacity", "energy")])
+
+
+@query
+def errors_round_trip(spark, d):
+    """Errors of every frame against its copy with other energies, as a CSV table and read back."""
+    frames = _frames(spark, d)
+    found = series.mean_absolute_errors(frames, frames.withColumn("energy", F.col("energy") + F.lit(0.5)), "frame_id")
+    path = f"{Scratch(spark).root}/errors"
+    sinks.write_csv(found.select(F.col("frame_id").alias("index"), F.col("energy_mae").alias("energy_MAE"), F.col("force_mae").alias("force_MAE"), F.col("stress_mae").alias("stress_MAE")), path)
+    back = tables.read_errors(spark, path)
+    return back.agg(F.count("*").alias("n"), F.count("energy_MAE").alias("n_energy"), F.round(F.sum("energy_MAE"), 5).alias("sum_energy"), F.sum("index").cast("long").alias("sum_index"))
+
+
+@query
+def cluster_files(spark, d):
+    """The local cluster of every center as CIF: atoms and edge read off the text."""
+    rows = sinks.cif_text(geometry.cluster_atoms(_frames(spark, d), 3.0))
+    lines = F.split("cif", "\n")
+    edge = F.round(F.regexp_extract("cif", r"_cell_length_a ([0-9.]+)", 1).cast("double"), 4)
+    return rows.select("frame_id", F.col("i").alias("center"), F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Z][a-z]?\d+ "))).cast("long").alias("n_atoms"), edge.alias("box"))
+
+
 @query
 def stored_stage(spark, d):
     store = StageStore(spark, f"{shared_dir(spark)}/covermill-stages")
@@ -643,6 +771,6 @@ def streamed_intake(spark, d):
     folder = f"{d}/struct_env[s].parquet"
     schema = read_table(spark, d, "struct_envs").schema
     stream = intake.file_stream(spark, folder, schema)
-    running = intake.start_intake(stream, "struct_id", "env", f"{scratch.root}-in/rows", f"{scratch.root}-in/state")
+    running = intake.start_intake(stream, "struct_id", "env", f"{scratch.root}/in/rows", f"{scratch.root}/in/state")
     running.awaitTermination()
-    return intake.taken(spark, f"{scratch.root}-in/rows").groupBy("item").agg(F.count("*").alias("n_envs")).select(F.col("item").alias("struct_id"), "n_envs")
+    return intake.taken(spark, f"{scratch.root}/in/rows").groupBy("item").agg(F.count("*").alias("n_envs")).select(F.col("item").alias("struct_id"), "n_envs")

@@ -36,14 +36,21 @@ class Scratch:
 
     ``keep`` writes a table and reads it back; ``drop`` deletes one that no later plan reads. What is left is
     deleted when the session's file system closes.
+
+    With a ``name``, a signature of all that the work depends on, the tables outlive the session: a run that was ended
+    goes on with the first table that was not written whole, as the same work keeps the same tables in the same order.
+    Nothing is dropped then before ``remove``, and rounds of covers and sweeps need not be done again.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/covermill-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str | None = None):
+        self.spark, self.named = spark, name is not None
+        self.root = f"{shared_dir(spark)}/covermill-{name or uuid.uuid4().hex}"
         self.count = 0
-        path = self._path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        if not self.named:
+            self._fs().deleteOnExit(self._path(self.root))
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -52,14 +59,18 @@ class Scratch:
         """With ``by``, rows lie in folders by these columns, so that a filter on them reads its folders only."""
         self.count += 1
         name = f"{self.root}/{self.count}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(name)
+        if not self.named or not self._fs().exists(self._path(f"{name}/_SUCCESS")):
+            (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(name)
         kept = self.spark.read.schema(df.schema).parquet(name)
         kept._scratch_name = name
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        path = self._path(df._scratch_name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in [] if self.named else tables:
+            self._fs().delete(self._path(df._scratch_name), True)
+
+    def remove(self) -> None:
+        self._fs().delete(self._path(self.root), True)
 
 
 #: Rows of a table that may be broadcast: of a few numbers each, some tens of MB.

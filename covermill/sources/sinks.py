@@ -101,5 +101,24 @@ def write_bands(points: DataFrame, path: str) -> None:
     rows.repartitionByRange("seg", "ordinal").sortWithinPartitions("seg", "ordinal").select("value").write.mode("overwrite").text(path)
 
 
+def write_thermal(rows: DataFrame, path: str) -> None:
+    """Records of ``rows(temperature, free_energy, entropy, heat_capacity, energy)`` by temperature."""
+    names = ("temperature", "free_energy", "entropy", "heat_capacity", "energy")
+    lines = [F.format_string(f"{'- ' if n == 'temperature' else '  '}{n}: %.8f", n) for n in names]
+    text = rows.repartitionByRange("temperature").sortWithinPartitions("temperature").select(F.concat_ws("\n", *lines, F.lit("")).alias("value"))
+    text.write.mode("overwrite").text(path)
+
+
+def cif_text(clusters: DataFrame) -> DataFrame:
+    """``frame_id, i, cif``: the local clusters of ``geometry.cluster_atoms`` as CIF, a cube without symmetry."""
+    ordered = F.array_sort(F.collect_list(F.struct("j", "symbol", "x", "y", "z"))).alias("atoms")
+    rows = clusters.groupBy("frame_id", "i", "box").agg(ordered)
+    cell = [F.format_string(f"_cell_length_{c} %.6f", "box") for c in "abc"] + [F.lit(f"_cell_angle_{c} 90") for c in ("alpha", "beta", "gamma")]
+    loop = "loop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"
+    at = F.transform("atoms", lambda a, k: F.concat_ws(" ", F.concat(a["symbol"], (k + 1).cast("string")), a["symbol"], *[F.format_string("%.8f", a[n] / F.col("box")) for n in "xyz"]))
+    head = F.concat_ws("\n", F.format_string("data_%d_%d", "frame_id", "i"), *cell, F.lit("_symmetry_space_group_name_H-M 'P 1'"), F.lit(loop))
+    return rows.select("frame_id", "i", F.concat_ws("\n", head, F.array_join(at, "\n"), F.lit("")).alias("cif"))
+
+
 def write_spectrum(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("freq").sortWithinPartitions("freq").select(F.format_string("%.8f %.8f", "freq", "dos").alias("value")).write.mode("overwrite").text(path)

@@ -1,12 +1,14 @@
 """Extended-XYZ frames as a Python data source, and frames written as text.
 
-A file is split into byte ranges; a frame belongs to the range in which its count line starts. A count line is a line
-with one whole number that is followed by a comment line with ``key=value`` entries, which no atom line can be, so a
-range finds its first frame without reading what is before it.
+A file is split into byte ranges; a frame belongs to the range in which its count line starts. A range finds its first
+frame whatever the comment lines hold: atom lines have more than one column, and the line before a comment is a count,
+so a line with nothing but a whole number whose line before is another kind of line is a count. A range that begins
+within such lines looks back to where they begin.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ SCHEMA = (
 _ENTRY = re.compile(r'([A-Za-z_]\w*)=("[^"]*"|\S+)')
 _COUNT = re.compile(rb"\s*(\d+)\s*$")
 RANGE_BYTES = 64 << 20
+#: Lines of frames in an Arrow batch, about.
+BATCH_LINES = 20_000
 
 
 def header_entries(line: str) -> dict[str, str]:
@@ -48,50 +52,60 @@ def parse_frame(lines: list[str]) -> dict:
         pos = [float(v) for v in parts[columns["pos"]]] if "pos" in columns else None
         force_name = "forces" if "forces" in columns else "force"
         forces = [float(v) for v in parts[columns[force_name]]] if force_name in columns else None
-        atoms.append((species, pos, forces))
+        atoms.append({"symbol": species, "pos": pos, "forces": forces})
     known = ("Lattice", "Properties", "stress", "energy", "pbc", "step")
     return {
         "n_atoms": int(lines[0]), "lattice": _numbers(entries.get("Lattice")), "properties": entries.get("Properties"), "stress": _numbers(entries.get("stress")),
         "energy": float(entries["energy"]) if "energy" in entries else None, "pbc": [v.upper().startswith("T") for v in entries["pbc"].split()] if "pbc" in entries else None,
-        "step": int(float(entries["step"])) if "step" in entries else None, "props": {k: v for k, v in entries.items() if k not in known}, "atoms": atoms,
+        "step": int(float(entries["step"])) if "step" in entries else None, "props": [(k, v) for k, v in entries.items() if k not in known], "atoms": atoms,
     }
 
 
+def _before(handle, start: int, chunk: int = 1 << 16) -> int:
+    """The last place up to ``start`` or the line after it whose line before is no lone whole number (or the file's
+    begin): what is read from there on is read from the begin of a frame's count, or from inside of a frame."""
+    while start:
+        low = max(0, start - chunk)
+        handle.seek(low)
+        block = handle.read(start - low)
+        begins = [low + i + 1 for i, c in enumerate(block[:-1]) if c == 10]
+        for at in reversed([0, *begins] if low == 0 else begins):
+            handle.seek(at)
+            line = handle.readline()
+            if not _COUNT.match(line):
+                return at + len(line)
+        if low == 0:
+            return 0
+        chunk *= 2
+    return 0
+
+
 def frames_in(handle, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
     """Offset and lines of the frames whose count line starts in ``start..end``; blank lines between frames are
-    skipped; a bad count or an unfinished frame raises."""
-    handle.seek(start)
-    if start:
-        handle.seek(start - 1)
-        handle.readline()
-    synced = start == 0
-    held: tuple[int, bytes] | None = None
+    skipped; a bad count, an unfinished frame or an atom line with nothing but a whole number raises."""
+    at = _before(handle, start)
+    handle.seek(at)
+    synced = at == 0
     while True:
-        at, line = held or (handle.tell(), handle.readline())
-        held = None
+        at, line = handle.tell(), handle.readline()
         if not line or at >= end:
             return
-        if not line.strip():
-            continue
         count = _COUNT.match(line)
-        if not synced:
-            if not count:
-                continue
-            nxt = handle.tell(), handle.readline()
-            if b"=" not in nxt[1]:
-                held = nxt
-                continue
-            comment, synced = nxt[1], True
-        else:
-            if not count:
+        if not count:
+            if synced and line.strip():
                 raise ValueError(f"no atom count at byte {at}: {line!r}")
-            comment = handle.readline()
-            if not comment:
-                raise ValueError(f"end of file after the count at byte {at}")
-        lines = [line, comment, *(handle.readline() for _ in range(int(count[1])))]
+            continue
+        synced = True
+        lines = [line, handle.readline()]
+        if not lines[1]:
+            raise ValueError(f"end of file after the count at byte {at}")
+        lines += [handle.readline() for _ in range(int(count[1]))]
         if not all(lines[2:]):
             raise ValueError(f"end of file inside the frame at byte {at}")
-        yield at, [x.decode("utf-8", errors="replace").rstrip("\r\n") for x in lines]
+        if any(map(_COUNT.match, lines[2:])):
+            raise ValueError(f"an atom line without a position in the frame at byte {at}")
+        if at >= start:
+            yield at, [x.decode("utf-8", errors="replace").rstrip("\r\n") for x in lines]
 
 
 class _Range(InputPartition):
@@ -100,8 +114,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.range = options["path"], int(options.get("rangebytes", RANGE_BYTES))
+    def __init__(self, schema, options: dict):
+        self.schema, self.path, self.range = schema, options["path"], int(options.get("rangebytes", RANGE_BYTES))
 
     def _files(self):
         from pyarrow import fs
@@ -122,13 +136,21 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
         system, _ = self._files()
         with system.open_input_file(partition.path) as raw:
-            import io
-
+            rows, size = [], 0
             for at, lines in frames_in(io.BufferedReader(raw), partition.start, partition.end):
-                f = parse_frame(lines)
-                yield (partition.path, at, f["n_atoms"], f["lattice"], f["properties"], f["stress"], f["energy"], f["pbc"], f["step"], f["props"], f["atoms"], "\n".join(lines))
+                rows.append(parse_frame(lines) | {"path": partition.path, "offset": at, "raw_text": "\n".join(lines)})
+                size += len(lines)
+                if size > BATCH_LINES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 class XyzDataSource(DataSource):
@@ -142,11 +164,16 @@ class XyzDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _Reader(schema, self.options)
 
 
 def read_xyz(spark, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of a file or folder. The path is read by the rules of the session's file systems, so one without a
+    scheme lies in the default one; tasks open it by its full name."""
     spark.dataSource.register(XyzDataSource)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
     return spark.read.format("xyz").option("rangebytes", str(range_bytes)).load(path)
 
 

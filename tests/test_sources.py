@@ -35,7 +35,26 @@ def test_xyz_ranges(spark, tmp_path):
         xyz.wanted_frames(frames, spark.createDataFrame([(-1,)], "offset long"), "offset")
 
 
-@pytest.mark.parametrize("text", ["x\nProperties=species:S:1:pos:R:3\n", "3\nProperties=species:S:1:pos:R:3\nC 0 0 0\n", "1\n"])
+COMMENTS = {"plain": "frame of a run", "blank": "", "number": "7", "entries": 'energy=1.5 step=3', "many": "1 2 3 4 5"}
+
+
+@pytest.mark.parametrize("comment", COMMENTS)
+def test_ranges_of_any_size_give_the_same_frames(comment, tmp_path):
+    lines = []
+    for k in range(60):
+        n = (0, 1, 3, 2, 6)[k % 5]
+        lines += [str(n), COMMENTS[comment] or "", *[f"Fe {k} {i} 0" for i in range(n)], *([""] if k % 7 == 0 else [])]
+    path = tmp_path / "f.xyz"
+    path.write_text("\n".join(lines) + "\n")
+    size = path.stat().st_size
+    with open(path, "rb") as f:
+        whole = list(xyz.frames_in(f, 0, size))
+        assert len(whole) == 60
+        for step in (1, 7, 23, 100, 500):
+            assert [x for a in range(0, size, step) for x in xyz.frames_in(f, a, a + step)] == whole, step
+
+
+@pytest.mark.parametrize("text", ["x\nProperties=species:S:1:pos:R:3\n", "3\nProperties=species:S:1:pos:R:3\nC 0 0 0\n", "1\n", "2\nProperties=Z:I:1\n26\n26\n"])
 def test_xyz_bad(text, tmp_path):
     (tmp_path / "bad.xyz").write_text(text)
     with open(tmp_path / "bad.xyz", "rb") as f, pytest.raises(ValueError):
@@ -106,3 +125,52 @@ def test_cluster_index_has_every_center(spark):
         own = sorted((r["raw_fp"], r["source_idx"], r["cif_file"]) for r in got if r["effective_fp"] == t)
         assert [int(f[-9:-4]) for _, _, f in own] == list(range(1, len(own) + 1))
     assert sinks.cluster_index(Scratch(spark), rows, per_type=3).count() == 6 and sinks.cluster_index(Scratch(spark), rows, overall=5).count() == 5
+
+
+def test_a_named_scratch_goes_on_where_it_ended(spark, tmp_path):
+    made = []
+
+    def count(df):
+        made.append(1)
+        return df
+
+    name = f"test-{tmp_path.name}"
+    first = Scratch(spark, name)
+    a = first.keep(spark.range(5))
+    first.drop(a)
+    again = Scratch(spark, name)
+    assert again.keep(spark.range(9)).count() == 5 and again.keep(spark.range(3)).count() == 3
+    again.remove()
+    assert Scratch(spark, name).keep(spark.range(9)).count() == 9
+    Scratch(spark, name).remove()
+
+
+def test_stored_selection_follows_files_and_settings(spark, tmp_path):
+    from dataclasses import replace
+
+    from covermill.plans.config import Config
+    from covermill.plans.selection import stored_selection
+
+    def frames(n):
+        cell = [12.0, 0.0, 0.0, 0.0, 12.0, 0.0, 0.0, 0.0, 12.0]
+        rows = []
+        for k in range(n):
+            atoms = [("Fe", [2.4 * i, 0.1 * k * (i % 2), 0.0], None) for i in range(2 + k % 3)] + [("C", [0.0, 2.0, 0.5 * (k % 2)], None)]
+            rows.append((k, cell, [True] * 3, atoms))
+        return spark.createDataFrame(rows, "frame_id long, lattice array<double>, pbc array<boolean>, atoms array<struct<symbol:string,pos:array<double>,forces:array<double>>>")
+
+    path, root = str(tmp_path / "frames"), str(tmp_path / "stages")
+    frames(6).write.parquet(path)
+    stored = lambda cfg=Config(): stored_selection(spark, root, path, path, cfg)
+    one = stored()
+    assert one["manifest"].count() > 0 and one["universe"].select("item").distinct().count() == 6
+    # all of the probe's tokens are known to the map, so nothing is probe-only
+    assert one["probe"].where("is_probe_only").count() == 0
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "stages").rglob("_SUCCESS")}
+    stored()
+    assert times == {p: p.stat().st_mtime_ns for p in (tmp_path / "stages").rglob("_SUCCESS")}
+    wider = stored(replace(Config(), bond_tolerance=5.0))
+    assert len(list((tmp_path / "stages" / "tokens").iterdir())) == 1 and len(list((tmp_path / "stages" / "map").iterdir())) == 2
+    assert wider["map"].select("type").distinct().count() <= one["map"].select("type").distinct().count()
+    frames(9).write.mode("overwrite").parquet(path)
+    assert stored()["universe"].select("item").distinct().count() == 9
