@@ -66,8 +66,8 @@ def trigrams(text: Column) -> Column:
 def hashed_slot(token: Column, dim: int = 128) -> tuple[Column, Column]:
     """Signed feature hashing by sha1 for a ``dim`` that is a power of two up to 4096: the slot and the sign."""
     low = F.conv(F.right(F.sha1(token), F.lit(4)), 16, 10).cast("int")
-    sign = F.when(F.shiftright(low, 8).bitwiseAND(1) == 1, -1.0)
-    return low.bitwiseAND(dim - 1), sign.otherwise(1.0)
+    sign = F.when(F.shiftright(low, 8).bitwiseAND(1) == 1, 1.0)
+    return low.bitwiseAND(dim - 1), sign.otherwise(-1.0)
 
 
 def det3(cell: Column) -> Column:

@@ -69,7 +69,7 @@ def _centers() -> dict[str, str]:
             select user_id, ka as kind_a, kb as kind_b, count(*) as n, round(case when count(*) > 1 then corr(y, z) end, 6) as pearson from z group by 1, 2, 3""",
         "piece_sets": f"""with {names} select name, array_to_string(list_sort(list_distinct(regexp_extract_all(name, '[A-Za-z]+|\\d+\\.\\d+|\\d+|[^\\sA-Za-z0-9]'))), ' ') as pieces, array_to_string(list_transform(range(1, length(name) - 1), lambda i: name[i:i + 2]), ' ') as trigrams from p""",
         "type_vectors": f"""with {names}, t as (select name, unnest(list_concat(regexp_extract_all(name, '[A-Za-z]+|cn\\d+|r\\d+(?:\\.\\d+)?|sim\\d+|\\d+|[A-Za-z0-9_.:-]+'), list_transform(range(1, length(regexp_replace(name, '\\s+', '', 'g')) - 1), lambda i: regexp_replace(name, '\\s+', '', 'g')[i:i + 2]))) tok from p),
-            h as (select name, ('0x' || right(sha1(tok), 4))::int h from t), v as (select name, h % 128 slot, sum(case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) value from h group by 1, 2 having sum(case when (h >> 8) & 1 = 1 then 1.0 else -1.0 end) <> 0)
+            h as (select name, ('0x' || right(sha1(tok), 4))::int h from t), v as (select name, h % 128 slot, sum(case when ((h >> 8) & 1) = 1 then 1.0 else -1.0 end) value from h group by 1, 2 having sum(case when ((h >> 8) & 1) = 1 then 1.0 else -1.0 end) <> 0)
             select name as type, slot, round(value / sqrt(sum(value * value) over (partition by name)), 6) as value from v""",
         "sampled_types": f"""with {_S}, {_F}, sz as (select count(*) filter (n > 5) pri, count(*) filter (n <= 5) rest from f), r as (select env, n > 5 p, row_number() over (partition by n > 5 order by env) - 1 nth from f)
             select env as name from r, sz where case when pri + rest <= 1000 then true when pri >= 1000 then p and nth % ceil(pri / 1000.0) = 0 else p or nth % ceil(rest / (1000.0 - pri)) = 0 end""",

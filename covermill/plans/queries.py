@@ -411,7 +411,7 @@ def vector_clusters(spark, d):
 
 @query
 def topology_links(spark, d):
-    part = read_table(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat_ws(":", "p_type", F.col("p_size").cast("string")).alias("name"))
+    part = read_table(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat_ws(":", "p_brand", "p_type", "p_name", F.col("p_size").cast("string")).alias("name"))
     rows = compress.topology_links(Scratch(spark), part.distinct(), 0.85)
     return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
