@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from covermill.functions.scalar import piece_tokens
 from covermill.operators.components import components
 from covermill.operators.setsim import overlap_links, token_sets
-from covermill.session import Scratch
+from covermill.session import Scratch, small_side
 
 
 def ward_labels(x: np.ndarray, most: float) -> np.ndarray:
@@ -116,23 +117,92 @@ def compression_stats(dim: DataFrame) -> DataFrame:
     return out.withColumn("reduction_pct", 100.0 * (1 - F.col("n_effective") / F.greatest(F.lit(1), "n_raw")))
 
 
-def distance_links(points: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, distance`` with ``a < b`` in one group and at most ``threshold`` apart, for ``points(group, id, x)``.
-
-    Points meet in cells of the threshold's width over their first three coordinates, and a point is sent to the cells
-    around its own, so pairs farther apart than that never meet. A null group, and points without coordinates, link
-    nothing. Where the threshold is as wide as the first three coordinates spread, as for unit vectors of many
-    dimensions, every pair of a group is compared.
+#: Points of a block; two blocks meet in one task.
+BLOCK = 2000
+#: Points of a group whose distances to all others make the cells.
+PIVOTS = 3
+
+
+def _near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and distances of the pairs that are at most ``threshold`` apart, by a matrix product; what that leaves
+    in doubt is taken again as a sum of squares."""
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    i, j = np.nonzero(squares - 2 * x @ y.T <= threshold * threshold + 1e-9 * (1 + squares))
+    exact = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+    keep = exact <= threshold
+    return i[keep], j[keep], exact[keep]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links ``a[k], b[k]`` join what the links before them do not."""
+    root: dict = {}
+
+    def find(v):
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    keep = np.zeros(len(a), dtype=bool)
+    for k, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+        p, q = find(p), find(q)
+        if p != q:
+            root[q] = p
+            keep[k] = True
+    return keep
+
+
+def _block_links(threshold: float, forest: bool):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": pdf["id"][:0], "b": pdf["id"][:0], "distance": np.empty(0)})
+        i, j, apart = _near_pairs(np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy()), threshold)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        # a block that meets itself has each pair twice
+        once = (a < b) if bool(pdf["same"].iloc[0]) else np.ones(len(a), dtype=bool)
+        a, b, apart = a[once], b[once], apart[once]
+        if forest:
+            kept = _forest(a, b)
+            a, b, apart = a[kept], b[kept], apart[kept]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "distance": apart})
+
+    return links
+
+
+def distance_links(scratch: Scratch, points: DataFrame, threshold: float, forest: bool = False, block: int = BLOCK) -> DataFrame:
+    """``a, b, distance`` with ``a < b`` in one group and at most ``threshold`` apart, for ``points(group, id, x)``; with
+    ``forest``, only links that connect the same points, so a dense group has no more links than points in each task.
+
+    Points lie in cells by their distances to a few pivots of their group, which differ by at most ``threshold`` for a
+    pair within it; a cell meets those around it that there are, and itself. Cells are dealt into blocks, and two blocks
+    meet in a task, so neither a large cell nor a large group is one task's work; where the threshold is as wide as
+    the distances spread (as for unit vectors of many dimensions) the blocks of a group all meet. A null group, and
+    points without coordinates or with another number of them than the pivots, link nothing.
     """
-    dims = 3
-    cells = [F.floor(F.coalesce(F.get("x", F.lit(i)).cast("double"), F.lit(0.0)) / threshold).cast("long") for i in range(dims)]
-    rows = points.select("group", "id", F.col("x").cast("array<double>").alias("x"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    shifts = F.expr("flatten(transform(sequence(-1, 1), i -> flatten(transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
-    near = rows.select("group", F.col("id").alias("b"), F.col("x").alias("y"), "c0", "c1", "c2", F.explode(shifts).alias("s"))
-    near = near.select("group", "b", "y", (F.col("c0") + F.col("s.i")).alias("c0"), (F.col("c1") + F.col("s.j")).alias("c1"), (F.col("c2") + F.col("s.k")).alias("c2"))
-    met = rows.withColumnRenamed("id", "a").join(near, ["group", "c0", "c1", "c2"]).where("a < b and size(x) = size(y)")
-    apart = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    return met.withColumn("distance", apart).where(F.col("distance") <= threshold).select("a", "b", "distance")
+    rows = points.select("group", "id", F.col("x").cast("array<double>").alias("x")).where("`group` is not null and id is not null and size(x) > 0")
+    rows = scratch.keep(rows.withColumn("dims", F.size("x")))
+    pivots = rows.groupBy("group", "dims").agg(F.array(*[F.min_by("x", F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]).alias("p"))
+    apart = "cast(floor(sqrt(aggregate(zip_with(x, p[{0}], (u, v) -> (u - v) * (u - v)), 0D, (s, v) -> s + v)) / {1!r}D) as long)"
+    cells = [f"c{k}" for k in range(PIVOTS)]
+    # a little wider than the threshold, so that rounding puts no pair two cells apart
+    placed = rows.join(small_side(scratch.keep(pivots), 10_000), ["group", "dims"]).select("group", "dims", "id", "x", *[F.expr(apart.format(k, threshold * (1 + 1e-9) + 1e-12)).alias(c) for k, c in enumerate(cells)])
+    placed = scratch.keep(placed)
+    key = ["group", "dims", *cells]
+    sizes = scratch.keep(placed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    # of two cells around each other, the one that is not less in the order of their numbers sends; a cell meets itself
+    steps = [t for t in itertools.product((-1, 0, 1), repeat=PIVOTS) if t >= (0,) * PIVOTS]
+    moved = sizes.select(*key, "blocks", F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{k}") for k, v in enumerate(t)]) for t in steps])).alias("t"))
+    moved = moved.select(*[F.col(c).alias(f"l_{c}") for c in key], F.col("blocks").alias("l_blocks"), "group", "dims", *[(F.col(c) + F.col(f"t.s{k}")).alias(c) for k, c in enumerate(cells)])
+    meets = moved.join(sizes, key).withColumn("own", F.expr(" and ".join(f"l_{c} = {c}" for c in cells)))
+    meets = meets.withColumn("bi", F.explode(F.expr("sequence(0, l_blocks - 1)"))).withColumn("bj", F.explode(F.expr("sequence(if(own, bi, 0), blocks - 1)")))
+    meets = scratch.keep(meets.select("*", F.xxhash64(*[f"l_{c}" for c in key], *cells, "bi", "bj").alias("task"), F.expr("own and bi = bj").alias("same")))
+    dealt = placed.join(small_side(sizes), key).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).select(*key, "block", "id", "x")
+    left = meets.select(*[F.col(f"l_{c}").alias(c) for c in key], F.col("bi").alias("block"), "task", "same", F.lit(0).alias("side"))
+    right = meets.select(*key, F.col("bj").alias("block"), "task", "same", F.lit(1).alias("side"))
+    met = dealt.join(left.unionByName(right), [*key, "block"]).select("task", "same", "side", "id", "x")
+    kind = rows.schema["id"].dataType.simpleString()
+    return met.groupBy("task").applyInPandas(_block_links(threshold, forest), f"a {kind}, b {kind}, distance double")
 
 
 def distance_components(scratch: Scratch, points: DataFrame, threshold: float) -> DataFrame:
@@ -142,7 +212,7 @@ def distance_components(scratch: Scratch, points: DataFrame, threshold: float) -
     """
     rows = points.select("group", "id", F.col("x").cast("array<double>").alias("x"))
     firsts = scratch.keep(rows.groupBy("group", "x").agg(F.min("id").alias("first")))
-    roots = components(scratch, distance_links(firsts.withColumnRenamed("first", "id"), threshold).select("a", "b"))
+    roots = components(scratch, distance_links(scratch, firsts.withColumnRenamed("first", "id"), threshold, forest=True).select("a", "b"))
     firsts = firsts.join(roots.withColumnRenamed("item", "first"), "first", "left").select("group", "x", F.coalesce("root", "first").alias("cluster"))
     same = F.expr("p.`group` <=> f.`group` and p.x <=> f.x")
     named = rows.alias("p").join(firsts.alias("f"), same)

@@ -35,7 +35,7 @@ def _moments(dim: int):
 
 
 def principal_axes(points: DataFrame, dim: int) -> DataFrame:
-    """``id, x, y``: ``points(id, x)`` on their first two principal axes, up to the sign of each axis.
+    """``id, x, y``: ``points(id, x)`` on their first two principal axes, each with its largest loading positive.
 
     Each task adds up its sums and products, a table of ``dim * dim`` numbers, from which the driver takes the axes;
     the points are not gathered. Points of another length are left out; fewer than two points lie at the origin.
@@ -51,6 +51,7 @@ def principal_axes(points: DataFrame, dim: int) -> DataFrame:
     axes = axes[:, ::-1][:, :2] if n > 1 else np.zeros((dim, 2))
     if axes.shape[1] < 2:
         axes = np.hstack([axes, np.zeros((dim, 2 - axes.shape[1]))])
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), [0, 1]] < 0, -1.0, 1.0)
 
     def on(axis: np.ndarray):
         weights = F.array(*[F.lit(float(a)) for a in axis])

@@ -129,3 +129,10 @@ def last_values(log: DataFrame, run: str, step: str, values: list[str]) -> DataF
         rows = rows.withColumn(f"change_{v}", F.col(v) - F.lag(v).over(w))
     picks = [F.max_by(c, step).alias(c) for v in values for c in (v, f"change_{v}")]
     return rows.groupBy(run).agg(F.max(step).alias("last_step"), *picks)
+
+
+def zero_points(thermal: DataFrame, part: list[str]) -> DataFrame:
+    """``*part, zpe, lowest, n``: the free energy at the lowest temperature of each record set, that temperature, and
+    the number of records; null temperatures and energies are left out."""
+    rows = thermal.where("temperature is not null and free_energy is not null")
+    return rows.groupBy(*part).agg(F.min_by("free_energy", "temperature").alias("zpe"), F.min("temperature").alias("lowest"), F.count("*").alias("n"))

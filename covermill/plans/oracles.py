@@ -76,6 +76,40 @@ def _centers() -> dict[str, str]:
     }
 
 
+def _axes(points: str) -> str:
+    """CTE ``ax(id, x, y)`` of ``points(id, j, v)``: the matrix of covariances, squared until it projects on its first
+    axis, then the same without that axis; the largest loading of an axis is positive."""
+
+    def axis(k: int, c: str) -> str:
+        return f"""m{k}(step, i, j, v) as (select 0, i, j, v / (select sum(v) from {c} where i = j) from {c} union all
+         select s, i, j, v / sum(v) filter (i = j) over () from (select a.step + 1 s, a.i, b.j, sum(a.v * b.v) v from m{k} a join m{k} b on a.j = b.i where a.step < 40 group by 1, 2, 3)),
+        p{k} as (select i, j, v from m{k} where step = 40), t{k} as (select arg_max(i, v) t, max(v) top from p{k} where i = j), u{k} as (select i j, v / sqrt(top) u from p{k}, t{k} where j = t),
+        l{k} as (select sum({c}.v * p{k}.v) l from {c} join p{k} using (i, j))"""
+
+    return f"""mu as (select j, avg(v) mu from {points} group by 1), ce as (select id, j, v - mu v from {points} join mu using (j)),
+    c1 as (select a.j i, b.j j, sum(a.v * b.v) / (select count(distinct id) from {points}) v from ce a join ce b using (id) group by 1, 2), {axis(1, "c1")},
+    c2 as (select i, j, c1.v - l * p1.v v from c1 join p1 using (i, j), l1), {axis(2, "c2")},
+    ax as (select id, sum(v * u1.u) x, sum(v * u2.u) y from ce join u1 using (j) join u2 using (j) group by 1)"""
+
+
+# names to hashed vectors: slots and signs of their words and trigrams, scaled to length 1
+_HASHED = """tk as (select name, unnest(list_concat(regexp_extract_all(name, '[A-Za-z]+|cn\\d+|r\\d+(?:\\.\\d+)?|sim\\d+|\\d+|[A-Za-z0-9_.:-]+'), list_transform(range(1, length(regexp_replace(name, '\\s+', '', 'g')) - 1), lambda i: regexp_replace(name, '\\s+', '', 'g')[i:i + 2]))) tok from names),
+    th as (select name, ('0x' || right(sha1(tok), 4))::int h from tk), hv as (select name, h % {0} slot, sum(case when ((h >> 8) & 1) = 1 then 1.0 else -1.0 end)::double v from th group by 1, 2),
+    nv as (select name, slot, v / sqrt(sum(v * v) over (partition by name)) v from hv where v <> 0),
+    pt as (select n.name id, s.j, coalesce(nv.v, 0.0) v from (select distinct name from nv) n cross join (select unnest(range({0})) j) s left join nv on nv.name = n.name and nv.slot = s.j)"""
+
+
+def _maps() -> dict[str, str]:
+    states = "i as (select distinct struct_id from structures join initial_training_manifest using (source, source_idx)), y as (select distinct env from a where item in (select struct_id from i)), z as (select env, env in (select env from pr) b, env in (select env from y) s from (select distinct env from a))"
+    state = "case when s and not b then 'newly_covered' when b then 'covered_before' else 'still_uncovered' end as state"
+    return {
+        "type_states": f"with {_S}, {_P}, {states} select env, b as covered_before, s as covered_by_selected, b or s as covered_after, {state} from z",
+        "type_axes": f"with recursive names as (select distinct p_brand || ':' || p_type as name from part), {_HASHED.replace('{0}', '64')}, {_axes('pt')} select id, round(x, 5) as x, round(y, 5) as y from ax",
+        "type_embedding": f"with recursive {_S}, {_P}, {states}, names as (select env as name from z), {_HASHED.replace('{0}', '128')}, {_axes('pt')} select id as effective_type, round(x, 5) as x, round(y, 5) as y, b::int as covered_before, s::int as covered_by_selected, (b or s)::int as covered_after, {state} from ax join z on z.env = ax.id",
+        "embedding_spread": f"with recursive pt as (select vec_id id, unnest(range(64)) j, unnest(embedding)::double v from embeddings where len(embedding) = 64), {_axes('pt')} select round(var_pop(x), 6) as var_x, round(var_pop(y), 6) as var_y, count(*) as n from ax",
+    }
+
+
 def _covers() -> dict[str, str]:
     """Covers and pipelines over structures, with envs as numbers: all, and those of each source."""
     start = f"with recursive {_S}, {_P}, {cover.numbered('n', 'a')}, np as (select item, e env from pr join n_ids using (env)), nh as (select item, e env from ph join n_ids using (env))"
@@ -116,7 +150,7 @@ def _covers() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     runs = "m as (select run_id, pick_rank, max(covered) covered from initial_training_manifest group by 1, 2)"
-    return _covers() | _centers() | {
+    return _covers() | _centers() | _maps() | {
         "cover_dense_manifest": _GREEDY,
         "cover_dense_budget": f"select * from ({_GREEDY}) where rank <= 5",
         "cover_dense_stop": f"select * from ({_GREEDY}) where 100.0 * (covered - new_gain) / (covered + uncovered) < 85",
@@ -209,21 +243,20 @@ def oracle_sql() -> dict[str, str]:
         "user_displacement": """with r as (select event_type, user_id, date_trunc('hour', ts) t, avg(value) v from events where value is not null group by 1, 2, 3),
             f as (select *, v - first_value(v) over (partition by event_type, user_id order by t) dv from r), m as (select event_type, t, avg(dv * dv) msd from f group by 1, 2)
             select event_type, round(avg(msd), 4) as mean_msd, count(*) as n_times from m group by 1""",
-        "structure_energies": "with e as (select struct_id, max(energy) energy, max(n_atoms) n_atoms from structures where energy is not null and not isnan(energy) group by 1) select struct_id, round(energy + 300.0 * n_atoms / 1000, 6) as inner_energy, 3 * n_atoms - 3 as n_modes from e",
+        "structure_energies": "with e as (select struct_id, max(energy) energy, max(n_atoms) n_atoms from structures where energy is not null and not isnan(energy) group by 1) select struct_id, round(energy + 300.0 * n_atoms / 1000, 6) as inner_energy, 3 * n_atoms - 3 as n_modes, 3 * n_atoms as n_all_modes from e",
         "safe_casts": "select doc_id, round(coalesce(try_cast(title as double), -1.0), 6) as as_float, coalesce(n_chars, 0) as as_int, coalesce(try_cast(try_cast(lang as double) as bigint), -7) as lang_int from documents",
         "file_names": """with d as (select doc_id, regexp_replace(title, '[^A-Za-z0-9_.=+:-]+', '_', 'g') a, title, concat_ws('/', title, edit_note, editor) b from documents), e as (select *, regexp_replace(b, '[^A-Za-z0-9_.=+:-]+', '_', 'g') c from d)
             select doc_id, case when length(a) > 120 then substr(a, 1, 109) || '_' || substr(sha1(a), 1, 10) else a end as name, case when length(c) > 20 then substr(c, 1, 9) || '_' || substr(sha1(c), 1, 10) else c end as short_name from e""",
         "key_parts": rf"with {_S}, v as (select distinct env from a) select env, coalesce(nullif(regexp_extract(env, '(?:^|:)r(\d+(?:\.\d+)?)', 1), '')::double, 3.0) as rcut, coalesce(nullif(regexp_extract(env, ':([a-zA-Z][a-zA-Z]?):[cC][nN]', 1), ''), '?') as center, sha1(env) as sha, substr(sha1(env), 1, 8) as short_sha from v",
         "gap_states": f"with {_S}, {_P}, {_F} select case when env not in (select env from pr) and env in (select env from ph) then 'newly_covered' when env in (select env from pr) then 'covered_before' else 'still_uncovered' end as state, count(*) as n_envs from f group by 1",
-        "type_states": f"""with {_S}, {_P}, i as (select distinct struct_id from structures join initial_training_manifest using (source, source_idx)), y as (select distinct env from a where item in (select struct_id from i)),
-            z as (select env, env in (select env from pr) b, env in (select env from y) s from (select distinct env from a))
-            select env, b as covered_before, s as covered_by_selected, b or s as covered_after, case when s and not b then 'newly_covered' when b then 'covered_before' else 'still_uncovered' end as state from z""",
         "frames_in_order": """with f as (select frame_id, min(energy) energy, any_value(atoms) atoms from frames where frame_id is not null and len(atoms) > 0 group by 1)
             select row_number() over (order by coalesce(energy, 0.0), frame_id) as rank, frame_id, len(atoms)::int as n_atoms from f""",
         "log_round_trip": "select l_linenumber::int as line, count(*) as n, sum(l_orderkey)::bigint as sum_gen, round(sum(l_quantity::double), 2) as quantity from lineitem where l_orderkey is not null group by 1",
         "spectrum_round_trip": "select hour(ts)::double as freq, round(avg(value), 5) as dos from events where value is not null group by 1",
         "bands_round_trip": "select count(*) as n_points, count(distinct user_id) as n_segments, round(sum(round(value, 8)), 2) as sum_y from events where value is not null",
         "thermal_round_trip": "select year(o_orderdate)::double as temperature, round(avg(o_totalprice::double), 4) as free_energy, count(*)::double as entropy, round(min(o_totalprice::double), 4) as heat_capacity, round(max(o_totalprice::double), 4) as energy from orders where o_orderdate is not null group by 1",
+        "zero_points": """with r as (select o_orderstatus, (year(o_orderdate) * 12 + month(o_orderdate))::double t, avg(o_totalprice::double) f from orders where o_orderdate is not null group by 1, 2)
+            select o_orderstatus, round(arg_min(f, t), 4) as zpe, min(t) as lowest, count(*) as n from r group by 1""",
         "errors_round_trip": """with f as (select frame_id, any_value(energy) energy, any_value(len(atoms)) n from frames where frame_id is not null group by 1)
             select count(*) as n, count(*) filter (energy is not null and not isnan(energy)) as n_energy, round(sum(0.5 / greatest(1, n)) filter (energy is not null and not isnan(energy)), 5) as sum_energy, sum(frame_id)::bigint as sum_index from f""",
         "cluster_files": f"""with {_near(0)}, r as (select * from n where d <= 3.000001), k as (select frame_id, i, count(*) + 1 na, greatest(greatest(max(v[1]), 0) - least(min(v[1]), 0), greatest(max(v[2]), 0) - least(min(v[2]), 0), greatest(max(v[3]), 0) - least(min(v[3]), 0)) span from r group by 1, 2)

@@ -563,7 +563,7 @@ def last_of_runs(spark, d):
 def structure_energies(spark, d):
     rows = read_table(spark, d, "structures").where("energy is not null and not isnan(energy)")
     rows = rows.groupBy("struct_id").agg(F.max("energy").alias("energy"), F.max("n_atoms").alias("n_atoms"))
-    return rows.select("struct_id", F.round(scalar.inner_energy(F.col("energy"), F.lit(300.0), F.col("n_atoms").cast("double")), 6).alias("inner_energy"), (3 * F.col("n_atoms") - 3).alias("n_modes"))
+    return rows.select("struct_id", F.round(scalar.inner_energy(F.col("energy"), F.lit(300.0), F.col("n_atoms").cast("double")), 6).alias("inner_energy"), (3 * F.col("n_atoms") - 3).alias("n_modes"), (3 * F.col("n_atoms")).alias("n_all_modes"))
 
 
 # --- functions, samples, vectors
@@ -604,7 +604,7 @@ def type_axes(spark, d):
     types = read_table(spark, d, "part").select(F.concat_ws(":", "p_brand", "p_type").alias("type"))
     rows = embedding.hashed_vectors(types, 64)
     dense = rows.groupBy(F.col("type").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m")).select("id", F.expr("transform(sequence(0, 63), k -> coalesce(m[k], 0D))").alias("x"))
-    return embedding.principal_axes(dense, 64)
+    return embedding.principal_axes(dense, 64).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query
@@ -645,7 +645,7 @@ def type_embedding(spark, d):
     rows = _states(spark, d)
     slots = embedding.hashed_vectors(rows.select(F.col("env").alias("type")))
     dense = slots.groupBy(F.col("type").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m")).select("id", F.expr("transform(sequence(0, 127), k -> coalesce(try_element_at(m, k), 0D))").alias("x"))
-    axes = embedding.principal_axes(dense, 128).select(F.col("id").alias("env"), F.format_string("%.8g", "x").alias("x"), F.format_string("%.8g", "y").alias("y"))
+    axes = embedding.principal_axes(dense, 128).select(F.col("id").alias("env"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
     return rows.join(axes, "env").select(F.col("env").alias("effective_type"), "x", "y", *[F.col(c).cast("int").alias(c) for c in ("covered_before", "covered_by_selected", "covered_after")], "state")
 
 
@@ -735,6 +735,15 @@ def thermal_round_trip(spark, d):
     return back.select("temperature", *[F.round(c, 4).alias(c) for c in ("free_energy", "entropy", "heat_capacity", "energy")])
 
 
+@query
+def zero_points(spark, d):
+    """Of each order status, the thermal record of its earliest month; months stand for temperatures."""
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("double").alias("temperature")
+    rows = read_table(spark, d, "orders").where("o_orderdate is not null").groupBy("o_orderstatus", month).agg(F.avg("o_totalprice").alias("free_energy"))
+    found = series.zero_points(rows, ["o_orderstatus"])
+    return found.select("o_orderstatus", F.round("zpe", 4).alias("zpe"), "lowest", "n")
+
+
 @query
 def errors_round_trip(spark, d):
     """Errors of every frame against its copy with other energies, as a CSV table and read back."""

@@ -65,6 +65,17 @@ class Scratch:
         kept._scratch_name = name
         return kept
 
+    def keep_by(self, df: DataFrame, key: str) -> DataFrame:
+        """A table in buckets by the hash of ``key``, as many as the session shuffles to: joins on the key do not
+        shuffle it again."""
+        self.count += 1
+        name, n = f"{self.root}/{self.count}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"covermill_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).mode("overwrite").option("path", name).saveAsTable(table)
+        kept = self.spark.table(table)
+        kept._scratch_name = name
+        return kept
+
     def drop(self, *tables: DataFrame) -> None:
         for df in [] if self.named else tables:
             self._fs().delete(self._path(df._scratch_name), True)

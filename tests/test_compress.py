@@ -86,9 +86,14 @@ def test_distance_links(spark):
     rng = np.random.default_rng(1)
     pts = [(0, i, rng.normal(size=4).tolist()) for i in range(40)]
     df = spark.createDataFrame(pts, "`group` int, id long, x array<double>")
-    got = {(r["a"], r["b"]) for r in compress.distance_links(df, 0.9).collect()}
-    want = {(a, b) for _, a, x in pts for _, b, y in pts if a < b and np.linalg.norm(np.array(x) - np.array(y)) <= 0.9}
-    assert got == want
+    for block in (4, 2000):
+        for threshold in (0.3, 0.9, 2.0):
+            rows = [(r["a"], r["b"]) for r in compress.distance_links(Scratch(spark), df, threshold, block=block).collect()]
+            want = {(a, b) for _, a, x in pts for _, b, y in pts if a < b and np.linalg.norm(np.array(x) - np.array(y)) <= threshold}
+            assert len(rows) == len(set(rows)) and set(rows) == want
+    few = compress.distance_links(Scratch(spark), df, 2.0, forest=True, block=4)
+    both = [{(r["item"], r["root"]) for r in components(Scratch(spark), d.select("a", "b")).collect()} for d in (few, compress.distance_links(Scratch(spark), df, 2.0))]
+    assert both[0] == both[1] and few.count() < len(want)
 
 
 def test_distance_components_take_copies_short_and_missing_points(spark):

@@ -1,8 +1,11 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from covermill.operators import cover, incidence, setsim
+from covermill.functions import scalar
+from covermill.operators import cover, incidence, sampling, setsim
 from covermill.plans import queries, selection
 from covermill.session import Scratch
 
@@ -79,8 +82,10 @@ def test_a_sweep_of_all_suppliers(spark, tmp_path):
     lines = [(k, rng.randrange(48)) for k in range(60) for _ in range(5)]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     sets = {k: {(p % 6, p % 4) for s, p in lines if s == k} for k in range(60)}
-    got = {r["suppkey"] for r in queries.queries()["prune_dense_all"](spark, str(tmp_path)).collect()}
+    run = lambda name: {r["suppkey"] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    got = run("prune_dense_sweep")
     assert got == sequential_sweep(sets, sorted(sets)) and max(got) >= 30
+    assert run("prune_dense_all") == sequential_sweep(sets, sorted(sets, reverse=True))
 
 
 def test_a_block_spares_rounds(spark):
@@ -99,6 +104,55 @@ def test_band_drops_a_pair_and_copies_collapse(spark):
     assert {(r["item"], r["first"]) for r in setsim.exact_copies(inc).collect()} == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_the_target_counts_what_no_item_has(spark):
+    """85 % of ten envs is nine picks, though the items have eight of them only."""
+    inc = frame(spark, {k: {f"e{k}"} for k in range(8)})
+    rows = cover.greedy_cover(Scratch(spark), inc, stop_pct=75.0, target=10).orderBy("rank").collect()
+    assert len(rows) == 8 and rows[-1]["uncovered"] == 2 and rows[-1]["coverage_pct"] == 80
+    assert cover.greedy_cover(Scratch(spark), inc, stop_pct=75.0).count() == 6
+
+
+def test_similar_items_with_copies_go_as_one_by_one(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        sets = {k: {f"e{i}" for i in range(12)} - {f"e{rng.randrange(12)}"} for k in range(12)}
+        sets |= {20 + k: set(sets[k % 4]) for k in range(8)} | {40: {"q"}, 41: {"q"}}
+        order = list(sets)
+        rng.shuffle(order)
+        by_size = sorted(order, key=lambda k: (-len(sets[k]), order.index(k)))
+        near = {a: {b for b in sets if a != b and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])} for a in sets}
+        places = spark.createDataFrame([(k, i) for i, k in enumerate(order)], "item long, place int")
+        got = {r["item"] for r in cover.without_similar(Scratch(spark), frame(spark, sets), places).collect()}
+        assert got == sequential_sweep(sets, by_size, near)
+    assert cover.without_similar(Scratch(spark), frame(spark, sets), places, 1.5).count() == len(sets)
+
+
+def test_links_of_items_count_copies_without_pairs(spark):
+    base = [f"e{i}" for i in range(20)]
+    inc = Scratch(spark).keep(frame(spark, {1: set(base), 2: set(base), 3: set(base[1:]), 4: set(base[1:]), 5: set(base[1:]), 9: {"q"}}))
+    copies, links = setsim.class_links(Scratch(spark), inc, 0.85, 0.25)
+    rows = {r["item"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in setsim.links_of_items(copies, links).collect()}
+    assert rows == {1: (1, 1, 3), 2: (1, 1, 3), 3: (3, 2, 2), 4: (3, 2, 2), 5: (3, 2, 2), 9: (9, 0, 0)} and links.count() == 1
+
+
+def test_systematic_samples(spark):
+    names = spark.createDataFrame([(f"n{i:02d}", i < 8) for i in range(20)] + [("n00", False), (None, True)], "name string, priority boolean")
+    run = lambda most: sorted(r["name"] for r in sampling.systematic(Scratch(spark), names, most).collect())
+    assert run(0) == run(20) == run(50) == [f"n{i:02d}" for i in range(20)]
+    assert run(5) == ["n00", "n02", "n04", "n06"]
+    assert run(12) == [f"n{i:02d}" for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 14, 17)]
+
+
+def test_names_cutoffs_and_centers(spark):
+    long = "a b" * 60
+    df = spark.createDataFrame([("probe_only:r2.7:19ab", long), ("r3.0:Fe:cn8:x", "x/y"), ("r3:c:CN2:y", ""), ("none", None), (None, "z")], "key string, name string")
+    rows = df.select(scalar.rcut_of(F.col("key")), scalar.center_of(F.col("key")), scalar.safe_name(F.col("name")), scalar.safe_name(F.col("name"), 20)).collect()
+    clean = "a_b" * 60
+    short = lambda n: clean[: n - 11] + "_" + hashlib.sha1(clean.encode()).hexdigest()[:10]
+    assert [tuple(r) for r in rows] == [(2.7, "?", short(120), short(20)), (3.0, "Fe", "x_y", "x_y"), (3.0, "c", "", ""), (3.0, "?", None, None), (3.0, None, "z", "z")]
+    assert len(rows[0][2]) == 120
+
+
 def test_chain_keeps_the_largest(spark):
     base = [f"e{i}" for i in range(20)]
     inc = frame(spark, {1: set(base), 2: set(base[1:] + ["x", "y"]), 3: set(base[2:] + ["x", "y", "z"]), 9: {"q"}})

@@ -3,6 +3,7 @@ import math
 from covermill.operators import geometry, series
 from covermill.plans import selection
 from covermill.session import Scratch
+from covermill.sources import sinks
 
 FRAME = "frame_id long, lattice array<double>, pbc array<boolean>, atoms array<struct<symbol:string,pos:array<double>,forces:array<double>>>, n_atoms int, step long, energy double, stress array<double>"
 CUBE = [10.0, 0, 0, 0, 10.0, 0, 0, 0, 10.0]
@@ -67,3 +68,25 @@ def test_universe_has_all_cutoffs_and_physical_frames_only(spark):
     assert at(0) == {"r2.7:fe:cn1:c", "r2.7:c:cn1:fe", "r3.0:fe:cn1:c", "r3.0:c:cn1:fe"}
     assert at(1) == {"r3.0:fe:cn1:c", "r3.0:c:cn1:fe"} and at(2) == set()
     assert at(3) == {"r2.7:fe:cn1:c", "r2.7:c:cn1:fe", "r3.0:fe:cn1:c", "r3.0:c:cn2:fefe"}
+
+
+def test_clusters_as_cif(spark):
+    cell = [10.0, 0.0, 0.0, 0.0, 10.0, 0.0, 0.0, 0.0, 10.0]
+    rows = [(1, cell, [True] * 3, [("Fe", [9.9, 0.0, 0.0], None), ("C", [1.0, 0.0, 0.0], None), ("C", [5.0, 5.0, 5.0], None)])]
+    frames = spark.createDataFrame(rows, "frame_id long, lattice array<double>, pbc array<boolean>, atoms array<struct<symbol:string,pos:array<double>,forces:array<double>>>")
+    got = {r["i"]: r["cif"] for r in sinks.cif_text(geometry.cluster_atoms(frames, 3.0)).collect()}
+    assert set(got) == {0, 1}
+    lines = got[0].strip().split("\n")
+    assert lines[0] == "data_1_0" and "_cell_length_a 14.000000" in lines
+    atoms = [line.split() for line in lines if line[:2] in ("Fe", "C1", "C2")]
+    # across the cell's edge, in the middle of the cube
+    assert [a[1] for a in atoms] == ["Fe", "C"] and abs((float(atoms[1][2]) - float(atoms[0][2])) * 14 - 1.1) < 1e-6
+    assert abs((float(atoms[1][2]) + float(atoms[0][2])) / 2 - 0.5) < 1e-6
+
+
+def test_radii_of_heavy_atoms(spark):
+    cell = [20.0, 0.0, 0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 20.0]
+    pair = lambda s, d: [(s, [0.0, 0.0, 0.0], None), (s, [d, 0.0, 0.0], None)]
+    rows = [(1, cell, None, pair("cs", 3.8)), (2, cell, None, pair("Cs", 4.0)), (3, cell, None, pair("Xx", 0.33)), (4, cell, None, pair("Xx", 0.3))]
+    frames = spark.createDataFrame(rows, "frame_id long, lattice array<double>, pbc array<boolean>, atoms array<struct<symbol:string,pos:array<double>,forces:array<double>>>")
+    assert {r["frame_id"]: r["is_physical"] for r in geometry.physical(frames).collect()} == {1: False, 2: True, 3: True, 4: False}
