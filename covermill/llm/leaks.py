@@ -82,6 +82,12 @@ class _Words:
         self.canon.append(code)
         return at
 
+    def code(self, word: str) -> int:
+        if len(self.raw) > MOST_KNOWN:
+            self.__init__(self.plain)
+        at = self.codes.get(word)
+        return self.canon[self._new(word) if at is None else at]
+
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.raw) > MOST_KNOWN:
             self.__init__(self.plain)
@@ -181,35 +187,39 @@ def _slots(item: list[str], doc: list[str]) -> str | None:
     return "own" if item == doc else "other"
 
 
-def _judged(item: list[str], doc: list[str], places: list[tuple[int, int]], item_canon: np.ndarray, canon: np.ndarray) -> str | None:
-    """``passage`` or ``template`` by the windows ``(p, j)`` that item and document share, or ``None``."""
+def _judged(item: list[str], doc: np.ndarray, places: list[tuple[int, int]], code) -> str | None:
+    """``passage`` or ``template`` by the windows ``(p, j)`` that item and document share, or ``None``. Only the words
+    around them are looked at; ``code`` gives the canonical code of a word."""
+    around = lambda j: doc[max(0, j - PASSAGE) : j + 2 * PASSAGE].tolist()
     for p, j in places:
-        if _slots(item[p : p + WINDOW], doc[j : j + WINDOW]) == "own" and _holds(item, doc, p, j):
+        near = around(j)
+        at = min(j, PASSAGE)
+        if _slots(item[p : p + WINDOW], near[at : at + WINDOW]) == "own" and _holds(item, near, p, at):
             return "passage"
     ends: dict[int, int] = {}
+    same = lambda p, j: item[p] == doc[j] or code(item[p]) == code(doc[j])
     for p, j in sorted(places):
         # windows inside the diagonal's last run; a window of few plain words is no anchor, as it is hashed by its own
-        if j + WINDOW <= ends.get(j - p, 0) or (canon[j : j + WINDOW] > _NAME).sum() < LEAST_PLAIN or not np.array_equal(item_canon[p : p + WINDOW], canon[j : j + WINDOW]):
+        if j + WINDOW <= ends.get(j - p, 0) or sum(code(w) > _NAME for w in item[p : p + WINDOW]) < LEAST_PLAIN or not all(same(p + k, j + k) for k in range(WINDOW)):
             continue
         lo, hi = 0, WINDOW
-        while p - lo > 0 and j - lo > 0 and item_canon[p - lo - 1] == canon[j - lo - 1]:
+        while p - lo > 0 and j - lo > 0 and same(p - lo - 1, j - lo - 1):
             lo += 1
-        while p + hi < len(item) and j + hi < len(doc) and item_canon[p + hi] == canon[j + hi]:
+        while p + hi < len(item) and j + hi < len(doc) and same(p + hi, j + hi):
             hi += 1
         ends[j - p] = j + hi
-        if lo + hi >= PASSAGE and _slots(item[p - lo : p + hi], doc[j - lo : j + hi]) == "other":
+        if lo + hi >= PASSAGE and _slots(item[p - lo : p + hi], doc[j - lo : j + hi].tolist()) == "other":
             return "template"
     return None
 
 
 def _judge(plain: np.ndarray):
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words(plain)
+        code = _Words(plain).code
         for pdf in batches:
             rows = []
             for doc_id, item, doc, own, places in zip(pdf["doc_id"], pdf["item"], pdf["words"], pdf["item_words"], pdf["places"]):
-                doc, own = list(doc), list(own)
-                kind = _judged(own, doc, [(x["p"], x["j"]) for x in places], words.of(own)[1], words.of(doc)[1])
+                kind = _judged(own.tolist(), doc, [(x["p"], x["j"]) for x in places], code)
                 if kind:
                     rows.append((doc_id, item, kind))
             yield pd.DataFrame(rows, columns=["doc_id", "item", "kind"])
