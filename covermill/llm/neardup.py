@@ -113,16 +113,27 @@ def bucket_rows(scratch: Scratch, sets: DataFrame, t: Threshold, runs: int, smal
 
 
 def similar_links(scratch: Scratch, sets: DataFrame, t: Threshold, miss: float, small: int = SMALL_BUCKET) -> DataFrame:
-    """Links ``a, b`` of classes that reach the threshold; every group that the pairs met in a bucket make is whole."""
+    """Links ``a, b`` of classes that reach the threshold; every group that the pairs met in a bucket make is whole.
+
+    First each record of a small bucket is compared with the bucket's smallest, which links most members of a family
+    to one record; of the other pairs, those of records linked to the same one need no look.
+    """
     done, large, links = bucket_rows(scratch, sets, t, runs_needed(t, miss), small)
-    members = done.groupBy("key").agg(F.collect_list(F.struct("id", "n", "parity")).alias("m")).where("size(m) > 1")
+    members = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n", "parity"))).alias("m")).where("size(m) > 1").select("m")
     first = members.select("m", F.posexplode("m").alias("i", "x")).where("i + 1 < size(m)")
-    met = first.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).where(t.may_pass("x", "y"))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    met = first.select("i", "x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).where(t.may_pass("x", "y"))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("i = 0").alias("star"))
     if large is not None:
         met = large.alias("x").join(large.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {t.may_pass('x', 'y')}"))
-        pairs = pairs.unionByName(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    found = verified(pairs.distinct(), sets, t).select("a", "b")
+        pairs = pairs.unionByName(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(False).alias("star")))
+    pairs = scratch.keep(pairs.groupBy("a", "b").agg(F.max("star").alias("star")))
+    near = scratch.keep(verified(pairs.where("star"), sets, t).select("a", "b"))
+    tops = near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("top"))
+    pairs = pairs.where("not star")
+    for end in ("a", "b"):
+        pairs = pairs.join(tops.select(F.col("id").alias(end), F.col("top").alias(f"top_{end}")), end, "left")
+    pairs = pairs.where("coalesce(top_a, a) <> coalesce(top_b, b)").select("a", "b")
+    found = verified(pairs, sets, t).select("a", "b").unionByName(near)
     for more in links:
         found = found.unionByName(more)
     return found

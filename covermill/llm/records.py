@@ -54,12 +54,14 @@ class Classes:
 
 def classes(scratch: Scratch, sets: DataFrame, within: tuple[str, ...] = ()) -> Classes:
     """Collapses copies, so that a group of copies of any size costs one row in all later steps. With ``within``, only
-    records with equal values of these columns too are copies, and both tables lie in folders by them."""
+    records with equal values of these columns too are copies, and both tables lie in folders by them; without, the sets
+    lie in buckets by id, so that later joins do not shuffle them."""
     kept = scratch.keep(sets)
     key = [*within, "sig", "parity", "n"]
     reps = kept.groupBy(*key).agg(F.min("id").alias("rep"))
     members = scratch.keep(kept.select("id", *key).join(reps, key).select("id", "rep", *within), within)
-    one = scratch.keep(kept.join(members.where("id = rep").select("id", *within), ["id", *within], "left_semi"), within)
+    one = kept.join(members.where("id = rep").select("id", *within), ["id", *within], "left_semi")
+    one = scratch.keep(one, within) if within else scratch.keep_by(one, "id")
     scratch.drop(kept)
     return Classes(one, members)
 
