@@ -3,8 +3,8 @@
 Rounds on tables only shrink the graph of links: vertices with one link are stripped and chains of vertices with two
 links are compressed, both by one list ranking (pointer jumping over directed links, which finds both ends of every
 chain in a number of steps logarithmic in its length; a leaf is a chain that ends at once). What is left, where every
-vertex had three links or more, is contracted around each vertex's smallest neighbour if the round removed less than
-half. Every removed vertex remembers the vertex that it hung on, and labels go back along these at the end. Stars
+vertex had three links or more, is the core: one of a bounded number of links is solved by one task; a larger one goes
+on by rounds and is contracted around each vertex's smallest neighbour if a round removed less than half. Every removed vertex remembers the vertex that it hung on, and labels go back along these at the end. Stars
 vanish in one round, long chains and trails in a logarithmic number of steps.
 """
 
@@ -12,11 +12,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.session import Scratch, is_empty
 
+#: Links of a core that one task solves; the groups are the same at any value.
+CORE = 100_000
+#: Hops along the chain in a step, so that pointers grow fourfold.
+HOPS = 3
 #: A vertex with more than one of so many link ends is a hub; there are fewer than this number of them.
 HUB_SHARE = 4096
 
@@ -55,8 +60,11 @@ def _rank(scratch: Scratch, vertices: DataFrame) -> tuple[DataFrame, DataFrame,
         before = now
         every = reduce(DataFrame.unionByName, ended).unionByName(open_arcs)
         target = every.select(F.col("u").alias("to_u"), F.col("w").alias("to_w"), F.col("to_u").alias("next_u"), F.col("to_w").alias("next_w"), F.col("done").alias("next_done"), F.col("end").alias("next_end"), F.col("steps").alias("more"), F.col("low").alias("next_low"))
-        jumped = open_arcs.select("u", "w", "to_u", "to_w", "steps", "low").join(target, ["to_u", "to_w"])
-        jumped = jumped.select("u", "w", F.col("next_u").alias("to_u"), F.col("next_w").alias("to_w"), F.col("next_done").alias("done"), F.col("next_end").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "next_low").alias("low"))
+        jumped = open_arcs
+        for _ in range(HOPS):
+            # an arc that is done points at none
+            met = jumped.join(target, ["to_u", "to_w"], "left")
+            jumped = met.select("u", "w", F.col("next_u").alias("to_u"), F.col("next_w").alias("to_w"), F.coalesce("next_done", "done").alias("done"), F.coalesce("end", "next_end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("low", "next_low").alias("low"))
         jumped = scratch.keep(jumped)
         used.append(jumped)
         ended.append(jumped.where("done"))
@@ -115,7 +123,24 @@ def _to_roots(scratch: Scratch, hung: DataFrame) -> DataFrame:
             return hung
 
 
-def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
+def _solved(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``v, p`` of a core's vertices, ``p`` the smallest of the group, without those that are it."""
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (p := up.setdefault(v, v)) != v:
+            up[v] = up[p]
+            v = p
+        return v
+
+    for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist()):
+        x, y = top(x), top(y)
+        up[max(x, y)] = min(x, y)
+    rows = [(v, p) for v in list(up) if (p := top(v)) != v]
+    return pd.DataFrame(rows, columns=["v", "p"])
+
+
+def connected(scratch: Scratch, links: DataFrame, core: int = CORE) -> DataFrame:
     """``id, group_id`` of every id in ``links(a, b)``; ``group_id`` is the smallest id linked directly or not.
 
     Repeated links, links of an id with itself and links given both ways are one; nulls link nothing. No link or
@@ -131,7 +156,12 @@ def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
         scratch.drop(vertices, rest)
         hung.append(gone)
         rest = fewer
-        if rest.count() > left // 2:
+        now = rest.count()
+        if 0 < now <= core:
+            kind = rest.schema["x"].dataType.simpleString()
+            hung.append(rest.groupBy(F.lit(0).alias("one")).applyInPandas(_solved, f"v {kind}, p {kind}"))
+            break
+        if now > left // 2:
             merged, rest = _contract(scratch, fewer)
             scratch.drop(fewer)
             hung.append(merged)
@@ -144,10 +174,10 @@ def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
     return ids.join(named, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def match_groups(scratch: Scratch, pairs: DataFrame, left: str, right: str, score: str, least: float) -> DataFrame:
+def match_groups(scratch: Scratch, pairs: DataFrame, left: str, right: str, score: str, least: float, core: int = CORE) -> DataFrame:
     """Groups of every id in either column; a row links its ids if both are there and its score is a number of at
     least ``least`` (null and NaN link nothing). Ids without links are their own group; an empty table gives none."""
     rows = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(score).cast("double").alias("score"))
     ids = rows.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
     linked = rows.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= least)).select("a", "b")
-    return ids.join(connected(scratch, linked), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+    return ids.join(connected(scratch, linked, core), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))

@@ -213,10 +213,12 @@ def test_groups_of_chains_rings_stars_and_cores(spark):
 
 
 def _check_groups(spark, rows):
-    got = [(r["id"], r["group_id"]) for r in groups.match_groups(Scratch(spark), spark.createDataFrame(rows, "l long, r long, s double"), "l", "r", "s", 0.85).collect()]
     ids = {i for a, b, _ in rows for i in (a, b) if i is not None}
     want = closed(ids, [(a, b) for a, b, s in rows if a is not None and b is not None and s is not None and s >= 0.85])
-    assert len(got) == len(ids) and dict(got) == want
+    # the core by rounds, and by one task
+    for core in (0, groups.CORE):
+        got = [(r["id"], r["group_id"]) for r in groups.match_groups(Scratch(spark), spark.createDataFrame(rows, "l long, r long, s double"), "l", "r", "s", 0.85, core).collect()]
+        assert len(got) == len(ids) and dict(got) == want
 
 
 def test_varied_subset(spark):
