@@ -21,7 +21,7 @@ from covermill.session import Scratch, is_empty, small_side
 #: Records of a bucket that are compared pairwise; a larger one is split.
 SMALL_BUCKET = 256
 #: Tokens of a path from which on the records of a large bucket are compared with a pivot before it is split.
-PIVOT_FROM = 4
+PIVOT_FROM = 6
 #: Pivots with their sets that may be broadcast.
 MOST_PIVOTS = 10_000
 #: Tokens of a path after which a bucket is compared pairwise, whatever its size.
@@ -69,13 +69,13 @@ class _Buckets:
         rows = rows.join(self.frequent, "token", "left")
         return rows.select(F.xxhash64("key", "token").alias("key"), "id", "n", "parity", "root", "is_frequent")
 
-    def sized(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of small buckets, and rows of large ones without those whose records are all linked. Sizes are counted
-        with partial sums, and only the keys of large buckets meet the rows again."""
+    def sized(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of small buckets, and rows of large ones without those whose records are all linked (``None`` where
+        there are none). Sizes are counted with partial sums, and only the keys of large buckets meet the rows again."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("size") > self.small)
         sizes = self.scratch.keep(sizes)
-        few = rows.join(small_side(sizes), "key", "left_anti")
-        return few, rows.join(small_side(sizes.where("lo < hi").select("key")), "key")
+        few, keys = rows.join(small_side(sizes.select("key")), "key", "left_anti"), sizes.where("lo < hi").select("key")
+        return few, None if is_empty(keys) else rows.join(small_side(keys), "key")
 
     def linked(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of each large bucket's records with one of them, its pivot, and the rows with the pivot as ``root``
@@ -100,9 +100,10 @@ def bucket_rows(scratch: Scratch, sets: DataFrame, t: Threshold, runs: int, smal
     rows, done, links = buckets.second(runs), buckets.first(runs), []
     for depth in range(2, longest + 1):
         done = done.unionByName(rows.where("is_frequent is null").select(cols))
-        few, large = buckets.sized(scratch.keep(rows.where("is_frequent").drop("is_frequent")))
+        frequent = rows.where("is_frequent").drop("is_frequent")
+        few, large = buckets.sized(scratch.keep(frequent) if depth == 2 else frequent)
         done = done.unionByName(few.select(cols))
-        if is_empty(large):
+        if large is None:
             return done, None, links
         if depth >= PIVOT_FROM:
             more, large = buckets.linked(large)
