@@ -265,6 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "curve_points": f"with {runs}, x as (select max(pick_rank) hi, greatest(1, ceil(max(pick_rank) / 49.0)::int) stride from m) select run_id, pick_rank, covered from m, x where pick_rank % stride = 0 or pick_rank = hi",
         "stored_stage": f"with {_S}, {_F} select n as n_items, count(*) as n_envs from f group by 1",
         "streamed_intake": f"with {_S} select item as struct_id, count(*) as n_envs from a group by 1",
+        "streamed_windows": "select epoch(date_trunc('hour', ts))::bigint as start, event_type, count(*) as n from events where ts is not null group by 1, 2",
         "xyz_round_trip": """with f as (select frame_id, any_value(n_atoms) n, any_value(energy) energy, any_value(stress) stress, any_value(atoms) atoms from frames where frame_id is not null and len(atoms) > 0 group by 1)
             select frame_id, len(atoms)::int as n_atoms, case when isnan(energy) then null else round(energy, 5) end as energy, len(stress)::int as n_stress, round(list_sum(list_transform(atoms, lambda a: a.pos[1])), 4) as sum_x from f""",
     }

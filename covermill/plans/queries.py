@@ -783,3 +783,15 @@ def streamed_intake(spark, d):
     running = intake.start_intake(stream, "struct_id", "env", f"{scratch.root}/in/rows", f"{scratch.root}/in/state")
     running.awaitTermination()
     return intake.taken(spark, f"{scratch.root}/in/rows").groupBy("item").agg(F.count("*").alias("n_envs")).select(F.col("item").alias("struct_id"), "n_envs")
+
+
+@query
+def streamed_windows(spark, d):
+    """Events by hour and type, counted as a stream; no event is so late that it is dropped."""
+    scratch = Scratch(spark)
+    schema = read_table(spark, d, "events").schema
+    rows = intake.file_stream(spark, f"{d}/event[s].parquet", schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = intake.windowed_counts(rows.where("ts is not null"), "ts", "event_type", "1 hour", "36500 days")
+    intake.start_windows(counts, f"{scratch.root}/windows", f"{scratch.root}/state").awaitTermination()
+    found = intake.latest_windows(spark, f"{scratch.root}/windows", "event_type")
+    return found.select(F.unix_seconds("window_start").alias("start"), "event_type", "n")

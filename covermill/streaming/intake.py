@@ -35,3 +35,18 @@ def taken(spark: SparkSession, out: str) -> DataFrame:
 def windowed_counts(stream: DataFrame, time: str, key: str, size: str, late: str) -> DataFrame:
     """Counts per time window and key with a watermark; rows later than ``late`` are dropped by the stream."""
     return stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+
+
+def start_windows(counts: DataFrame, out: str, checkpoint: str):
+    """Writes the windows that each micro-batch changed under its number, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_windows(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """``window_start, key, n`` by the last micro-batch that touched each window."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    return rows.groupBy("window_start", key).agg(F.max_by("n", "batch").alias("n"))

@@ -174,3 +174,25 @@ def test_stored_selection_follows_files_and_settings(spark, tmp_path):
     assert wider["map"].select("type").distinct().count() <= one["map"].select("type").distinct().count()
     frames(9).write.mode("overwrite").parquet(path)
     assert stored()["universe"].select("item").distinct().count() == 9
+
+
+def test_windows_of_a_stream_and_late_rows(spark, tmp_path):
+    from covermill.streaming import intake
+
+    def put(n, rows):
+        spark.createDataFrame(rows, "at string, kind string").selectExpr("cast(at as timestamp) as at", "kind").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+
+    def run():
+        schema = "at timestamp, kind string"
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        counts = intake.windowed_counts(stream, "at", "kind", "1 hour", "2 hours")
+        intake.start_windows(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return {(r["window_start"].hour, r["kind"]): r["n"] for r in intake.latest_windows(spark, str(tmp_path / "out"), "kind").collect()}
+
+    put(0, [("2024-01-01 01:10:00", "a"), ("2024-01-01 01:50:00", "a"), ("2024-01-01 02:00:00", "b")])
+    assert run() == {(1, "a"): 2, (2, "b"): 1}
+    put(1, [("2024-01-01 01:20:00", "a"), ("2024-01-01 09:00:00", "b")])
+    assert run() == {(1, "a"): 3, (2, "b"): 1, (9, "b"): 1}
+    # the watermark is at seven o'clock now
+    put(2, [("2024-01-01 01:30:00", "a"), ("2024-01-01 09:30:00", "b")])
+    assert run() == {(1, "a"): 3, (2, "b"): 1, (9, "b"): 2}
