@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermill.session import Scratch, is_empty
+from covermill.operators.components import to_roots
+from covermill.session import Scratch
 
 #: Links of a core that one task solves; the groups are the same at any value.
 CORE = 100_000
@@ -102,7 +103,7 @@ def _contract(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]
     """Every vertex joins its smallest neighbour if that is smaller; the trees so made become one vertex each."""
     vertices = scratch.keep(_vertices(links))
     most = (vertices.agg(F.sum("degree")).first()[0] or 0) // HUB_SHARE
-    roots = _to_roots(scratch, vertices.where("lo < v").select("v", F.col("lo").alias("p")))
+    roots = to_roots(scratch, vertices.where("lo < v").select("v", F.col("lo").alias("p")))
     hubs = vertices.where(F.col("degree") > most).select("v").join(roots, "v", "left").select("v", F.coalesce("p", "v").alias("p"))
     moved = _moved(_moved(links, "x", roots, hubs), "y", roots, hubs)
     rest = scratch.keep(moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
@@ -110,19 +111,6 @@ def _contract(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return roots, rest
 
 
-def _to_roots(scratch: Scratch, hung: DataFrame) -> DataFrame:
-    """Pointer jumping: ``v, p`` with ``p`` the root of ``v``'s tree."""
-    last = None
-    while True:
-        up = hung.select(F.col("v").alias("p"), F.col("p").alias("root"))
-        jumped = scratch.keep(hung.join(up, "p", "left").select("v", F.coalesce("root", "p").alias("p"), F.col("root").isNotNull().alias("moved")))
-        if last is not None:
-            scratch.drop(last)
-        hung, last = jumped.select("v", "p"), jumped
-        if is_empty(jumped.where("moved")):
-            return hung
-
-
 def _solved(pdf: pd.DataFrame) -> pd.DataFrame:
     """``v, p`` of a core's vertices, ``p`` the smallest of the group, without those that are it."""
     up: dict[int, int] = {}
@@ -168,7 +156,7 @@ def connected(scratch: Scratch, links: DataFrame, core: int = CORE) -> DataFrame
     if not hung:
         return ids.select("id", F.col("id").alias("group_id"))
     # each vertex was removed once, so what they hung on are trees; their roots give the labels back
-    roots = _to_roots(scratch, scratch.keep(reduce(DataFrame.unionByName, hung)))
+    roots = to_roots(scratch, scratch.keep(reduce(DataFrame.unionByName, hung)))
     lowest = roots.groupBy("p").agg(F.min(F.least("v", "p")).alias("group_id"))
     named = roots.join(lowest, "p").select(F.col("v").alias("id"), "group_id").unionByName(lowest.select(F.col("p").alias("id"), "group_id"))
     return ids.join(named, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
