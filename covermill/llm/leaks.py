@@ -232,7 +232,8 @@ def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame, map_bits: int = M
     other values in its slots (``template``); a pair that is both is a passage.
 
     Documents are read once and not shuffled; only those with a window of some item go on. The items' windows are
-    broadcast only where they are few; else both sides are shuffled by window, where Spark splits common ones. Null
+    broadcast only where they are few; else both sides are shuffled by window, where Spark splits common ones, as it does those of an item that
+    leaks into very many documents. Null
     and blank texts hold nothing; items of fewer than twelve words cannot be held; items with equal words leak
     together. Extra columns are ignored.
     """
@@ -247,7 +248,7 @@ def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame, map_bits: int = M
     held = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()))
     hits = held.select("row", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("row", F.col("h.keys").alias("key"), F.col("h.places").alias("j"))
     met = hits.join(small_side(windows), "key").groupBy("row", "item").agg(F.collect_list(F.struct("p", "j")).alias("places"))
-    pairs = met.join(held.select("row", "doc_id", "words"), "row").join(small_side(one.withColumnRenamed("words", "item_words")), "item")
+    pairs = met.join(held.select("row", "doc_id", "words"), "row").join(one.withColumnRenamed("words", "item_words"), "item")
     found = pairs.select("doc_id", "item", "words", "item_words", "places").mapInPandas(_judge(plain), "doc_id long, item long, kind string")
     members = own.join(one, "words").select("item", "item_id")
     best = found.join(small_side(scratch.keep(members)), "item").groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"))

@@ -23,7 +23,7 @@ SMALL_BUCKET = 256
 #: Tokens of a path from which on the records of a large bucket are compared with a pivot before it is split.
 PIVOT_FROM = 6
 #: Pivots with their sets that may be broadcast.
-MOST_PIVOTS = 10_000
+MOST_PIVOTS = 1_000
 #: Tokens of a path after which a bucket is compared pairwise, whatever its size.
 LONGEST_PATH = 12
 
