@@ -186,7 +186,7 @@ def distance_links(scratch: Scratch, points: DataFrame, threshold: float, forest
     apart = "cast(floor(sqrt(aggregate(zip_with(x, p[{0}], (u, v) -> (u - v) * (u - v)), 0D, (s, v) -> s + v)) / {1!r}D) as long)"
     cells = [f"c{k}" for k in range(PIVOTS)]
     # a little wider than the threshold, so that rounding puts no pair two cells apart
-    placed = rows.join(small_side(scratch.keep(pivots), 10_000), ["group", "dims"]).select("group", "dims", "id", "x", *[F.expr(apart.format(k, threshold * (1 + 1e-9) + 1e-12)).alias(c) for k, c in enumerate(cells)])
+    placed = rows.join(small_side(scratch.keep(pivots), 1_000), ["group", "dims"]).select("group", "dims", "id", "x", *[F.expr(apart.format(k, threshold * (1 + 1e-9) + 1e-12)).alias(c) for k, c in enumerate(cells)])
     placed = scratch.keep(placed)
     key = ["group", "dims", *cells]
     sizes = scratch.keep(placed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
