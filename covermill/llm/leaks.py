@@ -232,10 +232,9 @@ def leaks(scratch: Scratch, docs: DataFrame, items: DataFrame, map_bits: int = M
     other values in its slots (``template``); a pair that is both is a passage.
 
     Documents are read once and not shuffled; only those with a window of some item go on. The items' windows are
-    broadcast only where they are few; else both sides are shuffled by window, where Spark splits common ones, as it does those of an item that
-    leaks into very many documents. Null
-    and blank texts hold nothing; items of fewer than twelve words cannot be held; items with equal words leak
-    together. Extra columns are ignored.
+    broadcast only where they are few; else both sides are shuffled by window, where Spark splits common ones, as it
+    does those of an item that leaks into very many documents. Null and blank texts hold nothing; items of fewer than
+    twelve words cannot be held; items with equal words leak together. Extra columns are ignored.
     """
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     own = scratch.keep(texts.mapInPandas(_item_words, "item_id long, words array<string>, plain array<long>").where("size(words) > 0"))
