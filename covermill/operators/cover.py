@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from covermill.operators.incidence import classify, projected
 from covermill.operators.setsim import deduplicated, exact_copies, overlap_links, token_sets
-from covermill.session import Scratch
+from covermill.session import Scratch, small_side
 
 #: Incidences that one task takes: of a round's block, and of the rest that ends a cover or sweep. The picks are the
 #: same at any value.
 FINISH = 100_000
 #: Most items of a round's block.
 BLOCK = 4_000
+#: Most items of a sweep's order that are broadcast, as keys and places may be texts.
+MOST_ORDER = 100_000
 
 
 def global_rank(scratch: Scratch, rows: DataFrame, order: list, total: str | None = None) -> DataFrame:
@@ -180,15 +182,21 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
     removed if all its envs are in another remaining item (and, with ``partners(a, b)``, a partner remains).
 
     Decided at once: who alone has an env, or has no partner left, stays; an env of an item that stays binds nobody.
-    Others go where they come first among the undecided items of their binding envs and among their partners. A round
-    also takes the first undecided items, at most ``finish`` rows and ``BLOCK`` items, one by one in one task: who
-    comes later remains whatever is decided on them. So does the end, once at most ``finish`` rows are left.
+    Others go where a later undecided item has each of their binding envs, as it remains at their turn, and they come
+    first among their partners. So without partners all but the last item of each env go before the first round. A
+    round also takes the first undecided items, at most ``finish`` rows and ``BLOCK`` items, one by one in one task:
+    who comes later remains whatever is decided on them. So does the end, once at most ``finish`` rows are left.
     """
     order = scratch.keep(order.select("item", "place"))
-    rest = scratch.keep(inc.select("item", "env").join(order, "item"))
+    placed = lambda: inc.select("item", "env").join(small_side(order, MOST_ORDER), "item")
     near = None
-    if partners is not None:
+    if partners is None:
+        # an item that is nowhere the last goes, and binds nobody, as the last remain until their turn
+        lasts = placed().groupBy("env").agg(F.max("place").alias("place")).select("place").distinct()
+        order = scratch.keep(order.join(lasts, "place", "left_semi").select("item", "place"))
+    else:
         near = scratch.keep(partners.select("a", "b").unionByName(partners.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rest = scratch.keep(placed())
     undecided = order
     kept = order.limit(0)
     while left := undecided.count():
@@ -201,9 +209,9 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
         head = loads.orderBy("place").limit(BLOCK)
         head = head.withColumns({"turn": F.row_number().over(Window.orderBy("place")), "held": F.sum(F.col("load") + 1).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))})
         block = scratch.keep(head.where(F.col("held") <= finish).select("item", "turn"))
-        envs = rest.groupBy("env").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-        seen = rest.join(envs, "env").groupBy("item").agg(F.max(F.expr("n = 1")).alias("alone"), F.min(F.expr("place = first")).alias("leads"))
-        rows = undecided.join(seen, "item", "left").na.fill(False, ["alone"]).na.fill(True, ["leads"])
+        envs = rest.groupBy("env").agg(F.count("*").alias("n"), F.max("place").alias("last"))
+        seen = rest.join(envs, "env").groupBy("item").agg(F.max(F.expr("n = 1")).alias("alone"), F.min(F.expr("place < last")).alias("spare"))
+        rows = undecided.join(seen, "item", "left").na.fill(False, ["alone"]).na.fill(True, ["spare"])
         if near is None:
             rows = rows.withColumns({"has": F.lit(True), "waits": F.lit(False)})
         else:
@@ -212,7 +220,7 @@ def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFram
             ahead = ahead.groupBy(F.col("a").alias("item")).agg(F.lit(True).alias("has"), F.max(F.expr("place_b is not null and place_b < place_a")).alias("waits"))
             rows = rows.join(ahead, "item", "left").na.fill(False, ["has", "waits"])
         stays = F.expr("alone or not has")
-        decided = rows.where(stays | F.expr("leads and not waits")).select("item", "place", stays.alias("stays"))
+        decided = rows.where(stays | F.expr("spare and not waits")).select("item", "place", stays.alias("stays"))
         in_block = undecided.join(_one_by_one(block, rest, near), "item").select("item", "place", "stays")
         decided = scratch.keep(decided.join(block, "item", "left_anti").unionByName(in_block))
         stay = decided.where("stays").select("item", "place")

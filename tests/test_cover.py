@@ -96,6 +96,25 @@ def test_a_block_spares_rounds(spark):
     assert got == sequential_sweep(sets, sorted(sets)) and scratch.count < 15
 
 
+@pytest.mark.parametrize("sign", [1])
+def test_a_dense_sweep_takes_few_rounds(spark, sign):
+    # items that are nowhere the last go at once: by blocks of 60 rows this took 40 rounds
+    rng = random.Random(11)
+    sets = {k: {f"e{e}" for e in rng.sample(range(24), 5)} for k in range(400)}
+    scratch = Scratch(spark)
+    inc = scratch.keep(frame(spark, sets))
+    got = {r["item"] for r in cover.sweep(scratch, inc, inc.selectExpr("item", f"{sign} * item as place").distinct(), finish=60).collect()}
+    assert got == sequential_sweep(sets, sorted(sets, key=lambda k: sign * k)) and scratch.count < 20
+
+
+def test_bare_items_and_unknown_ones_in_a_sweep(spark):
+    # 7 has no envs and goes, 8 is not in the order and holds nothing
+    inc = frame(spark, {1: {"a", "b"}, 2: {"b", "c"}, 3: {"c", "a"}, 8: {"a", "b", "c"}})
+    places = spark.createDataFrame([(7, "w"), (1, "x"), (2, "y"), (3, "z")], "item long, place string")
+    for finish in (0, 10_000):
+        assert [tuple(r) for r in cover.sweep(Scratch(spark), inc, places, finish=finish).orderBy("item").collect()] == [(2, "y"), (3, "z")]
+
+
 def test_band_drops_a_pair_and_copies_collapse(spark):
     inc = frame(spark, {1: {f"e{i}" for i in range(7)}, 2: {f"e{i}" for i in range(10)}, 3: {f"e{i}" for i in range(10)}})
     sets = setsim.token_sets(Scratch(spark), inc)
