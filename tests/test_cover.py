@@ -96,7 +96,7 @@ def test_a_block_spares_rounds(spark):
     assert got == sequential_sweep(sets, sorted(sets)) and scratch.count < 15
 
 
-@pytest.mark.parametrize("sign", [1])
+@pytest.mark.parametrize("sign", [1, -1])
 def test_a_dense_sweep_takes_few_rounds(spark, sign):
     # items that are nowhere the last go at once: by blocks of 60 rows this took 40 rounds
     rng = random.Random(11)
