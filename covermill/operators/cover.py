@@ -15,9 +15,10 @@ import heapq
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covermill.functions.scalar import compared
 from covermill.operators.incidence import classify, projected
 from covermill.operators.setsim import deduplicated, exact_copies, overlap_links, token_sets
 from covermill.session import Scratch, small_side
@@ -177,6 +178,20 @@ def _one_by_one(turns: DataFrame, rest: DataFrame, near: DataFrame | None) -> Da
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(_swept(near is not None), f"item {item_type}, stays boolean")
 
 
+def of_last_items(scratch: Scratch, rows: DataFrame, envs: DataFrame, on: str, place: Column) -> DataFrame:
+    """The incidence of ``rows(item, on)`` joined with ``envs(on, env)``, of the items alone that are the last by
+    ``place``, another for each item, to have some env. A sweep without partners keeps the same items of it as of all.
+
+    The last item of a key stands for all its rows, as they have the same envs, so what is joined first is a row per
+    key; the rows of the last items come second. No pair of an item and an env is made for the others.
+    """
+    placed = rows.where("item is not null").select("item", on, place.alias("place"))
+    envs = envs.select(on, compared(F.col("env")).alias("env")).where("env <> ''")
+    lasts = placed.groupBy(on).agg(F.max("place").alias("place")).join(envs, on).groupBy("env").agg(F.max("place").alias("place"))
+    lasts = scratch.keep(lasts.select("place").distinct())
+    return placed.join(small_side(lasts), "place", "left_semi").join(envs, on).select("item", "env").distinct()
+
+
 def sweep(scratch: Scratch, inc: DataFrame, order: DataFrame, partners: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
     """``item, place`` of what stays when items are looked at in the order of ``order(item, place)`` and one is
     removed if all its envs are in another remaining item (and, with ``partners(a, b)``, a partner remains).

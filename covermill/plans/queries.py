@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covermill.functions import scalar
@@ -37,13 +37,23 @@ def oracle_sql() -> dict[str, str]:
 # --- the relations that the queries are over
 
 
+def _part_envs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(":", "p_brand", "p_size").alias("env"))
+
+
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and the ``brand:size`` of their parts."""
-    part = read_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(":", "p_brand", "p_size").alias("env"))
-    rows = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey")
+    rows = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(_part_envs(spark, d), "l_partkey")
     return incidence.incidence(rows, "l_suppkey", "env")
 
 
+def _pruned_dense(spark: SparkSession, d: str, place: Column) -> DataFrame:
+    scratch = Scratch(spark)
+    lines = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("item"), "l_partkey")
+    inc = scratch.keep(cover.of_last_items(scratch, lines, _part_envs(spark, d), "l_partkey", place))
+    return cover.sweep(scratch, inc, inc.select("item", place.alias("place")).distinct()).select(F.col("item").alias("suppkey"))
+
+
 def _structs(spark: SparkSession, d: str, source: str | None = None) -> DataFrame:
     rows = read_table(spark, d, "struct_envs")
     return incidence.incidence(rows if source is None else rows.where(F.col("source") == source), "struct_id", "env")
@@ -102,17 +112,13 @@ def cover_first_pick(spark, d):
 
 @query
 def prune_dense_sweep(spark, d):
-    scratch = Scratch(spark)
-    inc = scratch.keep(_dense(spark, d))
-    return cover.sweep(scratch, inc, inc.select("item", F.col("item").alias("place")).distinct()).select(F.col("item").alias("suppkey"))
+    return _pruned_dense(spark, d, F.col("item"))
 
 
 @query
 def prune_dense_all(spark, d):
     """The sweep over all suppliers with the last one first; prune_dense_sweep begins with the first."""
-    scratch = Scratch(spark)
-    inc = scratch.keep(_dense(spark, d))
-    return cover.sweep(scratch, inc, inc.select("item", (-F.col("item")).alias("place")).distinct()).select(F.col("item").alias("suppkey"))
+    return _pruned_dense(spark, d, -F.col("item"))
 
 
 @query

@@ -88,6 +88,29 @@ def test_a_sweep_of_all_suppliers(spark, tmp_path):
     assert run("prune_dense_all") == sequential_sweep(sets, sorted(sets, reverse=True))
 
 
+@pytest.mark.parametrize("name, sign", [("prune_dense_all", -1), ("prune_dense_sweep", 1)])
+def test_only_rows_of_last_suppliers_are_stored(spark, tmp_path, monkeypatch, name, sign):
+    # of some 3,000 pairs of a supplier and an env all were stored; keys without a partner, two envs of a key, blanks and case
+    rng = random.Random(7)
+    parts = [(p, f"B{p % 6}" if p % 5 else f"b {p % 6}", p % 4) for p in range(48)] + [(3, "B9", 9), (None, "B8", 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(rng.randrange(400), rng.randrange(50)) for _ in range(4000)] + [(None, 1), (401, None), (402, 49)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    envs = {k: {(b.lower().replace(" ", ""), s) for p, b, s in parts if p == k} for k in range(50)}
+    sets = {k: set().union(*(envs[p] for s, p in lines if s == k)) for k in {s for s, p in lines if envs.get(p)} - {None}}
+    keep, sizes = Scratch.keep, []
+
+    def counted(self, df, by=()):
+        kept = keep(self, df, by)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    got = {r["suppkey"] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == sequential_sweep(sets, sorted(sets, key=lambda k: sign * k))
+    assert sum(map(len, sets.values())) > 2500 and max(sizes) < 500
+
+
 def test_a_block_spares_rounds(spark):
     sets = {k: {f"e{k % 7}", f"e{(k + 1) % 7}", f"e{(k + 3) % 7}"} for k in range(60)}
     scratch = Scratch(spark)
